@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import quality_rules, sharding
+from . import packing, quality_rules, sharding, token_files, tokens
 
 QUERIES = {
+    "op1_range_coded_ids": token_files.op1_range_coded_ids,
     "op4_rule_ledger": quality_rules.op4_rule_ledger,
+    "op5_whole_token_counts": tokens.op5_whole_token_counts,
+    "op7_vector_best_fit": packing.op7_vector_best_fit,
     "op9_best_fit_sharding": sharding.op9_best_fit_sharding,
 }
 

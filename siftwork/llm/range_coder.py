@@ -15,10 +15,10 @@ import zlib
 import numpy as np
 
 #: Ids a block; entries of a block's order-1 and order-2 tables; bits of order-0 frequencies.
-BLOCK, ENTRIES, BITS0 = 4096, 4096, 22
+BLOCK, ENTRIES, BITS0 = 2048, 1024, 22
 ONE = 1 << 16
-#: Blocks that are coded in step; bounds the tables' memory to LANES * ENTRIES * 6 bytes.
-LANES = 2048
+#: Blocks that are coded in step; bounds the tables' memory to LANES * ENTRIES * 8 bytes.
+LANES = 4096
 _U = np.uint64
 
 
@@ -33,50 +33,52 @@ def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Model:
+    """Tables and estimates of each lane. A table entry is the id seen last in its context, and its hits since then up to 7."""
+
     def __init__(self, lanes: int):
         n = lanes
-        self.base = np.arange(n) * ENTRIES
-        self.t1, self.t2 = (np.full(n * ENTRIES, -1, np.int32) for _ in range(2))
-        self.c1, self.c2 = (np.zeros(n * ENTRIES, np.uint8) for _ in range(2))
-        self.by8, self.by16 = np.arange(n) * 8, np.arange(n) * 16
+        self.base = np.arange(n, dtype=np.int32) * ENTRIES
+        self.t1, self.t2 = (np.full(n * ENTRIES, -8, np.int32) for _ in range(2))
+        self.by8, self.by16 = np.arange(n, dtype=np.int32) * 8, np.arange(n, dtype=np.int32) * 16
         self.pa, self.pd = (np.full(n * 8, ONE // 4, np.int32) for _ in range(2))
         self.pb = np.full(n * 16, ONE // 4, np.int32)
         self.w = np.full(n, ONE // 2, np.int32)
-        self.prev1, self.prev2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.prev1, self.prev2 = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
 
     def predict(self, n: int) -> tuple[np.ndarray, ...]:
         """For the first n lanes: the ids that order 2 and order 1 predict, and the shares of the two."""
-        p1, p2 = self.prev1[:n], self.prev2[:n]
-        self.i1 = self.base[:n] + ((p1 * 2654435761 >> 7) & (ENTRIES - 1))
-        self.i2 = self.base[:n] + (((p1 * 2654435761 + p2 * 40503 * 65537) >> 9) & (ENTRIES - 1))
-        s1, s2, c1, c2 = self.t1[self.i1], self.t2[self.i2], self.c1[self.i1], self.c2[self.i2]
-        self.same = s1 == s2
-        self.ka, self.kb, self.kd = self.by8[:n] + c2, self.by16[:n] + c1 * 2 + self.same, self.by8[:n] + c1
+        p1 = self.prev1[:n] * _H1
+        self.i1 = self.base[:n] + (p1 >> _SHIFT).astype(np.int32)
+        self.i2 = self.base[:n] + (((p1 ^ self.prev2[:n]) * _H2) >> _SHIFT).astype(np.int32)
+        e1, e2 = self.t1[self.i1], self.t2[self.i2]
+        s1, s2, self.n1, self.n2 = e1 >> 3, e2 >> 3, e1 & 7, e2 & 7
+        self.differ = s1 != s2
+        self.ka, self.kb, self.kd = self.by8[:n] + self.n2, self.by16[:n] + self.n1 * 2 + self.differ, self.by8[:n] + self.n1
         self.a, self.b, self.d = self.pa[self.ka], self.pb[self.kb], self.pd[self.kd]
-        w = self.w[:n]
-        share2 = (w * (self.a >> 4) + (ONE - w) * (self.b >> 4)) >> 12
-        share2 = np.clip(share2, 32, ONE - 1024)
-        share1 = ((ONE - share2) >> 4) * (self.d >> 4) >> 8
-        share1 = np.clip(share1, 32, ONE - share2 - 32)
-        share1[self.same] = 0
-        self.s1, self.s2, self.c1_, self.c2_ = s1, s2, c1, c2
+        b = self.b >> 4
+        share2 = b + (self.w[:n] * ((self.a >> 4) - b) >> 16) << 4
+        share2 = np.minimum(np.maximum(share2, 32), ONE - 1024)
+        share1 = (ONE - share2) * (self.d >> 2) >> 14
+        share1 = np.minimum(np.maximum(share1, 32), ONE - 32 - share2) * self.differ
+        self.s1, self.s2 = s1, s2
         return s2, s1, share2, share1
 
     def learn(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
         n = len(ids)
-        target = np.where(hit2, ONE - 1, 0).astype(np.int32)
-        self.pa[self.ka] = self.a + ((target - self.a) >> 4)
-        self.pb[self.kb] = self.b + ((target - self.b) >> 4)
-        tried = ~hit2 & ~self.same
-        self.pd[self.kd[tried]] += (np.where(hit1[tried], ONE - 1, 0).astype(np.int32) - self.d[tried]) >> 4
-        gap = (self.a - self.b) >> 5
-        self.w[:n] = np.clip(self.w[:n] + np.where(hit2, gap, -gap), 2048, ONE - 2048)
-        self.t1[self.i1], self.t2[self.i2] = ids, ids
-        self.c1[self.i1] = np.where(self.s1 == ids, np.minimum(self.c1_ + 1, 7), 0)
-        self.c2[self.i2] = np.where(self.s2 == ids, np.minimum(self.c2_ + 1, 7), 0)
-        self.prev2[:n], self.prev1[:n] = self.prev1[:n], ids
-
-
+        target = hit2 * _FULL
+        self.pa[self.ka] = self.a + (target - self.a >> 4)
+        self.pb[self.kb] = self.b + (target - self.b >> 4)
+        self.pd[self.kd] = self.d + ((hit1 * _FULL - self.d >> 4) * (self.differ > hit2))
+        gap = self.a - self.b >> 5
+        self.w[:n] = np.minimum(np.maximum(self.w[:n] + np.where(hit2, gap, -gap), 2048), ONE - 2048)
+        entry = ids << 3
+        self.t1[self.i1] = entry + np.minimum(self.n1 + 1, 7) * (self.s1 == ids)
+        self.t2[self.i2] = entry + np.minimum(self.n2 + 1, 7) * hit2
+        self.prev2[:n] = self.prev1[:n]
+        self.prev1[:n] = ids
+
+
+_H1, _H2, _SHIFT, _FULL = np.uint32(2654435761), np.uint32(2246822519), np.uint32(32 - (ENTRIES.bit_length() - 1)), np.int32(ONE - 1)
 _TOP, _BOTTOM = _U(48), _U(32)
 _LOW48 = _U((1 << 48) - 1)
 _MASK32 = _U((1 << 32) - 1)
@@ -164,8 +166,8 @@ def _lengths(n: int) -> list[int]:
 
 
 def encode(ids: np.ndarray) -> dict:
-    """Ids (at least one) as blocks: frequencies, payloads and checksums. The checksum of a block is the crc32 of its ids."""
-    ids = ids.astype(np.int64)
+    """Ids (at least one, each below 2^28) as blocks: frequencies, payloads and checksums. The checksum of a block is the crc32 of its ids."""
+    ids = ids.astype(np.int32)
     which, freq = frequencies(ids)
     start = np.cumsum(freq) - freq
     top = int(which[-1]) + 1
@@ -177,7 +179,7 @@ def encode(ids: np.ndarray) -> dict:
         lanes = sizes[first : first + LANES]
         n = len(lanes)
         own = ids[first * BLOCK : first * BLOCK + sum(lanes)]
-        grid = np.zeros(n * BLOCK, np.int64)
+        grid = np.zeros(n * BLOCK, np.int32)
         grid[: len(own)] = own
         grid = np.ascontiguousarray(grid.reshape(n, BLOCK).T)
         model, coder = _Model(n), _Encoder(n)
@@ -207,7 +209,7 @@ def decode(which: np.ndarray, freq: np.ndarray, payloads: list[bytes], crcs: lis
     for first in range(0, len(sizes), LANES):
         lanes = sizes[first : first + LANES]
         n = len(lanes)
-        grid = np.zeros((BLOCK, n), np.int64)
+        grid = np.zeros((BLOCK, n), np.int32)
         model, coder = _Model(n), _Decoder(payloads[first : first + n])
         for t in range(max(lanes)):
             live = n if t < lanes[-1] else n - 1
@@ -218,7 +220,7 @@ def decode(which: np.ndarray, freq: np.ndarray, payloads: list[bytes], crcs: lis
             begin = np.where(hit2, 0, np.where(hit1, share2, share2 + share1))
             width = np.where(hit2, share2, np.where(hit1, share1, ONE - share2 - share1))
             coder.take(slice(0, live), begin, width)
-            sym = np.where(hit2, s2, s1).astype(np.int64)
+            sym = np.where(hit2, s2, s1)
             rest = np.flatnonzero(~(hit2 | hit1))
             if len(rest):
                 k = slot[coder.value(rest, BITS0)]

@@ -17,82 +17,100 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: Most entries of a worker's look-up table; at this size it starts afresh. It changes speed only.
-TABLE_ENTRIES = 400_000
+TABLE_ENTRIES = 1_000_000
 
 
 class _Irregular(Exception):
     """A piece after a space starts with white space or is empty: that space belongs to a run."""
 
 
+#: What may follow the letters of a piece as one pre-token of its own, and letters on which all libraries agree.
+_TAIL = ".,;:!?#*$%&|<>()\""
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
+
+
 class ByteBpe:
     """Whole-text ids of a byte-level BPE file of the `tokenizers` library, as little-endian unsigned 32-bit bytes.
 
-    Its pre-tokenizer ends a pre-token before each space that a non-space follows, whatever stands around it. So a text is cut
-    there, and each cut piece is encoded alone: the joined ids are those of the whole text. Texts that hold the start
-    of a special token's string go to the library whole, as the library splits them first.
+    Its pre-tokenizer ends a pre-token before each space that a non-space follows, whatever stands around it. So a text
+    is cut there, and each piece is encoded once by the library and then looked up: the joined ids are those of the
+    whole text. Texts that hold a special token's string go to the library whole, as it splits them first.
     """
 
     def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
-        vocabulary = self.library.get_vocab(with_added_tokens=False)
-        self.opens = np.zeros(1 + max(vocabulary.values(), default=0) + len(added), bool)
-        self.opens[[i for piece, i in vocabulary.items() if piece.startswith("Ġ")]] = True
+        #: The characters that stand for bytes in the vocabulary.
+        self.byte_chars = {b: pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(bytes([b]).decode("latin1"))[0][0][-1] for b in (*range(128), *range(0xC3, 0xCA))}
+        self.byte_chars |= {b: pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(bytes([0xC3, b]).decode())[0][0][-1] for b in range(0x80, 0xC0)}
+        self.byte_chars |= {b: pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(bytes([b, 0x80]).decode())[0][0][0] for b in range(0xC3, 0xCA)}
+        #: Ids of pieces by the piece, without the space in front of it; ids of tails.
         self.known: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode pieces that follow a space. Those without inner spaces go through the library in one call, as one text:
-        a token that opens with a space then begins the next piece."""
-        plain = [p for p in pieces if " " not in p]
-        if len(plain) < len(pieces):
-            self.known.update((p, self._encode(" " + p)) for p in pieces if " " in p)
-        for lo in range(0, len(plain), 20_000):
-            some = plain[lo : lo + 20_000]
-            ids = np.array(self.library.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            at = np.flatnonzero(self.opens[ids])
-            assert len(at) == len(some), "a piece was not encoded alone"
-            data, edges = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
-            self.known.update((p, data[x:y]) for p, x, y in zip(some, edges, edges[1:], strict=False))
+    def _word(self, letters: str) -> bytes:
+        """A space and letters are one pre-token, which the library's model can take without its pre-tokenizer."""
+        found = self.library.model.tokenize((" " + letters).encode().decode("latin1").translate(self.byte_chars))
+        return b"".join(t.id.to_bytes(4, "little") for t in found)
+
+    def _learn(self, pieces: set[str]) -> None:
+        known, tails = self.known, self.tails
+        for piece in pieces:
+            letters = piece.rstrip(_TAIL)
+            if _LETTERS.fullmatch(letters):
+                tail = piece[len(letters) :]
+                if tail not in tails:
+                    if len(tails) > 10_000:
+                        tails.clear()
+                    tails[tail] = self._encode(tail) if tail else b""
+                if letters not in known:
+                    known[letters] = self._word(letters)
+                if tail:
+                    known[piece] = known[letters] + tails[tail]
+            else:
+                known[piece] = self._encode(" " + piece)
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; of none for null."""
-        cut, new = [], set()
+        out: list = []
+        new: set[str] = set()
+        look_up = self.known.get
         for text in texts:
             if not text:
-                cut.append(None)
-            elif self.special and self.special.search(text):
-                cut.append(text)
-            else:
-                pieces = text.split(" ")
-                unknown = set(pieces[1:]).difference(self.known)
-                if any(not p or p[0].isspace() for p in unknown):
-                    pieces = re.split(r" (?=\S)", text)
-                    unknown = set(pieces[1:]).difference(self.known)
-                new |= unknown
-                cut.append(pieces)
-        if len(self.known) + len(new) > TABLE_ENTRIES:
-            new = {p for pieces in cut if isinstance(pieces, list) for p in pieces[1:]}
-            self.known.clear()
-        self._learn(sorted(new))
-        get = self.known.__getitem__
-        out = []
-        for pieces in cut:
-            if pieces is None:
                 out.append(b"")
-            elif isinstance(pieces, str):
-                out.append(self._encode(pieces))
+                continue
+            if self.special and self.special.search(text):
+                out.append(self._encode(text))
+                continue
+            pieces = text.split(" ")
+            found = list(map(look_up, pieces))
+            found[0] = self._encode(pieces[0]) if pieces[0] else b""
+            if None in found:
+                missing = {p for p, x in zip(pieces, found, strict=True) if x is None}
+                if any(not p or p[0].isspace() for p in missing):  # that space belongs to a run
+                    pieces = re.split(r" (?=\S)", text)
+                    found = list(map(look_up, pieces))
+                    found[0] = self._encode(pieces[0]) if pieces[0] else b""
+                    missing = {p for p, x in zip(pieces, found, strict=True) if x is None}
+                new |= missing
+                out.append((pieces, found))
             else:
-                out.append((self._encode(pieces[0]) if pieces[0] else b"") + b"".join(map(get, pieces[1:])))
-        return out
+                out.append(b"".join(found))
+        if new:
+            if len(self.known) + len(new) > TABLE_ENTRIES:
+                self.known.clear()
+            self._learn(new)
+        get = self.known.__getitem__
+        return [x if isinstance(x, bytes) else b"".join([get(p) if y is None else y for p, y in zip(*x, strict=True)]) for x in out]
 
 
 class PieceCounts:
