@@ -157,7 +157,7 @@ class _Decoder:
             rng[cut] = (~low[cut] + _U(1)) & _MASK32
             low, rng = low << _U(16), rng << _U(16)
             self.low[ids], self.range[ids] = low, rng
-            self.code_[ids] = self.code_[ids] << _U(16) | self.words[self.at[ids]]
+            self.code_[ids] = self.code_[ids] << _U(16) | self.words[np.minimum(self.at[ids], len(self.words) - 1)]  # past the end only where damaged
             self.at[ids] += 1
 
 
