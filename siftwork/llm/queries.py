@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import packing, quality_rules, sharding, token_files, tokens
+from . import near_dedup, packing, quality_rules, sharding, token_files, tokens
 
 QUERIES = {
     "op1_range_coded_ids": token_files.op1_range_coded_ids,
     "op4_rule_ledger": quality_rules.op4_rule_ledger,
     "op5_whole_token_counts": tokens.op5_whole_token_counts,
     "op7_vector_best_fit": packing.op7_vector_best_fit,
+    "op8_chosen_path_dedup": near_dedup.op8_chosen_path_dedup,
     "op9_best_fit_sharding": sharding.op9_best_fit_sharding,
 }
 
@@ -28,5 +29,19 @@ m AS (SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(word_ch
 b AS (SELECT *, ((n_words < 10)::BIGINT + 2 * (100 * n_repeat_words > 20 * n_words)::BIGINT + 4 * (100 * n_symbols > 40 * n_words)::BIGINT
     + 8 * (100 * n_dup_lines > 50 * n_lines)::BIGINT + 16 * (word_chars < 2 * n_words)::BIGINT + 32 * (word_chars > 20 * n_words)::BIGINT)::BIGINT AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b
+""",
+    "op8_chosen_path_dedup": r"""
+WITH RECURSIVE d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS l FROM d),
+s AS (SELECT doc_id, CASE WHEN len(l) = 0 THEN [] WHEN len(l) < 5 THEN [array_to_string(l, ' ')]
+    ELSE list_distinct([array_to_string(l[i : i + 4], ' ') FOR i IN range(1, len(l) - 3)]) END AS g FROM w),
+n AS (SELECT doc_id, len(g) AS n FROM s),
+e AS (SELECT doc_id, unnest(g) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+u AS (SELECT a AS f, b AS g FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS f, doc_id AS g FROM d UNION SELECT r.f, u.g FROM r JOIN u ON u.f = r.g),
+m AS (SELECT f, min(g) AS c FROM r GROUP BY f)
+SELECT doc_id, n::BIGINT AS n_shingles, c AS component_id, doc_id = c AS kept FROM n JOIN m ON m.f = n.doc_id
 """,
 }
