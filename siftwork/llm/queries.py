@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import near_dedup, packing, quality_rules, sharding, token_files, tokens
+from . import near_dedup, packing, ppm, quality_rules, sharding, token_files, tokens
 
 QUERIES = {
     "op1_range_coded_ids": token_files.op1_range_coded_ids,
+    "op2_ppm_scores": ppm.op2_ppm_scores,
     "op4_rule_ledger": quality_rules.op4_rule_ledger,
     "op5_whole_token_counts": tokens.op5_whole_token_counts,
     "op7_vector_best_fit": packing.op7_vector_best_fit,
