@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import near_dedup, packing, ppm, quality_rules, sharding, token_files, tokens
+from . import near_dedup, packing, ppm, quality_rules, sharding, token_files, tokens, topk
 
 QUERIES = {
     "op1_range_coded_ids": token_files.op1_range_coded_ids,
     "op2_ppm_scores": ppm.op2_ppm_scores,
     "op4_rule_ledger": quality_rules.op4_rule_ledger,
     "op5_whole_token_counts": tokens.op5_whole_token_counts,
+    "op6_branch_and_bound": topk.op6_branch_and_bound,
     "op7_vector_best_fit": packing.op7_vector_best_fit,
     "op8_chosen_path_dedup": near_dedup.op8_chosen_path_dedup,
     "op9_best_fit_sharding": sharding.op9_best_fit_sharding,
@@ -44,5 +45,13 @@ u AS (SELECT a AS f, b AS g FROM l UNION SELECT b, a FROM l),
 r AS (SELECT doc_id AS f, doc_id AS g FROM d UNION SELECT r.f, u.g FROM r JOIN u ON u.f = r.g),
 m AS (SELECT f, min(g) AS c FROM r GROUP BY f)
 SELECT doc_id, n::BIGINT AS n_shingles, c AS component_id, doc_id = c AS kept FROM n JOIN m ON m.f = n.doc_id
+""",
+    "op6_branch_and_bound": r"""
+WITH v AS (SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 AND len(embedding) > 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([p[1] * p[2] FOR p IN list_zip(q.e, c.e)]) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """,
 }
