@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import near_dedup, packing, ppm, quality_rules, sharding, token_files, tokens, topk
+from . import language, mixing, near_dedup, packing, ppm, quality_rules, sharding, token_files, tokens, topk
 
 QUERIES = {
     "op1_range_coded_ids": token_files.op1_range_coded_ids,
     "op2_ppm_scores": ppm.op2_ppm_scores,
+    "op3_temperature_mixing": mixing.op3_temperature_mixing,
     "op4_rule_ledger": quality_rules.op4_rule_ledger,
     "op5_whole_token_counts": tokens.op5_whole_token_counts,
     "op6_branch_and_bound": topk.op6_branch_and_bound,
     "op7_vector_best_fit": packing.op7_vector_best_fit,
     "op8_chosen_path_dedup": near_dedup.op8_chosen_path_dedup,
     "op9_best_fit_sharding": sharding.op9_best_fit_sharding,
+    "op10_bayesian_language": language.op10_bayesian_language,
 }
 
 ORACLE_SQL = {
