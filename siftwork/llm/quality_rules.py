@@ -166,10 +166,11 @@ def filter_documents(docs: DataFrame, policy: str = "prose-1") -> DataFrame:
                 got = measure(part.column(at).to_pylist())
                 yield part.append_column("_m", pa.StructArray.from_arrays([pa.array(got[k]) for k in MEASURES], list(MEASURES)))
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("_m", T.StructType([T.StructField(k, T.LongType()) for k in MEASURES]))])
-    rows = docs.mapInArrow(measured, schema)
+    held = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)]
+    schema = T.StructType([*held, T.StructField("_m", T.StructType([T.StructField(k, T.LongType()) for k in MEASURES]))])
+    rows = docs.toDF(*(f.name for f in held)).mapInArrow(measured, schema)
     kept = fail_bits(lambda k: F.col("_m").getField(k)).bitwiseAND(F.lit(mask_of(policy)).cast("long")) == 0
-    return rows.where(kept).select(*names)
+    return rows.where(kept).drop("_m").toDF(*names)
 
 
 def op4_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,7 +93,19 @@ def best_fit_decreasing(sizes: list[int], capacity: int, most: int | None = None
 
 
 def level(sizes: list[int], shards: int) -> list[int]:
-    """Bins of the smallest capacity, to 1 part in 100,000, that best_fit_decreasing fills with no more than `shards`."""
+    """Bins of near equal sums: items above the mean get bins of their own, the others those of the smallest capacity, to
+    1 part in 100,000, that best_fit_decreasing fills with no more than the bins left."""
+    total, own, order = sum(sizes), 0, sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
+    while own < min(len(sizes), shards - 1) and sizes[order[own]] * (shards - own) > total:
+        total -= sizes[order[own]]
+        own += 1
+    if own:
+        placed = [0] * len(sizes)
+        for b, i in enumerate(order[:own]):
+            placed[i] = b
+        for i, b in zip(order[own:], level([sizes[i] for i in order[own:]], shards - own), strict=True):
+            placed[i] = own + b
+        return placed
     if not sizes:
         return []
     low = max(max(sizes), -(-sum(sizes) // shards))
