@@ -2,23 +2,24 @@
 
 A document's set holds the 64-bit hashes of its distinct 5-word shingles. Documents of equal sets form a class, which
 takes part once. Each class has POSITIONS minwise tokens (MinHash values). In each of TREES independent random trees a
-node draws positions, 1/SIMILARITY of them on average and one at least, and sends each of its classes to one child per position, the one
-of the class's minwise token there. A node of at most SMALL classes is compared exhaustively; larger ones branch
-again, up to DEPTH times, and what is still large then is compared in blocks. A pair at the similarity of 0.75 meets
-in a tree with a chance of 0.75 or more at each level, so that after 12 trees it has been missed with a chance below
-1e-6 where nodes become small at once, and is found for certain in a node compared in blocks.
-
-Comparison in nodes is by the POSITIONS minwise tokens: pairs with fewer than SCREEN equal ones are dropped (at
-similarity 0.75 the count has mean 48 and deviation 3.5; 26 is over 6 deviations below). The other pairs are confirmed
-on the full sets. First only a spanning forest of each node's pairs is confirmed; then, with the components that
-result, the pairs between different components: links inside a component add nothing, so none that matters is lost and
-a large group of copies does not give all its pairs.
+node draws positions (out of the first BRANCHING), 1/SIMILARITY of them on average and one at least, and sends each of
+its classes to one child per position, the one of the class's minwise token there. A node of at most SMALL classes is
+compared exhaustively; larger ones branch again, up to DEPTH times. A node that is large at the greatest depth, or that
+kept over half of its parent's classes (so most of them are much alike), is compared in blocks. A pair at the similarity of 0.75 meets in
+a tree with a chance of 0.81 where nodes become small at once, and so is missed by 10 trees with a chance below 1e-7.
+
+Comparison in nodes is by 8 bits of each of the POSITIONS minwise tokens: pairs with fewer than SCREEN equal ones are
+dropped (at similarity 0.75 the count has mean 96 and deviation 4.9, so a link at the very threshold is dropped with a
+chance of 2e-5, one at 0.8 with 1e-9). The other pairs are confirmed on the full sets. First only a spanning forest of
+each node's pairs is confirmed; then, with the components that result, the pairs between different components: links
+inside a component add nothing, so none that matters is lost and a large group of copies does not give all its pairs.
 
 No list of documents, links or components leaves the executors; components are labelled by joins.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import materialise, table
 
 WORDS, SIMILARITY = 5, (75, 100)
-POSITIONS, SCREEN = 64, 26
-TREES, DEPTH, SMALL = 12, 6, 48
+POSITIONS, BRANCHING, SCREEN = 128, 64, 76
+TREES, DEPTH, SMALL = 10, 6, 48
 _SEED = 20240229
 
 
@@ -85,17 +86,11 @@ def minwise(sets: list[np.ndarray]) -> np.ndarray:
         return out
     tokens = np.concatenate([sets[i] for i in full])
     starts = np.cumsum(sizes[full]) - sizes[full]
-    low = (tokens >> np.uint64(32)).astype(np.uint32)
-    high = tokens.astype(np.uint32)
+    # tokens are well-mixed 64-bit hashes, so a random linear function of their halves orders them evenly enough
+    low, high = (tokens >> np.uint64(32)).astype(np.uint32), tokens.astype(np.uint32)
     for p in range(POSITIONS):
-        # multiply-shift of both halves; the minimum's 32 bits stand for the token
-        k = _KEYS[p]
-        x = (low ^ np.uint32(k >> np.uint64(32))) * np.uint32(k | np.uint64(1))
-        x ^= x >> np.uint32(15)
-        x = (x + high) * np.uint32(0x85EBCA6B)
-        x ^= x >> np.uint32(13)
-        x *= np.uint32(0xC2B2AE35)
-        out[full, p] = np.minimum.reduceat(x ^ (x >> np.uint32(16)), starts)
+        k = _KEYS[p] | np.uint64(1)
+        out[full, p] = np.minimum.reduceat(low * np.uint32(k & np.uint64(0xFFFFFFFF)) + high * (np.uint32(k >> np.uint64(32)) | np.uint32(1)), starts)
     return out
 
 
@@ -110,7 +105,7 @@ def _hash(*parts: np.ndarray | int) -> np.ndarray:
 def chosen(nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions drawn by each node: row numbers and positions. One, and a second one with the chance that makes 1/0.75 on average."""
     h = _hash(nodes)
-    first, second = (h % np.uint64(POSITIONS)).astype(np.int64), (_hash(h, 1) % np.uint64(POSITIONS)).astype(np.int64)
+    first, second = (h % np.uint64(BRANCHING)).astype(np.int64), (_hash(h, 1) % np.uint64(BRANCHING)).astype(np.int64)
     more = np.flatnonzero(((h >> np.uint64(20)) % np.uint64(3) == 0) & (first != second))
     return np.concatenate([np.arange(len(nodes)), more]), np.concatenate([first, second[more]])
 
@@ -122,11 +117,11 @@ def children(nodes: np.ndarray, signatures: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def _signatures(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, POSITIONS)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, BRANCHING)
 
 
 def _class_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Text rows to (doc_id, n, digest of the set, signature, brief): brief has 16 bits of each minwise token, for comparison only."""
+    """Text rows to (doc_id, n, digest of the set, signature, brief): brief has 8 bits of each minwise token, for comparison only."""
     import hashlib
 
     for batch in batches:
@@ -135,8 +130,8 @@ def _class_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = shingle_sets(part.column(1).to_pylist())
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             signatures = minwise(sets)
-            brief = signatures.astype(np.uint16)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([x.tobytes() for x in signatures], pa.binary()), pa.array([x.tobytes() for x in brief], pa.binary())], ["doc_id", "n", "digest", "signature", "brief"])
+            brief = signatures.astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([x.tobytes() for x in signatures[:, :BRANCHING]], pa.binary()), pa.array([x.tobytes() for x in brief], pa.binary())], ["doc_id", "n", "digest", "signature", "brief"])
 
 
 def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +156,8 @@ def _child_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         rows, nodes = children(batch.column(0).to_numpy().view(np.uint64), _signatures(batch.column(2)))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes), batch.column(1).take(pa.array(rows))], ["node", "c"])
+        at = pa.array(rows)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), batch.column(1).take(at), batch.column(3).take(at)], ["node", "c", "parent"])
 
 
 def _pairs(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -207,7 +203,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = None
 
     def pairs(t: pa.Table) -> pa.RecordBatch:
-        tokens = np.frombuffer(b"".join(t.column("brief").to_pylist()), np.uint16).reshape(-1, POSITIONS)
+        tokens = np.frombuffer(b"".join(t.column("brief").to_pylist()), np.uint8).reshape(-1, POSITIONS)
         c = t.column("c").to_numpy()
         comp = t.column("comp").to_numpy() if "comp" in t.column_names else None
         i, j = _node_pairs(t.column("node").to_numpy(), c, t.column("n").to_numpy(), tokens, comp)
@@ -234,21 +230,22 @@ def compare(rows: DataFrame) -> DataFrame:
 
 
 def nodes(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, c) of the small nodes of all trees, and (node, c, blocks) of the nodes still large at the greatest depth."""
-    rows = classes.select("c", "signature").mapInArrow(_root_rows, "node long, c long")
-    small = []
+    """(node, c) of the small nodes of all trees, and (node, c, blocks) of those to be compared in blocks."""
+    rows = classes.select("c", "signature").mapInArrow(_root_rows, "node long, c long").withColumn("parent", F.lit(1 << 62).cast("long"))
+    small, alike = [], []
     for depth in range(DEPTH + 1):
         rows = materialise(rows, "nodes")
         sizes = rows.groupBy("node").agg(F.count("*").alias("m")).where("m > 1")
-        shared = materialise(rows.join(sizes, "node").select("node", "c", "m"), "shared")
+        shared = materialise(rows.join(sizes, "node").select("node", "c", "m", "parent"), "shared")
         small.append(shared.where(F.col("m") <= SMALL).select("node", "c"))
-        large = shared.where(F.col("m") > SMALL)
+        ends = F.lit(depth == DEPTH) | (2 * F.col("m") > F.col("parent"))
+        alike.append(shared.where((F.col("m") > SMALL) & ends).select("node", "c", F.ceil(F.col("m") / SMALL).cast("int").alias("blocks")))
+        large = shared.where((F.col("m") > SMALL) & ~ends)
         if depth == DEPTH or large.isEmpty():
             break
-        rows = large.join(classes.select("c", "signature"), "c").select("node", "c", "signature").mapInArrow(_child_rows, "node long, c long").distinct()
-    for more in small[1:]:
-        small[0] = small[0].unionByName(more)
-    return small[0], large.select("node", "c", F.ceil(F.col("m") / SMALL).cast("int").alias("blocks"))
+        branching = large.join(classes.select("c", "signature"), "c").select("node", "c", "signature", F.col("m").alias("parent"))
+        rows = branching.mapInArrow(_child_rows, "node long, c long, parent long").distinct()
+    return functools.reduce(DataFrame.unionByName, small), functools.reduce(DataFrame.unionByName, alike)
 
 
 def _confirm_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
