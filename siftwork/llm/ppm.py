@@ -14,8 +14,8 @@ context), computed once, and scoring needs no sets.
 Learning counts (ORDER+1)-byte grams, of which the shorter contexts' counts are sums, in one pass and one shuffle. The
 trie is cut into shards by a hash of the last two context bytes, of about SHARD grams each; the one- and two-byte
 grams (at most 65,792) are in each. Word counts for the base score are sharded by the word's 64-bit hash likewise.
-Shards are broadcast one by one, each of bounded size, and a worker that may not hold all of them scores a run of
-texts against one after the other; the shards add up, so no limit drops anything.
+Shards are broadcast one by one, each of bounded size. A worker holds up to HELD of them; if there are more, it scores
+longer runs of texts against one after the other. The shards add up, so no limit drops anything.
 """
 
 from __future__ import annotations
@@ -33,15 +33,21 @@ from .common import materialise, table
 
 ORDER = 5
 #: Grams or words a shard, about; shards that a worker holds at a time.
-SHARD, HELD = 1_500_000, 6
-#: Bytes of text that are scored or counted at a time; distinct keys after which a task hands on its counts.
-RUN, KEYS = 4 << 20, 3_000_000
+SHARD, HELD = 500_000, 24
+#: Bytes of text that are scored or counted at a time, and at most where tables must be loaded in turn; distinct keys
+#: after which a task hands on its counts.
+RUN, LONG_RUN, KEYS = 1 << 20, 16 << 20, 1_500_000
 END = b"\n"
 _U = np.uint64
 _MIX = _U(0x9E3779B97F4A7C15)
 GRAM, WORD = 0, 1
 
 
+def _least(values: np.ndarray) -> np.ndarray:
+    """Counts in the narrowest type that holds them."""
+    return values.astype(np.min_scalar_type(int(values.max(initial=0)))) if values.dtype.kind in "iu" else values
+
+
 class Lookup:
     """Values by 64-bit keys: keys mixed by an odd factor (which maps them one to one), sorted, with an index on their high bits."""
 
@@ -50,7 +56,7 @@ class Lookup:
         order = np.argsort(mixed)
         self.bits = max(1, int(len(keys)).bit_length())
         self.mixed = np.append(mixed[order], _U(2**64 - 1))
-        self.values = [np.append(v[order], v.dtype.type(0)) for v in values]
+        self.values = [np.append(v[order], v.dtype.type(0)) for v in map(_least, values)]
         self.index = np.searchsorted(self.mixed[:-1], np.arange(1 << self.bits, dtype=_U) << _U(64 - self.bits)).astype(np.int32)
         self.n = len(keys)
 
@@ -110,14 +116,14 @@ def _word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_hashes.__getitem__, words), _U, len(words))
 
 
-def _runs(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
-    """Slices of batches with about RUN bytes of text, or one text."""
+def _runs(batches: Iterator[pa.RecordBatch], at: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Slices of batches with about `size` bytes of text, or one text."""
     for batch in batches:
         column = batch.column(at)
         sizes = np.cumsum([0, *(len(x.as_buffer()) if x.is_valid else 0 for x in column)])
         lo = 0
         while lo < batch.num_rows:
-            hi = max(lo + 1, int(np.searchsorted(sizes, sizes[lo] + RUN)))
+            hi = max(lo + 1, int(np.searchsorted(sizes, sizes[lo] + size)))
             yield batch.slice(lo, hi - lo)
             lo = hi
 
@@ -142,7 +148,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 part = k[lo : lo + 200_000]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int32)), pa.array(part.view(np.int64)), pa.array(n[lo : lo + 200_000])], ["kind", "key", "n"])
 
-    for run in _runs(batches, 0):
+    for run in _runs(batches, 0, RUN):
         spelt, words = zip(*map(spell, run.column(0).to_pylist()), strict=True)
         g, starts = grams(list(spelt))
         own = _own(g, starts, np.array([len(s) for s in spelt]))
@@ -182,12 +188,13 @@ class Trie:
             if j:  # what the bytes of each context count in the next shorter one
                 at, found = self.entries[j - 1].find(k & _U((1 << 8 * j) - 1))
                 assert found.all()
-                taken = np.add.reduceat(self.entries[j - 1].values[0][at], first) if len(k) else c
+                taken = np.add.reduceat(self.entries[j - 1].values[0][at].astype(np.int64), first) if len(k) else c
             else:
                 taken = np.zeros(len(first), np.int64)
             self.nodes[j] = Lookup(contexts, total, distinct, taken)
-            self.entries[j] = Lookup(k, c)
-            if j == ORDER:
+            if j < ORDER:
+                self.entries[j] = Lookup(k, c)
+            else:
                 chance = np.log10((2 * c - 1) / np.repeat(2 * total, distinct))
                 self.direct = Lookup(k, chance)
 
@@ -206,11 +213,14 @@ class Trie:
         for j in range(ORDER, -1, -1):
             key = g[todo] & _U((1 << 8 * (j + 1)) - 1)
             node, known = self.nodes[j].find(key >> _U(8))
-            total, distinct, taken = (v[node] for v in self.nodes[j].values)
+            total, distinct, taken = (v[node].astype(np.int64) for v in self.nodes[j].values)
             t, d = total - minus_t[todo], distinct - minus_d[todo]
-            at, hit = self.entries[j].find(key)
-            hit &= known
-            out[todo[hit]] += np.log10((2 * self.entries[j].values[0][at[hit]] - 1) / (2 * t[hit]))
+            if j < ORDER:
+                at, hit = self.entries[j].find(key)
+                hit &= known
+                out[todo[hit]] += np.log10((2.0 * self.entries[j].values[0][at[hit]] - 1) / (2 * t[hit]))
+            else:  # only grams that the longest contexts do not hold come here
+                hit = np.zeros(len(todo), bool)
             escape = known & ~hit
             some = escape & (d > 0)
             out[todo[some]] += np.log10(d[some] / (2 * t[some]))
@@ -251,7 +261,7 @@ def train(docs: DataFrame) -> Model:
         return group[["shard"]].iloc[:1].assign(table=[pickle.dumps(trie, protocol=5)])
 
     def build_words(group):
-        return group[["shard"]].iloc[:1].assign(table=[pickle.dumps(Lookup(group["key"].to_numpy(np.int64).view(_U), np.log10(1.0 + group["n"].to_numpy())), protocol=5)])
+        return group[["shard"]].iloc[:1].assign(table=[pickle.dumps(Lookup(group["key"].to_numpy(np.int64).view(_U), group["n"].to_numpy(np.int64)), protocol=5)])
 
     def shards(kind: int, shard, build) -> list:
         of = max(1, -(-n_keys(kind) // SHARD))
@@ -293,9 +303,10 @@ def score(docs: DataFrame, model: Model, keep: dict[str, str]) -> DataFrame:
     """
     tries, words, shard_of, n, v, ends, name = model.tries, model.words, model.shard_of, model.n, model.v, model.ends, model.name
     names = [*keep]
+    run_size = min(LONG_RUN, RUN * -(-(len(tries) + len(words)) // HELD))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _runs(batches, len(names)):
+        for part in _runs(batches, len(names), run_size):
             spelt, found = zip(*map(spell, part.column(len(names)).to_pylist()), strict=True)
             g, starts = grams(list(spelt))
             sizes = np.array([len(s) for s in spelt])
@@ -315,7 +326,7 @@ def score(docs: DataFrame, model: Model, keep: dict[str, str]) -> DataFrame:
                     at = np.flatnonzero((hashes.view(np.int64) % len(words)) == k) if len(words) > 1 else np.arange(len(hashes))
                     counts = _held(name, len(tries) + k, sent)
                     where, hit = counts.find(hashes[at])
-                    logs[at], known[at] = counts.values[0][where] * hit, hit
+                    logs[at], known[at] = np.log10(1.0 + counts.values[0][where] * hit), hit
             base = np.bincount(doc, logs, len(found)) + np.log10(1.0 + ends) - (n_words + 1) * np.log10(n + v + 1.0)
             n_known = np.bincount(doc, known, len(found)).astype(np.int64) + (ends > 0)
             yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(names))), pa.array(n_words + 1), pa.array(n_known), pa.array(np.full(len(found), n)), pa.array(base), pa.array(scores)], [*names, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
