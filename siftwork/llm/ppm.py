@@ -36,7 +36,7 @@ ORDER = 5
 SHARD, HELD = 500_000, 24
 #: Bytes of text that are scored or counted at a time, and at most where tables must be loaded in turn; distinct keys
 #: after which a task hands on its counts.
-RUN, LONG_RUN, KEYS = 1 << 20, 16 << 20, 1_500_000
+RUN, LONG_RUN, KEYS = 1 << 19, 8 << 20, 1_500_000
 END = b"\n"
 _U = np.uint64
 _MIX = _U(0x9E3779B97F4A7C15)
@@ -103,7 +103,7 @@ class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -291,7 +291,7 @@ def _held(model: str, k: int, sent):
         while len(_tables) >= HELD:
             del _tables[next(iter(_tables))]
         _tables[key] = pickle.loads(sent.value)
-        sent.__dict__.pop("_value", None)
+        sent.__dict__.pop("_value", None)  # the pickled bytes
     return _tables[key]
 
 
