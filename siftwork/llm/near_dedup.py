@@ -5,7 +5,7 @@ takes part once. Each class has POSITIONS minwise tokens (MinHash values). In ea
 node draws positions (out of the first BRANCHING), 1/SIMILARITY of them on average and one at least, and sends each of
 its classes to one child per position, the one of the class's minwise token there. A node of at most SMALL classes is
 compared exhaustively; larger ones branch again, up to DEPTH times. A node that is large at the greatest depth, or that
-kept over half of its parent's classes (so most of them are much alike), is compared in blocks. A pair at the similarity of 0.75 meets in
+kept over ALIKE hundredths of its parent's classes (so most of them are much alike), is compared in blocks. A pair at the similarity of 0.75 meets in
 a tree with a chance of 0.81 where nodes become small at once, and so is missed by 10 trees with a chance below 1e-7.
 
 Comparison in nodes is by 8 bits of each of the POSITIONS minwise tokens: pairs with fewer than SCREEN equal ones are
@@ -32,6 +32,8 @@ from .common import materialise, table
 WORDS, SIMILARITY = 5, (75, 100)
 POSITIONS, BRANCHING, SCREEN = 128, 64, 76
 TREES, DEPTH, SMALL = 10, 6, 48
+#: A node that keeps over so many hundredths of its parent's classes is compared in blocks.
+ALIKE = 85
 _SEED = 20240229
 
 
@@ -231,14 +233,14 @@ def compare(rows: DataFrame) -> DataFrame:
 
 def nodes(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(node, c) of the small nodes of all trees, and (node, c, blocks) of those to be compared in blocks."""
-    rows = classes.select("c", "signature").mapInArrow(_root_rows, "node long, c long").withColumn("parent", F.lit(1 << 62).cast("long"))
+    rows = classes.select("c", "signature").mapInArrow(_root_rows, "node long, c long").withColumn("parent", F.lit(1 << 50).cast("long"))
     small, alike = [], []
     for depth in range(DEPTH + 1):
         rows = materialise(rows, "nodes")
         sizes = rows.groupBy("node").agg(F.count("*").alias("m")).where("m > 1")
         shared = materialise(rows.join(sizes, "node").select("node", "c", "m", "parent"), "shared")
         small.append(shared.where(F.col("m") <= SMALL).select("node", "c"))
-        ends = F.lit(depth == DEPTH) | (2 * F.col("m") > F.col("parent"))
+        ends = F.lit(depth == DEPTH) | (100 * F.col("m") > ALIKE * F.col("parent"))
         alike.append(shared.where((F.col("m") > SMALL) & ends).select("node", "c", F.ceil(F.col("m") / SMALL).cast("int").alias("blocks")))
         large = shared.where((F.col("m") > SMALL) & ~ends)
         if depth == DEPTH or large.isEmpty():

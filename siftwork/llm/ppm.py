@@ -33,10 +33,10 @@ from .common import materialise, table
 
 ORDER = 5
 #: Grams or words a shard, about; shards that a worker holds at a time.
-SHARD, HELD = 500_000, 24
+SHARD, HELD = 150_000, 64
 #: Bytes of text that are scored or counted at a time, and at most where tables must be loaded in turn; distinct keys
 #: after which a task hands on its counts.
-RUN, LONG_RUN, KEYS = 1 << 19, 8 << 20, 1_500_000
+RUN, LONG_RUN, KEYS = 1 << 20, 8 << 20, 1_500_000
 END = b"\n"
 _U = np.uint64
 _MIX = _U(0x9E3779B97F4A7C15)
@@ -242,6 +242,12 @@ class Model:
         self.tries, self.words, self.shard_of, self.n, self.v, self.ends = tries, words, shard_of, n, v, ends
         self.name = uuid.uuid4().hex
 
+    def release(self) -> None:
+        """Drop the broadcasts; scores that have not been written can then not be computed any more."""
+        for sent in (*self.tries, *self.words):
+            if sent:
+                sent.destroy()
+
 
 def train(docs: DataFrame) -> Model:
     """Learn from all texts of `docs`; a null text is an empty one."""
@@ -295,6 +301,14 @@ def _held(model: str, k: int, sent):
     return _tables[key]
 
 
+def _dealt(of: np.ndarray, shards: int) -> list:
+    """For each shard the places that it has in `of`."""
+    if shards == 1:
+        return [slice(None)]
+    order = np.argsort(of.astype(np.uint16 if shards <= 1 << 16 else np.uint32), kind="stable")
+    return np.split(order, np.cumsum(np.bincount(of, minlength=shards))[:-1])
+
+
 def score(docs: DataFrame, model: Model, keep: dict[str, str]) -> DataFrame:
     """Columns `keep` (name to type) of docs with n_tokens, n_known, train_tokens, base_score and score of the text.
 
@@ -311,9 +325,7 @@ def score(docs: DataFrame, model: Model, keep: dict[str, str]) -> DataFrame:
             g, starts = grams(list(spelt))
             sizes = np.array([len(s) for s in spelt])
             chance = np.zeros(len(g))
-            of = shard_of[((g >> _U(8)) & _U(0xFFFF)).astype(np.int64)] if len(tries) > 1 else None
-            for k, sent in enumerate(tries):
-                at = slice(None) if of is None else np.flatnonzero(of == k)
+            for (k, sent), at in zip(enumerate(tries), _dealt(shard_of[((g >> _U(8)) & _U(0xFFFF)).astype(np.int64)], len(tries)), strict=True):
                 chance[at] = _held(name, k, sent).log10(g[at]) if sent else -np.log10(256)
             bounds = np.stack([starts, starts + sizes], axis=1).reshape(-1)
             scores = np.add.reduceat(np.append(chance, 0.0), bounds)[::2]
@@ -321,9 +333,8 @@ def score(docs: DataFrame, model: Model, keep: dict[str, str]) -> DataFrame:
             hashes = np.concatenate([_word_hashes(w) for w in found])
             doc = np.repeat(np.arange(len(found)), n_words)
             logs, known = np.zeros(len(hashes)), np.zeros(len(hashes), bool)
-            for k, sent in enumerate(words):
+            for (k, sent), at in zip(enumerate(words), _dealt(hashes.view(np.int64) % len(words), len(words)), strict=True):
                 if sent:
-                    at = np.flatnonzero((hashes.view(np.int64) % len(words)) == k) if len(words) > 1 else np.arange(len(hashes))
                     counts = _held(name, len(tries) + k, sent)
                     where, hit = counts.find(hashes[at])
                     logs[at], known[at] = np.log10(1.0 + counts.values[0][where] * hit), hit
@@ -340,4 +351,6 @@ def op2_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     remainder = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7
     docs = docs.select("doc_id", "text", (remainder == 2).alias("held_out"))
     model = train(docs.where(~F.col("held_out")))
-    return score(docs, model, {"doc_id": dict(docs.dtypes)["doc_id"], "held_out": "boolean"})
+    scores = materialise(score(docs, model, {"doc_id": dict(docs.dtypes)["doc_id"], "held_out": "boolean"}), "scores")
+    model.release()
+    return scores
