@@ -5,7 +5,8 @@ takes part once. Each class has POSITIONS minwise tokens (MinHash values). In ea
 node draws positions (out of the first BRANCHING), 1/SIMILARITY of them on average and one at least, and sends each of
 its classes to one child per position, the one of the class's minwise token there. A node of at most SMALL classes is
 compared exhaustively; larger ones branch again, up to DEPTH times. A node that is large at the greatest depth, or that
-kept over ALIKE hundredths of its parent's classes (so most of them are much alike), is compared in blocks. A pair at the similarity of 0.75 meets in
+kept nearly all of its parent's classes on some levels in a row (so most of them are much alike), is compared in
+blocks. A pair at the similarity of 0.75 meets in
 a tree with a chance of 0.81 where nodes become small at once, and so is missed by 10 trees with a chance below 1e-7.
 
 Comparison in nodes is by 8 bits of each of the POSITIONS minwise tokens: pairs with fewer than SCREEN equal ones are
@@ -32,8 +33,8 @@ from .common import materialise, table
 WORDS, SIMILARITY = 5, (75, 100)
 POSITIONS, BRANCHING, SCREEN = 128, 64, 76
 TREES, DEPTH, SMALL = 10, 6, 48
-#: A node that keeps over so many hundredths of its parent's classes is compared in blocks.
-ALIKE = 85
+#: Nodes that keep over ALIKE hundredths of their parent's classes on STREAK levels in a row are compared in blocks.
+ALIKE, STREAK = 85, 2
 _SEED = 20240229
 
 
@@ -104,17 +105,22 @@ def _hash(*parts: np.ndarray | int) -> np.ndarray:
     return h
 
 
-def chosen(nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions drawn by each node: row numbers and positions. One, and a second one with the chance that makes 1/0.75 on average."""
-    h = _hash(nodes)
-    first, second = (h % np.uint64(BRANCHING)).astype(np.int64), (_hash(h, 1) % np.uint64(BRANCHING)).astype(np.int64)
-    more = np.flatnonzero(((h >> np.uint64(20)) % np.uint64(3) == 0) & (first != second))
-    return np.concatenate([np.arange(len(nodes)), more]), np.concatenate([first, second[more]])
+def _level_positions() -> np.ndarray:
+    """(TREES, DEPTH + 1, positions): each tree's levels draw from different positions, so that no level repeats one."""
+    each = BRANCHING // (DEPTH + 1)
+    order = np.stack([np.argsort(_hash(np.arange(BRANCHING), tree, 7)) for tree in range(TREES)])
+    return order[:, : each * (DEPTH + 1)].reshape(TREES, DEPTH + 1, each)
 
 
-def children(nodes: np.ndarray, signatures: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers and child nodes of rows that stand in `nodes`."""
-    rows, positions = chosen(nodes)
+def children(nodes: np.ndarray, trees: np.ndarray, depth: int, signatures: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and child nodes of rows that stand in `nodes`. A node draws one position, and a second one with the
+    chance that makes 1/0.75 on average."""
+    pool = _level_positions()[trees, depth]
+    h = _hash(nodes)
+    first, second = (h % np.uint64(pool.shape[1])).astype(np.int64), (_hash(h, 1) % np.uint64(pool.shape[1])).astype(np.int64)
+    more = np.flatnonzero(((h >> np.uint64(20)) % np.uint64(100) < 38) & (first != second))  # 1/3, as some draws are equal
+    rows = np.concatenate([np.arange(len(nodes)), more])
+    positions = pool[rows, np.concatenate([first, second[more]])]
     return rows, _hash(nodes[rows], positions, signatures[rows, positions]).view(np.int64)
 
 
@@ -144,22 +150,24 @@ def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _root_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    roots = _hash(np.arange(1, TREES + 1)).astype(np.uint64)
+    trees = np.arange(TREES)
+    roots = _hash(trees + 1)
     for batch in batches:
-        sig = _signatures(batch.column(1))
-        if not len(sig):
-            continue
-        rows, nodes = children(np.tile(roots, len(sig)), np.repeat(sig, TREES, axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes), batch.column(0).take(pa.array(rows // TREES))], ["node", "c"])
+        n = batch.num_rows
+        if n:
+            rows, nodes = children(np.tile(roots, n), np.tile(trees, n), 0, np.repeat(_signatures(batch.column(1)), TREES, axis=0))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), batch.column(0).take(pa.array(rows // TREES)), pa.array((rows % TREES).astype(np.int32))], ["node", "c", "tree"])
 
 
-def _child_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows, nodes = children(batch.column(0).to_numpy().view(np.uint64), _signatures(batch.column(2)))
-        at = pa.array(rows)
-        yield pa.RecordBatch.from_arrays([pa.array(nodes), batch.column(1).take(at), batch.column(3).take(at)], ["node", "c", "parent"])
+def _child_rows(depth: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                rows, nodes = children(batch.column(0).to_numpy().view(np.uint64), batch.column(3).to_numpy(), depth, _signatures(batch.column(2)))
+                at = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), *(batch.column(i).take(at) for i in (1, 3, 4, 5))], ["node", "c", "tree", "parent", "streak"])
+
+    return run
 
 
 def _pairs(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -233,20 +241,21 @@ def compare(rows: DataFrame) -> DataFrame:
 
 def nodes(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(node, c) of the small nodes of all trees, and (node, c, blocks) of those to be compared in blocks."""
-    rows = classes.select("c", "signature").mapInArrow(_root_rows, "node long, c long").withColumn("parent", F.lit(1 << 50).cast("long"))
+    rows = classes.select("c", "signature").mapInArrow(_root_rows, "node long, c long, tree int").withColumn("parent", F.lit(1 << 50).cast("long")).withColumn("streak", F.lit(0))
     small, alike = [], []
     for depth in range(DEPTH + 1):
         rows = materialise(rows, "nodes")
         sizes = rows.groupBy("node").agg(F.count("*").alias("m")).where("m > 1")
-        shared = materialise(rows.join(sizes, "node").select("node", "c", "m", "parent"), "shared")
+        streak = F.when(100 * F.col("m") > ALIKE * F.col("parent"), F.col("streak") + 1).otherwise(0)
+        shared = materialise(rows.join(sizes, "node").select("node", "c", "tree", "m", streak.alias("streak")), "shared")
         small.append(shared.where(F.col("m") <= SMALL).select("node", "c"))
-        ends = F.lit(depth == DEPTH) | (100 * F.col("m") > ALIKE * F.col("parent"))
+        ends = F.lit(depth == DEPTH) | (F.col("streak") >= STREAK)
         alike.append(shared.where((F.col("m") > SMALL) & ends).select("node", "c", F.ceil(F.col("m") / SMALL).cast("int").alias("blocks")))
         large = shared.where((F.col("m") > SMALL) & ~ends)
         if depth == DEPTH or large.isEmpty():
             break
-        branching = large.join(classes.select("c", "signature"), "c").select("node", "c", "signature", F.col("m").alias("parent"))
-        rows = branching.mapInArrow(_child_rows, "node long, c long, parent long").distinct()
+        branching = large.join(classes.select("c", "signature"), "c").select("node", "c", "signature", "tree", F.col("m").alias("parent"), "streak")
+        rows = branching.mapInArrow(_child_rows(depth + 1), "node long, c long, tree int, parent long, streak int").distinct()
     return functools.reduce(DataFrame.unionByName, small), functools.reduce(DataFrame.unionByName, alike)
 
 
