@@ -234,6 +234,45 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pairs(held)
 
 
+def _medoids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The class most like the others of each head, of rows (head, node, c, brief) ordered by (head, c)."""
+    held = None
+
+    def best(t: pa.Table) -> pa.RecordBatch:
+        head, node, c = (t.column(k).to_numpy() for k in ("head", "node", "c"))
+        tokens = np.frombuffer(b"".join(t.column("brief").to_pylist()), np.uint8).reshape(-1, POSITIONS)
+        edges = np.flatnonzero(np.append(True, head[1:] != head[:-1]))
+        chosen = [lo + int((tokens[lo:hi, None] == tokens[None, lo:hi]).sum(axis=(1, 2)).argmax()) for lo, hi in zip(edges, [*edges[1:], len(head)], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(node[chosen]), pa.array(c[chosen])], ["node", "c"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        t = t if held is None else pa.concat_tables([held, t])
+        head = t.column("head").to_numpy()
+        whole = int(np.flatnonzero(head != head[-1])[-1]) + 1 if head[0] != head[-1] else 0
+        held = t.slice(whole)
+        if whole:
+            yield best(t.slice(0, whole))
+    if held is not None:
+        yield best(held)
+
+
+def medoids(rows: DataFrame, brief: DataFrame) -> DataFrame:
+    """(node, c): a central class of each node of rows (node, c, blocks): the most central one of each block, of blocks of
+    those, and so on."""
+    blocks = F.col("blocks")
+    while True:
+        dealt = rows.withColumn("head", F.xxhash64("node", F.pmod(F.xxhash64("node", "c"), blocks)))
+        found = dealt.join(brief.select("c", "brief"), "c").select("head", "node", "c", "brief").repartition("head").sortWithinPartitions("head", "c").mapInArrow(_medoids, "node long, c long")
+        rows = materialise(found, "medoids")
+        sizes = rows.groupBy("node").agg(F.ceil(F.count("*") / SMALL).cast("int").alias("blocks"), F.count("*").alias("k"))
+        if sizes.where("k > 1").isEmpty():
+            return rows
+        rows = rows.join(sizes.select("node", "blocks"), "node")
+
+
 def compare(rows: DataFrame) -> DataFrame:
     """(a, b): possible links of `rows` (node, c, n, brief[, comp]) in which each node has a bounded number of rows."""
     return rows.repartition("node").sortWithinPartitions("node", "c").mapInArrow(_compare, "a long, b long")
@@ -323,9 +362,10 @@ def dedup(docs: DataFrame) -> DataFrame:
     if hot:
         dealt = large.withColumn("head", F.xxhash64("node", block))
         pairs = pairs.unionByName(compare(dealt.select(F.col("head").alias("node"), "c").join(brief, "c")))
-        heads = dealt.groupBy("node", "head").agg(F.min("c").alias("b"))
-        tops = large.groupBy("node").agg(F.min("c").alias("a"))
-        pairs = pairs.unionByName(heads.join(tops, "node").where("a < b").select("a", "b"))
+        # and each class with its node's central one: an original whose copies differ more from one another than from it
+        central = medoids(large, brief).withColumnRenamed("c", "m")
+        star = large.join(central, "node").where("c <> m").select(F.least("c", "m").alias("a"), F.greatest("c", "m").alias("b"))
+        pairs = pairs.unionByName(star)
     links = confirm(pairs, docs)
     comps = components(links)
     # second round: pairs between components only
