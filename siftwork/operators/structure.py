@@ -145,18 +145,20 @@ def structural_walks(weights: DataFrame, n_walks: int = 10, length: int = 10, st
     upto = F.sum("weight").over(by.orderBy("u").rowsBetween(W.unboundedPreceding, 0))
     steps = materialise(weights.withColumn("upto", upto).withColumn("from", F.col("upto") - F.col("weight")).withColumn("last", F.row_number().over(by.orderBy(F.desc("u"))) == 1), "steps")
     climbs = materialise(climb_chances(weights), "climbs")
-    top = weights.groupBy("v").agg(F.max("layer").alias("top"))
+    top = materialise(weights.groupBy("v").agg(F.max("layer").alias("top")), "tops")
     live = weights.where("layer = 0").select("v").distinct().withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(n_walks))))
     live = live.select(F.concat_ws(":", "v", "k").alias("walk"), F.array("v").alias("path"), "v", F.lit(0).alias("layer"))
-    for t in range(3 * length):
-        u = lambda k: _uniform(F.lit(seed), F.col("walk"), F.lit(t), F.lit(k))
-        rows = live.withColumn("r", u(0)).withColumn("u0", u(1)).withColumn("open", F.size("path") < length)
-        walk = rows.where("open").where(F.col("r") < stay).join(steps.withColumnRenamed("u", "next"), ["layer", "v"]).where((F.col("from") <= F.col("u0")) & ((F.col("u0") < F.col("upto")) | F.col("last")))
-        moved = walk.select("walk", F.array_append("path", F.col("next")).alias("path"), F.col("next").alias("v"), "layer")
-        climb = rows.where("open").where(F.col("r") >= stay).join(climbs, ["layer", "v"], "left").join(top, "v", "left")
-        up = (F.col("u0") < F.coalesce("p_up", F.lit(0.0))) & (F.col("layer") < F.col("top"))
-        shifted = climb.select("walk", "path", "v", F.when(up, F.col("layer") + 1).otherwise(F.greatest(F.col("layer") - 1, F.lit(0))).alias("layer"))
-        live = materialise(moved.unionByName(shifted).unionByName(rows.where("NOT open").select("walk", "path", "v", "layer")), "walks")
-        if live.where(F.size("path") < length).isEmpty():
-            break
+    t = 0
+    while not live.where(F.size("path") < length).isEmpty():
+        for _ in range(5):  # steps between two writes
+            u = lambda k, t=t: _uniform(F.lit(seed), F.col("walk"), F.lit(t), F.lit(k))
+            rows = live.withColumn("r", u(0)).withColumn("u0", u(1)).withColumn("open", F.size("path") < length)
+            moved = rows.where("open").where(F.col("r") < stay).join(steps.withColumnRenamed("u", "next"), ["layer", "v"]).where((F.col("from") <= F.col("u0")) & ((F.col("u0") < F.col("upto")) | F.col("last")))
+            moved = moved.select("walk", F.array_append("path", F.col("next")).alias("path"), F.col("next").alias("v"), "layer")
+            climb = rows.where("open").where(F.col("r") >= stay).join(climbs, ["layer", "v"], "left").join(top, "v", "left")
+            up = (F.col("u0") < F.coalesce("p_up", F.lit(0.0))) & (F.col("layer") < F.col("top"))
+            shifted = climb.select("walk", "path", "v", F.when(up, F.col("layer") + 1).otherwise(F.greatest(F.col("layer") - 1, F.lit(0))).alias("layer"))
+            live = moved.unionByName(shifted).unionByName(rows.where("NOT open").select("walk", "path", "v", "layer"))
+            t += 1
+        live = materialise(live, "walks")
     return live.select("walk", "path")
