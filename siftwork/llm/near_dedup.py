@@ -12,8 +12,8 @@ a tree with a chance of 0.81 where nodes become small at once, and so is missed
 Comparison in nodes is by 8 bits of each of the POSITIONS minwise tokens: pairs with fewer than SCREEN equal ones are
 dropped (at similarity 0.75 the count has mean 96 and deviation 4.9, so a link at the very threshold is dropped with a
 chance of 2e-5, one at 0.8 with 1e-9). The other pairs are confirmed on the full sets. First only a spanning forest of
-each node's pairs is confirmed; then, with the components that result, the pairs between different components: links
-inside a component add nothing, so none that matters is lost and a large group of copies does not give all its pairs.
+each node's pairs is confirmed; then, with the components that result, pairs between different components are, inside
+their nodes: links inside a component add nothing, so none that matters is lost, and no group gives out its pairs.
 
 No list of documents, links or components leaves the executors; components are labelled by joins.
 """
@@ -181,8 +181,8 @@ def _pairs(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _node_pairs(node: np.ndarray, c: np.ndarray, n: np.ndarray, tokens: np.ndarray, comp: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Possible links in whole nodes, rows ordered by (node, c): by the screen and the sizes of the sets.
 
-    Without comp a spanning forest of them: each class with the earlier class most like it. With comp all those
-    between classes of different components.
+    Without comp a spanning forest of them: each class with the earlier class most like it. With comp those between
+    classes of different components.
     """
     edges = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
     sizes = np.diff(np.append(edges, len(node)))
@@ -209,7 +209,8 @@ def _node_pairs(node: np.ndarray, c: np.ndarray, n: np.ndarray, tokens: np.ndarr
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of the nodes in a partition ordered by (node, c); a node may go on in the next batch."""
+    """Pairs of the nodes in a partition ordered by (node, c), or, with comp, the rows that stand in any; a node may go on
+    in the next batch."""
     held = None
 
     def pairs(t: pa.Table) -> pa.RecordBatch:
@@ -217,6 +218,9 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = t.column("c").to_numpy()
         comp = t.column("comp").to_numpy() if "comp" in t.column_names else None
         i, j = _node_pairs(t.column("node").to_numpy(), c, t.column("n").to_numpy(), tokens, comp)
+        if comp is not None:
+            some = pa.array(np.unique(np.concatenate([i, j])))
+            return pa.RecordBatch.from_arrays([t.column(k).combine_chunks().take(some) for k in ("node", "c", "comp")], ["node", "c", "comp"])
         both = np.unique(np.stack([np.minimum(c[i], c[j]), np.maximum(c[i], c[j])]), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
@@ -274,8 +278,71 @@ def medoids(rows: DataFrame, brief: DataFrame) -> DataFrame:
 
 
 def compare(rows: DataFrame) -> DataFrame:
-    """(a, b): possible links of `rows` (node, c, n, brief[, comp]) in which each node has a bounded number of rows."""
-    return rows.repartition("node").sortWithinPartitions("node", "c").mapInArrow(_compare, "a long, b long")
+    """Possible links of `rows` (node, c, n, brief[, comp]) in which each node has a bounded number of rows: (a, b), or, with
+    comp, the rows (node, c, comp) that have one to another component."""
+    out = "node long, c long, comp long" if "comp" in rows.columns else "a long, b long"
+    return rows.repartition("node").sortWithinPartitions("node", "c").mapInArrow(_compare, out)
+
+
+def _links_of_node(c: np.ndarray, comp: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links between the node's components on full sets, as many as join them; no others."""
+    sizes = np.array([len(s) for s in sets])
+    tokens, rows = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    _, at, counts = np.unique(tokens, return_inverse=True, return_counts=True)
+    shared = np.cumsum(counts > 1) - 1  # tokens of one class only are in no intersection
+    keep = counts[at] > 1
+    rows, at = rows[keep], shared[at[keep]]
+    common = np.zeros((len(sets), len(sets)))
+    width = 1 << 15
+    for lo in range(0, int(shared[-1]) + 1, width):
+        some = (at >= lo) & (at < lo + width)
+        held = np.zeros((len(sets), width), np.float32)
+        held[rows[some], at[some] - lo] = 1
+        common += held @ held.T
+    linked = SIMILARITY[1] * common >= SIMILARITY[0] * (sizes[:, None] + sizes[None] - common)
+    linked &= comp[:, None] != comp[None]
+    to: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while x in to:
+            x = to[x]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
+        x, y = root(int(comp[i])), root(int(comp[j]))
+        if x != y:
+            to[max(x, y)] = min(x, y)
+            out.append((int(min(c[i], c[j])), int(max(c[i], c[j]))))
+    return out
+
+
+def _confirm_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, c, comp, tokens) ordered by node to the links between the components of each node."""
+    held: list = []
+
+    def links() -> pa.RecordBatch:
+        c, comp = (np.array([r[k] for r in held]) for k in (1, 2))
+        found = _links_of_node(c, comp, [np.frombuffer(r[3], np.uint64) for r in held])
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    for batch in batches:
+        for row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            if held and row[0] != held[0][0]:
+                yield links()
+                held = []
+            held.append(row)
+    if held:
+        yield links()
+
+
+def confirm_nodes(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links on full sets between the components of each node of rows (node, c, comp)."""
+    rows = materialise(rows, "rows")
+    ids = materialise(rows.select(F.col("c").alias("doc_id")).distinct(), "rows-of")
+    sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi").mapInArrow(_token_rows, "c long, tokens binary")
+    full = rows.join(sets, "c").select("node", "c", "comp", "tokens")
+    return materialise(full.repartition("node").sortWithinPartitions("node").mapInArrow(_confirm_nodes, "a long, b long"), "links")
 
 
 def nodes(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -379,7 +446,7 @@ def dedup(docs: DataFrame) -> DataFrame:
         # the members of a node's main component stay in their own block; all others visit every block
         visits = placed.where("comp = main").withColumn("at", block).unionByName(placed.where("comp <> main").withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
         rest = rest.unionByName(compare(visits.select(F.xxhash64("node", "at").alias("node"), "c", "comp").join(brief, "c")))
-    more = confirm(rest.join(links, ["a", "b"], "left_anti"), docs)
+    more = confirm_nodes(rest, docs)
     if not more.isEmpty():
         comps = components(links.unionByName(more))
     named = hashed.select("doc_id", "n", "digest").join(classes.select("digest", "c"), "digest", "left").join(comps, "c", "left")
