@@ -148,7 +148,7 @@ def dot_graphs(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def dot_files(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.dot").text(directory)
+    raw = spark.read.text(directory, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.dot")
     return dot_graphs(raw.select(F.input_file_name().alias("graph_id"), F.col("value").alias("text")))
 
 
@@ -208,7 +208,7 @@ def cluster_report(lines: DataFrame) -> DataFrame:
 
 def stage_seconds(spark: SparkSession, directory: str, suffix: str = ".time.txt") -> DataFrame:
     """(stage, granularity, seconds) of files `<stage>[_<granularity>].time.txt` that hold one number."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").text(directory)
+    raw = spark.read.text(directory, wholetext=True, recursiveFileLookup=True, pathGlobFilter=f"*{suffix}")
     stem = F.regexp_extract(F.input_file_name(), rf"([^/]*){suffix.replace('.', chr(92) + '.')}$", 1)
     return raw.select(F.regexp_extract(stem, r"^([^_]*)", 1).alias("stage"), F.nullif(F.regexp_extract(stem, r"_(.*)$", 1), F.lit("")).alias("granularity"), F.trim("value").alias("v")).where(F.col("v").rlike(NUMBER)).select("stage", "granularity", F.col("v").cast("double").alias("seconds"))
 
