@@ -32,9 +32,10 @@ _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
 class ByteBpe:
     """Whole-text ids of a byte-level BPE file of the `tokenizers` library, as little-endian unsigned 32-bit bytes.
 
-    Its pre-tokenizer ends a pre-token before each space that a non-space follows, whatever stands around it. So a text
-    is cut there, and each piece is encoded once by the library and then looked up: the joined ids are those of the
-    whole text. Texts that hold a special token's string go to the library whole, as it splits them first.
+    Its pre-tokenizer ends a pre-token before each space that a non-space follows, whatever stands around it, and makes
+    a line end between two non-spaces a pre-token of its own. So a text is cut there, and each piece is encoded once by
+    the library and then looked up: the joined ids are those of the whole text. Texts that hold a special token's
+    string go to the library whole, as it splits them first; texts with other runs of white space are cut before spaces only.
     """
 
     def __init__(self, path: str):
@@ -50,34 +51,63 @@ class ByteBpe:
         self.byte_chars = {b: pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(bytes([b]).decode("latin1"))[0][0][-1] for b in (*range(128), *range(0xC3, 0xCA))}
         self.byte_chars |= {b: pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(bytes([0xC3, b]).decode())[0][0][-1] for b in range(0x80, 0xC0)}
         self.byte_chars |= {b: pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(bytes([b, 0x80]).decode())[0][0][0] for b in range(0xC3, 0xCA)}
-        #: Ids of pieces by the piece, without the space in front of it; ids of tails.
+        self.tokenize = self.library.model.tokenize
+        self.id_bytes = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size(with_added_tokens=True))]
+        #: Ids of pieces by the piece, without the space in front of it; of tails; and of pieces cut at spaces only.
         self.known: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {"": b""}
+        self.tails: dict[str, bytes] = {}
+        self.others: dict[str, bytes] = {}
+
+        self.line_end = self._encode("\n")
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
-    def _word(self, letters: str) -> bytes:
-        """A space and letters are one pre-token, which the library's model can take without its pre-tokenizer."""
-        found = self.library.model.tokenize((" " + letters).encode().decode("latin1").translate(self.byte_chars))
-        return b"".join(t.id.to_bytes(4, "little") for t in found)
+    def _word(self, letters: str, space: str) -> bytes:
+        """Letters, with a space in front or without, are one pre-token, which the library's model can take as it is."""
+        text = ("Ġ" if space else "") + letters if letters.isascii() else (space + letters).encode().decode("latin1").translate(self.byte_chars)
+        return b"".join([self.id_bytes[t.id] for t in self.tokenize(text)])
+
+    def _tail(self, tail: str) -> bytes:
+        if tail not in self.tails:
+            if len(self.tails) > 10_000:
+                self.tails.clear()
+            self.tails[tail] = self._encode(tail) if tail else b""
+        return self.tails[tail]
+
+    def _piece(self, piece: str, space: str) -> bytes:
+        letters = piece.rstrip(_TAIL)
+        if _LETTERS.fullmatch(letters):
+            return self._word(letters, space) + self._tail(piece[len(letters) :])
+        return self._encode(space + piece)
 
     def _learn(self, pieces: set[str]) -> None:
-        known, tails = self.known, self.tails
+        known = self.known
         for piece in pieces:
+            if piece[0] == "\n":
+                known[piece] = self.line_end + self._piece(piece[1:], "")
+                continue
             letters = piece.rstrip(_TAIL)
-            if _LETTERS.fullmatch(letters):
-                tail = piece[len(letters) :]
-                if tail not in tails:
-                    if len(tails) > 10_000:
-                        tails.clear()
-                    tails[tail] = self._encode(tail) if tail else b""
+            if len(letters) < len(piece) and _LETTERS.fullmatch(letters):
                 if letters not in known:
-                    known[letters] = self._word(letters)
-                if tail:
-                    known[piece] = known[letters] + tails[tail]
+                    known[letters] = self._word(letters, " ")
+                known[piece] = known[letters] + self._tail(piece[len(letters) :])
             else:
-                known[piece] = self._encode(" " + piece)
+                known[piece] = self._piece(piece, " ")
+
+    @staticmethod
+    def _irregular(piece: str) -> bool:
+        """White space at its start (but for one line end before a non-space) or at its end, or nothing in it."""
+        return not piece or piece[-1].isspace() or piece[0].isspace() and (piece[0] != "\n" or piece[1].isspace())
+
+    def _cut_at_spaces(self, text: str) -> bytes:
+        pieces = re.split(r" (?=\S)", text)
+        if len(self.others) > TABLE_ENTRIES // 4:
+            self.others.clear()
+        others = self.others
+        for p in set(pieces[1:]).difference(others):
+            others[p] = self._encode(" " + p)
+        return (self._encode(pieces[0]) if pieces[0] else b"") + b"".join([others[p] for p in pieces[1:]])
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; of none for null."""
@@ -91,18 +121,20 @@ class ByteBpe:
             if self.special and self.special.search(text):
                 out.append(self._encode(text))
                 continue
-            pieces = text.split(" ")
+            pieces = text.replace("\n", " \n").split(" ")
+            if self._irregular(pieces[0]):
+                out.append(self._cut_at_spaces(text))
+                continue
             found = list(map(look_up, pieces))
-            found[0] = self._encode(pieces[0]) if pieces[0] else b""
+            found[0] = first = self._piece(pieces[0], "")
             if None in found:
-                missing = {p for p, x in zip(pieces, found, strict=True) if x is None}
-                if any(not p or p[0].isspace() for p in missing):  # that space belongs to a run
-                    pieces = re.split(r" (?=\S)", text)
-                    found = list(map(look_up, pieces))
-                    found[0] = self._encode(pieces[0]) if pieces[0] else b""
-                    missing = {p for p, x in zip(pieces, found, strict=True) if x is None}
+                missing = {pieces[i] for i, x in enumerate(found) if x is None}
+                if any(map(self._irregular, missing)):
+                    out.append(self._cut_at_spaces(text))
+                    continue
                 new |= missing
-                out.append((pieces, found))
+                pieces[0] = first
+                out.append(pieces)
             else:
                 out.append(b"".join(found))
         if new:
@@ -110,7 +142,7 @@ class ByteBpe:
                 self.known.clear()
             self._learn(new)
         get = self.known.__getitem__
-        return [x if isinstance(x, bytes) else b"".join([get(p) if y is None else y for p, y in zip(*x, strict=True)]) for x in out]
+        return [x if isinstance(x, bytes) else x[0] + b"".join(map(get, x[1:])) for x in out]
 
 
 class PieceCounts:
