@@ -34,7 +34,9 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many words as there are, mixed so that no source is used more than 1.25 times; a row for each use."""
-    return mixing.mix(docs, mixing.n_words(), repeats=1.25, keep=tuple(docs.columns)).select(*docs.columns)
+    mixed = mixing.mix(docs, mixing.n_words(), repeats=1.25, keep=tuple(docs.columns), places=False)
+    n = len(docs.columns)
+    return mixed.toDF(*map(str, range(len(mixed.columns)))).select(*map(str, range(n))).toDF(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -113,11 +113,20 @@ def identify(rows: DataFrame, languages: list[str], chances: np.ndarray) -> Data
     ids = [c for c in rows.columns if c not in ("text", "declared", "host", "suffix")]
     if not languages:
         return rows.select(*ids, "declared", F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("posterior"), F.lit(0).cast("long").alias("n_trigrams"), F.lit(None).cast("double").alias("mean_loglik"), F.lit(False).alias("kept"))
-    n = len(languages)
+    scored = materialise(_scored(rows, chances), "likelihoods")
+    return _fused(scored, ids, languages, _priors(scored, len(languages)))
+
+
+def _scored(rows: DataFrame, chances: np.ndarray) -> DataFrame:
+    """rows without text, with the text's log likelihoods and posteriors, and evidence without nulls."""
+    ids = [c for c in rows.columns if c not in ("text", "declared", "host", "suffix")]
     known = lambda c, out: F.coalesce(F.col(c), F.lit("\0")).alias(out)
     scored = _likelihoods(rows.select(*ids, "declared", known("declared", "_d"), known("host", "_h"), known("suffix", "_s"), "text"), chances)
-    scored = materialise(_posterior(scored, F.transform("loglik", lambda x: x * TEMPER), "_p"), "likelihoods")
-    at = lambda c, k: F.get(F.col(c), k)
+    return _posterior(scored, F.transform("loglik", lambda x: x * TEMPER), "_p")
+
+
+def _priors(scored: DataFrame, n: int) -> tuple:
+    """Text posteriors summed by host, suffix, declaration and over all, and the number of declarations."""
     sums = lambda to: F.array(*(F.sum(F.get("_p", F.lit(k))) for k in range(n))).alias(to)
     again = lambda c, to: F.array(*(F.sum(F.get(c, F.lit(k))) for k in range(n))).alias(to)
     # written out, as their sizes then decide how they are joined
@@ -126,7 +135,13 @@ def identify(rows: DataFrame, languages: list[str], chances: np.ndarray) -> Data
     by_declared = materialise(scored.groupBy("_d").agg(sums("_declares")), "declarations")
     whole = by_suffix.agg(again("_suffix", "w")).first()["w"]
     whole = [x or 0.0 for x in whole]
-    kinds = by_declared.count()
+    return by_host, by_suffix, by_declared, whole, by_declared.count()
+
+
+def _fused(scored: DataFrame, ids: list[str], languages: list[str], priors: tuple) -> DataFrame:
+    n = len(languages)
+    by_host, by_suffix, by_declared, whole, kinds = priors
+    at = lambda c, k: F.get(F.col(c), k)
     full = scored.join(by_host, ["_s", "_h"]).join(by_suffix, "_s").join(by_declared, "_d")
     of_all = F.array(*map(F.lit, whole))
 
@@ -178,7 +193,12 @@ def identify_documents(docs: DataFrame) -> DataFrame:
     """All columns of documents, with _language and _kept. Columns of any names pass through."""
     held = [f"c{i}" for i in range(len(docs.columns))]
     rows = docs.select(*(F.col(c).alias(h) for c, h in zip(docs.columns, held, strict=True)), *_document_evidence())
-    found = identify(rows, *fit(docs))
+    languages, chances = fit(docs)
+    if languages:  # priors from the narrow evidence; texts are then scored once more, on their way through
+        priors = _priors(materialise(_scored(docs.select(*_document_evidence()), chances), "likelihoods"), len(languages))
+        found = _fused(_scored(rows, chances), held, languages, priors)
+    else:
+        found = identify(rows, languages, chances)
     return found.select(*(F.col(h).alias(c) for c, h in zip(docs.columns, held, strict=True)), F.col("language").alias("_language"), F.col("kept").alias("_kept"))
 
 

@@ -66,20 +66,23 @@ def find_exponent(sources: DataFrame, total: float, budget: float, entropy: floa
     return high
 
 
-def mix(docs: DataFrame, tokens: Column, budget: int | None = None, entropy: float | None = None, repeats: float | None = None, seed: int = 17, keep: tuple[str, ...] = ("doc_id", "source")) -> DataFrame:
+def mix(docs: DataFrame, tokens: Column, budget: int | None = None, entropy: float | None = None, repeats: float | None = None, seed: int = 17, keep: tuple[str, ...] = ("doc_id", "source"), places: bool = True) -> DataFrame:
     """One row for each use of a document: columns `keep`, n_tokens, pass_no (from 0), block and place in the block.
 
     budget: tokens, all there are if not given. Every source gets its weight's part of it, to the nearest document;
     where that is more than it has, its documents are used again. A null source is a source; a source without tokens
     has no weight, and its documents are not used; a text without words counts no tokens and is used where it falls.
-    Repeated rows are documents of their own; an empty table gives no rows.
+    Repeated rows are documents of their own; an empty table gives no rows. Without `places` the column place is left
+    out, and with it one shuffle of all columns kept.
     """
-    rows = docs.select(*keep, F.coalesce(F.col("source"), F.lit("\0")).alias("_source"), tokens.cast("long").alias("n_tokens"), F.xxhash64("doc_id", "text").alias("_id"))
-    rows = materialise(rows, "lengths")
-    sources = materialise(rows.groupBy("_source").agg(F.sum("n_tokens").alias("tokens")), "sources")
+    # columns kept may have any names; they travel under others
+    held = [f"_keep{i}" for i in range(len(keep))]
+    rows = docs.select(*(F.col(c).alias(h) for c, h in zip(keep, held, strict=True)), F.coalesce(F.col("source"), F.lit("\0")).alias("_source"), tokens.cast("long").alias("_tokens"), F.xxhash64("doc_id", "text").alias("_id"))
+    sources = materialise(rows.groupBy("_source").agg(F.sum("_tokens").alias("tokens")), "sources")
     total = sources.agg(F.sum("tokens")).first()[0] or 0
     if not total:
-        return rows.select(*keep, "n_tokens", F.lit(0).alias("pass_no"), F.lit(0).cast("long").alias("block"), F.lit(0).alias("place")).limit(0)
+        none = [F.col("_tokens").alias("n_tokens"), F.lit(0).alias("pass_no"), F.lit(0).cast("long").alias("block"), *([F.lit(0).alias("place")] if places else [])]
+        return rows.select(*(F.col(h).alias(c) for c, h in zip(keep, held, strict=True)), *none).limit(0)
     budget = budget or total
     exponent = find_exponent(sources, total, budget, entropy, repeats)
     weight = F.pow(F.col("tokens") / F.lit(float(total)), F.lit(exponent))
@@ -92,16 +95,19 @@ def mix(docs: DataFrame, tokens: Column, budget: int | None = None, entropy: flo
     # the bucket takes the draw's high bits, so buckets follow one another in the order of the draws
     uses = uses.withColumn("_bucket", F.floor(F.col("_draw") * F.col("buckets") / F.lit(float(1 << 52))))
     group = ["_source", "pass_no", "_bucket"]
-    sums = uses.groupBy(*group).agg(F.sum("n_tokens").alias("_sum"))
+    sums = uses.groupBy(*group).agg(F.sum("_tokens").alias("_sum"))
     ahead = W.partitionBy("_source", "pass_no").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select(*group, F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_ahead"))
-    inside = W.partitionBy(*group).orderBy("_draw", "_id", *keep).rowsBetween(W.unboundedPreceding, -1)
-    placed = uses.withColumn("_inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(sums, group)
+    inside = W.partitionBy(*group).orderBy("_draw", "_id", held[0]).rowsBetween(W.unboundedPreceding, -1)
+    placed = uses.withColumn("_inside", F.coalesce(F.sum("_tokens").over(inside), F.lit(0))).join(sums, group)
     start = F.col("pass_no") * F.col("tokens") + F.col("_ahead") + F.col("_inside")
     placed = placed.withColumn("_start", start).where(F.col("_start") < F.col("goal"))
     placed = placed.withColumn("block", F.floor(F.col("_start") / (F.col("weight") * F.lit(float(BLOCK)))).cast("long"))
-    order = W.partitionBy("block").orderBy(F.xxhash64(F.lit(seed + 1), "_draw"), "_source", "pass_no", "_id", *keep)
-    return placed.withColumn("place", F.row_number().over(order) - 1).select(*keep, "n_tokens", "pass_no", "block", "place")
+    out = [*(F.col(h).alias(c) for c, h in zip(keep, held, strict=True)), F.col("_tokens").alias("n_tokens"), "pass_no", "block"]
+    if not places:
+        return placed.select(*out)
+    order = W.partitionBy("block").orderBy(F.xxhash64(F.lit(seed + 1), "_draw"), "_source", "pass_no", "_id", held[0])
+    return placed.withColumn("place", F.row_number().over(order) - 1).select(*out, "place")
 
 
 def op3_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

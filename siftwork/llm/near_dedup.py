@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, scratch, table
 
 WORDS, SIMILARITY = 5, (75, 100)
 POSITIONS, BRANCHING, SCREEN = 128, 64, 76
@@ -415,6 +415,11 @@ def dedup(docs: DataFrame) -> DataFrame:
     sequence; repeated rows have equal sets and so share a component, of which the first by doc_id is kept (all equal
     doc_ids are); an empty table gives no rows; other columns are ignored.
     """
+    with scratch(docs.sparkSession):
+        return materialise(_dedup(docs), "dedup", keep=True)
+
+
+def _dedup(docs: DataFrame) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
     hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_class_rows, "doc_id long, n long, digest binary, signature binary, brief binary")
     hashed = materialise(hashed, "sets")

@@ -140,6 +140,7 @@ class ByteBpe:
         if new:
             if len(self.known) + len(new) > TABLE_ENTRIES:
                 self.known.clear()
+                new = {p for x in out if isinstance(x, list) for p in x[1:]}
             self._learn(new)
         get = self.known.__getitem__
         return [x if isinstance(x, bytes) else x[0] + b"".join(map(get, x[1:])) for x in out]

@@ -40,7 +40,7 @@ def test_tables_start_afresh_without_changing_results(monkeypatch):
     several = ["one two three  four", "five\nsix seven", "one eight nine ten eleven"]
     monkeypatch.setattr(tokens, "TABLE_ENTRIES", 3)
     small, pieces = tokens.ByteBpe(BPE), tokens.PieceCounts(PIECES)
-    for _ in range(2):
+    for several in (several, ["two three new words here"], [*several, "two three six, seven\neight"]):
         assert small.encode_all(several) == [ids(t) for t in several]
         assert pieces.count_all(several) == [len(model.encode(t)) for t in several]
 
