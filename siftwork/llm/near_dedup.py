@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from .common import materialise, scratch, table
 
 WORDS, SIMILARITY = 5, (75, 100)
@@ -386,28 +387,6 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return materialise(rows.select("a", "b", "x", "y").mapInArrow(_confirm_batches, "a long, b long"), "links")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(c, comp): each linked class with the smallest class it is connected with.
-
-    Alternating large-star and small-star rounds; both are a grouped minimum and a join, and a hub's links lie on many
-    rows of the join, not in one row.
-    """
-    edges = materialise(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    while True:
-        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = materialise(large, "large-star")
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e")).select(F.col("e.u").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct()
-        new = materialise(small, "edges")
-        # a star forest: no vertex is both a member and a centre, and each member has one centre
-        members = new.groupBy("u").agg(F.count("*").alias("k"))
-        if members.where("k > 1").isEmpty() and new.join(new.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
-            return new.select(F.col("u").alias("c"), F.col("v").alias("comp"))
-        edges = new
-
-
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document; a doc_id that is null makes a component of its own.
 
