@@ -1 +1 @@
-
+"""Settings, and tables in the shared folder."""
