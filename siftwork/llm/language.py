@@ -59,7 +59,7 @@ def fit(docs: DataFrame, label: str = "lang") -> tuple[list[str], np.ndarray]:
                 k, n = np.unique(codes[per == one], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([one] * len(k), pa.string()), pa.array(k), pa.array(n.astype(np.int64))], ["lang", "k", "n"])
 
-    sample = labelled.where(F.col("h") <= least).select(label, "text")
+    sample = labelled.where(F.col("h") <= least).select(label, "text").limit(SAMPLE)  # equal ids could make it more
     # LANGUAGES * BUCKETS rows at most
     got = sample.mapInArrow(count, "lang string, k long, n long").groupBy("lang", "k").agg(F.sum("n").alias("n"))
     top = [r["lang"] for r in got.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
