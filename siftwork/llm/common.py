@@ -2,18 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.tables import materialise, scratch, shared_dir, table, table_path
 
-__all__ = ["SPACE", "materialise", "scratch", "shared_dir", "table", "table_path", "with_rank"]
+__all__ = ["SPACE", "materialise", "scratch", "shared_dir", "table", "table_path", "with_rank", "worker_memory"]
 
 #: White space that ends a word: space and 0x09 to 0x0D. Any other character belongs to a word.
 SPACE = b" \t\n\x0b\x0c\r"
 
 
+_owner: list = ["", None]
+
+
+def worker_memory(owner: str, clear: Callable[[], None] | None = None) -> None:
+    """Called where a task starts in a Python worker: look-up tables that another operator's tasks left there are dropped."""
+    if _owner[0] != owner:
+        if _owner[1] is not None:
+            _owner[1]()
+        _owner[:] = owner, clear
+
+
 def with_rank(df: DataFrame, by: list[str], order: list[Column], to: str, rows: int) -> DataFrame:
     """Number the rows of each `by` group from 0 without gaps, in no stated order.
 

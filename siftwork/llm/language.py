@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, table, worker_memory
 
 #: Labelled rows that the text models are fitted on, at most; buckets of trigrams; languages, at most (the most frequent ones in the sample).
 SAMPLE, BUCKETS, LANGUAGES = 4000, 1 << 16, 64
@@ -76,6 +76,7 @@ def _likelihoods(rows: DataFrame, chances: np.ndarray) -> DataFrame:
     names = [c for c in rows.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory("language")
         table = sent.value
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import materialise, scratch, table
+from .common import materialise, scratch, table, worker_memory
 
 WORDS, SIMILARITY = 5, (75, 100)
 POSITIONS, BRANCHING, SCREEN = 128, 64, 76
@@ -54,7 +54,7 @@ class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -133,6 +133,7 @@ def _class_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Text rows to (doc_id, n, digest of the set, signature, brief): brief has 8 bits of each minwise token, for comparison only."""
     import hashlib
 
+    worker_memory("near_dedup", _words.clear)
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
             part = batch.slice(lo, 256)
@@ -144,6 +145,7 @@ def _class_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker_memory("near_dedup", _words.clear)
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
             part = batch.slice(lo, 256)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, table, worker_memory
 
 ORDER = 5
 #: Grams or words a shard, about; shards that a worker holds at a time.
@@ -112,6 +112,11 @@ class _WordHashes(dict):
 _hashes = _WordHashes()
 
 
+def _clear() -> None:
+    _hashes.clear()
+    _tables.clear()
+
+
 def _word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_hashes.__getitem__, words), _U, len(words))
 
@@ -138,6 +143,7 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts to (kind, key, n), summed within the task as far as KEYS allows."""
+    worker_memory("ppm", _clear)
     held: dict[int, list] = {GRAM: [], WORD: []}
 
     def hand_on(kind: int) -> Iterator[pa.RecordBatch]:
@@ -320,6 +326,7 @@ def score(docs: DataFrame, model: Model, keep: dict[str, str]) -> DataFrame:
     run_size = min(LONG_RUN, RUN * -(-(len(tries) + len(words)) // HELD))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory("ppm", _clear)
         for part in _runs(batches, len(names), run_size):
             spelt, found = zip(*map(spell, part.column(len(names)).to_pylist()), strict=True)
             g, starts = grams(list(spelt))

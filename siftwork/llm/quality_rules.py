@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, table
+from .common import SPACE, table, worker_memory
 
 SYMBOLS = b"#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
@@ -115,6 +115,7 @@ def measure(texts: list[str | None]) -> dict[str, np.ndarray]:
 
 
 def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker_memory("quality_rules")
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1)
         for at in range(0, batch.num_rows, 512):
@@ -160,6 +161,7 @@ def filter_documents(docs: DataFrame, policy: str = "prose-1") -> DataFrame:
     at = names.index("text")
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory("quality_rules")
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)

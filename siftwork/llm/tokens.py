@@ -14,19 +14,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, worker_memory
 
 #: Most entries of a worker's look-up table; at this size it starts afresh. It changes speed only.
-TABLE_ENTRIES = 1_000_000
+TABLE_ENTRIES = 600_000
 
 
 class _Irregular(Exception):
     """A piece after a space starts with white space or is empty: that space belongs to a run."""
 
 
-#: What may follow the letters of a piece as one pre-token of its own, and letters on which all libraries agree.
-_TAIL = ".,;:!?#*$%&|<>()\""
-_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
+#: Letters on which all libraries agree, and what may follow them as one pre-token of its own.
+_FORM = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?#*$%&|<>()\"]*)")
 
 
 class ByteBpe:
@@ -72,28 +71,29 @@ class ByteBpe:
         if tail not in self.tails:
             if len(self.tails) > 10_000:
                 self.tails.clear()
-            self.tails[tail] = self._encode(tail) if tail else b""
+            self.tails[tail] = self._encode(tail)
         return self.tails[tail]
 
     def _piece(self, piece: str, space: str) -> bytes:
-        letters = piece.rstrip(_TAIL)
-        if _LETTERS.fullmatch(letters):
-            return self._word(letters, space) + self._tail(piece[len(letters) :])
-        return self._encode(space + piece)
+        form = _FORM.fullmatch(piece)
+        if not form:
+            return self._encode(space + piece)
+        letters, tail = form.groups()
+        return self._word(letters, space) + self._tail(tail) if tail else self._word(letters, space)
 
     def _learn(self, pieces: set[str]) -> None:
-        known = self.known
+        known, match = self.known, _FORM.fullmatch
         for piece in pieces:
-            if piece[0] == "\n":
-                known[piece] = self.line_end + self._piece(piece[1:], "")
+            form = match(piece)
+            if not form:
+                known[piece] = self.line_end + self._piece(piece[1:], "") if piece[0] == "\n" else self._encode(" " + piece)
                 continue
-            letters = piece.rstrip(_TAIL)
-            if len(letters) < len(piece) and _LETTERS.fullmatch(letters):
-                if letters not in known:
-                    known[letters] = self._word(letters, " ")
-                known[piece] = known[letters] + self._tail(piece[len(letters) :])
-            else:
-                known[piece] = self._piece(piece, " ")
+            letters, tail = form.groups()
+            ids = known.get(letters) if tail else None
+            if ids is None:
+                ids = known[letters] = self._word(letters, " ")
+            if tail:
+                known[piece] = ids + self._tail(tail)
 
     @staticmethod
     def _irregular(piece: str) -> bool:
@@ -126,24 +126,29 @@ class ByteBpe:
                 out.append(self._cut_at_spaces(text))
                 continue
             found = list(map(look_up, pieces))
-            found[0] = first = self._piece(pieces[0], "")
+            found[0] = self._piece(pieces[0], "")
             if None in found:
-                missing = {pieces[i] for i, x in enumerate(found) if x is None}
+                gaps = [(i, pieces[i]) for i, x in enumerate(found) if x is None]
+                missing = {p for _, p in gaps}
                 if any(map(self._irregular, missing)):
                     out.append(self._cut_at_spaces(text))
                     continue
                 new |= missing
-                pieces[0] = first
-                out.append(pieces)
+                out.append((found, gaps))
             else:
                 out.append(b"".join(found))
         if new:
             if len(self.known) + len(new) > TABLE_ENTRIES:
                 self.known.clear()
-                new = {p for x in out if isinstance(x, list) for p in x[1:]}
             self._learn(new)
-        get = self.known.__getitem__
-        return [x if isinstance(x, bytes) else x[0] + b"".join(map(get, x[1:])) for x in out]
+        known = self.known
+        for k, x in enumerate(out):
+            if isinstance(x, tuple):
+                found, gaps = x
+                for i, p in gaps:
+                    found[i] = known[p]
+                out[k] = b"".join(found)
+        return out
 
 
 class PieceCounts:
@@ -216,6 +221,7 @@ _loaded: dict[tuple[type, str], object] = {}
 
 def loaded(kind: type, path: str):
     """One encoder a worker process."""
+    worker_memory("tokens", _loaded.clear)
     if (kind, path) not in _loaded:
         _loaded[kind, path] = kind(path)
     return _loaded[kind, path]
