@@ -398,7 +398,7 @@ def report_page(spark, d):
 @query("source_excerpt", """WITH s AS (SELECT 'file' || doc_id AS file, unnest(range(1, len(l) + 1)) AS line, unnest(l) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) x),
 c AS (SELECT conv_id AS _id, role, turn, length(text) AS n FROM conversations WHERE text IS NOT NULL), o AS (SELECT _id, 'file' || (n % 1000) AS file, role, turn, [n % 50, n % 7] AS own, n FROM c),
 w AS (SELECT DISTINCT _id, file, role, turn, n, own, unnest([own[1] - 1, own[1], own[1] + 1, own[2] - 1, own[2], own[2] + 1]) AS line FROM o)
-SELECT _id, file, line, CASE WHEN NOT list_contains(own, line) THEN 'margin' WHEN turn % 4 = 0 AND n % 5 <> 0 AND line = n % 50 THEN 'diff' ELSE 'code' END AS kind, count(*) AS times FROM w JOIN s USING (file, line) WHERE trim(text) <> '' GROUP BY ALL""")
+SELECT _id, file, line::INTEGER AS line, CASE WHEN NOT list_contains(own, line) THEN 'margin' WHEN turn % 4 = 0 AND n % 5 <> 0 AND line = n % 50 THEN 'diff' ELSE 'code' END AS kind, count(*) AS times FROM w JOIN s USING (file, line) WHERE trim(text) <> '' GROUP BY ALL""")
 def source_excerpt(spark, d):
     from .sources.readers import source_lines
 
@@ -470,7 +470,7 @@ def layer_weights(spark, d):
     return structure.layer_weights(p).withColumn("weight", F.round("weight", 6))
 
 
-@query("graph_size", f"WITH {_TRADE} SELECT count(DISTINCT src) AS n_vertices, count(*) // 2 AS n_edges, 0 AS n_loops FROM e")
+@query("graph_size", f"WITH {_TRADE} SELECT count(DISTINCT src) AS n_vertices, count(*) // 2 AS n_edges, 0::BIGINT AS n_loops FROM e")
 def graph_size(spark, d):
     return graph.graph_size(trade(spark, d))
 
