@@ -292,6 +292,26 @@ def ranked_inconsistencies(spark, d):
     return differences.majority_rank(two_step_clusters(spark, d)).where("n_subs >= 2")
 
 
+@query("inconsistency_documents", _TWO + _DIFFS + """, y AS (SELECT cluster FROM two GROUP BY 1 HAVING count(DISTINCT sub) >= 2), t AS (SELECT *, dense_rank() OVER (PARTITION BY cluster ORDER BY sub) AS k FROM two WHERE cluster IN (FROM y))
+SELECT t.cluster, t.k::INTEGER AS sub_cluster_number, 'g' || t.id AS graph_path, replace(df.feature, '.', ';') AS node_name, coalesce(ft.value, 0)::INTEGER AS node_value FROM t JOIN df ON df.cluster = t.cluster LEFT JOIN ft ON ft.id = t.id AND ft.feature = df.feature""")
+def inconsistency_documents(spark, d):
+    """The assembled documents, a row a difference."""
+    nested = materialise(two_step_clusters(spark, d), "nested")
+    text = lambda c, v: F.concat(F.lit(v), F.col(c).cast("string"))
+    constructs = nested.select("id", text("id", "g").alias("graph_path"), text("id", "f").alias("source_file_path"), F.array(F.lit(1)).alias("lines"), text("id", "fn").alias("function_name"), F.array(F.lit("b")).alias("bbs"), F.lit("v").alias("variable_name"))
+    lines = nested.select("id", F.lit("none").alias("label"), F.expr("cast(array() as array<string>)").alias("lines"))
+    docs = differences.assemble(nested, constructs, vector_features(spark, d), lines, {"construct_type": "afs", "firststep_threshold": FIRST}, "id")
+    subs = docs.select("cluster", F.explode("subclusters").alias("s")).select("cluster", "s.sub_cluster_number", F.explode("s.constructs").alias("c"))
+    return subs.select("cluster", "sub_cluster_number", "c.graph_path", F.explode("c.node_diffs").alias("n")).select("cluster", "sub_cluster_number", "graph_path", "n.node_name", "n.node_value")
+
+
+@query("mean_vectors", "SELECT user_id AS construct_id, k::INTEGER AS dim, round(avg(x), 6) AS m FROM (SELECT user_id, unnest(range(0, 64)) AS k, unnest(CAST(embedding AS DOUBLE[])) AS x FROM events JOIN embeddings ON vec_id = event_id) y GROUP BY 1, 2")
+def mean_vectors(spark, d):
+    nodes = event_nodes(spark, d).select(F.col("graph_id").alias("construct_id"), "node_id")
+    means = features.mean_vectors(nodes, vectors(spark, d).withColumnRenamed("id", "node_id"))
+    return means.select("construct_id", F.posexplode("vec").alias("dim", "m")).withColumn("m", F.round("m", 6))
+
+
 def _places(nested):
     i = F.col("id")
     return nested.select("cluster", "sub", "id", F.concat(F.lit("f"), (i % 3).cast("string")).alias("file"), F.concat(F.lit("g"), (i % 5).cast("string")).alias("function"), F.concat(F.lit("v"), (i % 2).cast("string")).alias("variable"), F.array((i % 4).cast("string")).alias("bbs"))
