@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import components
@@ -37,6 +37,8 @@ TREES, DEPTH, SMALL = 10, 6, 48
 #: Nodes that keep over ALIKE hundredths of their parent's classes on STREAK levels in a row are compared in blocks.
 ALIKE, STREAK = 85, 2
 _SEED = 20240229
+#: Hash buckets of ids that are broadcast, at most.
+BUCKETS = 1 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -343,7 +345,7 @@ def confirm_nodes(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """Links on full sets between the components of each node of rows (node, c, comp)."""
     rows = materialise(rows, "rows")
     ids = materialise(rows.select(F.col("c").alias("doc_id")).distinct(), "rows-of")
-    sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi").mapInArrow(_token_rows, "c long, tokens binary")
+    sets = by_id(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids).mapInArrow(_token_rows, "c long, tokens binary")
     full = rows.join(sets, "c").select("node", "c", "comp", "tokens")
     return materialise(full.repartition("node").sortWithinPartitions("node").mapInArrow(_confirm_nodes, "a long, b long"), "links")
 
@@ -368,6 +370,24 @@ def nodes(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return functools.reduce(DataFrame.unionByName, small), functools.reduce(DataFrame.unionByName, alike)
 
 
+def _bucket(c: str) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(BUCKETS))
+
+
+def by_id(docs: DataFrame, ids: DataFrame, inside: bool = True) -> DataFrame:
+    """The rows of docs whose doc_id is among the distinct ids (doc_id), or the rows whose is not.
+
+    The ids' hash buckets, of which there are BUCKETS at most, are broadcast first, so that few rows need the join by
+    id, and texts that it does not concern are not shuffled.
+    """
+    some = F.broadcast(ids.select(_bucket("doc_id").alias("_bucket")).distinct())
+    dealt = docs.withColumn("_bucket", _bucket("doc_id"))
+    near = dealt.join(some, "_bucket", "left_semi").drop("_bucket")
+    if inside:
+        return near.join(ids, "doc_id", "left_semi").select(*docs.columns)
+    return dealt.join(some, "_bucket", "left_anti").drop("_bucket").unionByName(near.join(ids, "doc_id", "left_anti").select(*docs.columns))
+
+
 def _confirm_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
@@ -383,7 +403,7 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The distinct pairs whose full sets are similar enough. Only documents of pairs are read and hashed once more."""
     pairs = materialise(pairs.distinct(), "pairs")
     ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "paired")
-    sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi").mapInArrow(_token_rows, "c long, tokens binary")
+    sets = by_id(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids).mapInArrow(_token_rows, "c long, tokens binary")
     sets = materialise(sets, "tokens")
     rows = pairs.join(sets.withColumnsRenamed({"c": "a", "tokens": "x"}), "a").join(sets.withColumnsRenamed({"c": "b", "tokens": "y"}), "b")
     return materialise(rows.select("a", "b", "x", "y").mapInArrow(_confirm_batches, "a long, b long"), "links")
@@ -415,9 +435,10 @@ def _dedup(docs: DataFrame) -> DataFrame:
     if hot:
         dealt = large.withColumn("head", F.xxhash64("node", block))
         pairs = pairs.unionByName(compare(dealt.select(F.col("head").alias("node"), "c").join(brief, "c")))
-        # and each class with its node's central one: an original whose copies differ more from one another than from it
+        # and each class with the central one of its largest node: copies may differ more from one another than from it
         central = medoids(large, brief).withColumnRenamed("c", "m")
-        star = large.join(central, "node").where("c <> m").select(F.least("c", "m").alias("a"), F.greatest("c", "m").alias("b"))
+        widest = large.groupBy("c").agg(F.max_by("node", F.struct("blocks", "node")).alias("node"))
+        star = widest.join(central, "node").where("c <> m").select(F.least("c", "m").alias("a"), F.greatest("c", "m").alias("b"))
         pairs = pairs.unionByName(star)
     links = confirm(pairs, docs)
     comps = components(links)
