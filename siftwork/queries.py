@@ -516,7 +516,9 @@ def node2vec_embedding(spark, d):
 @query("structural_distances")
 def structural_distances(spark, d):
     e = trade(spark, d)
-    return structure.layer_distances(structure.rings(e, 2), structure.candidates(e).where("v < u"))
+    # a pair counts if either of its vertices has chosen the other
+    pairs = structure.candidates(e).select(F.least("v", "u").alias("v"), F.greatest("v", "u").alias("u")).distinct()
+    return structure.layer_distances(structure.rings(e, 2), pairs)
 
 
 @query("structural_walks")
