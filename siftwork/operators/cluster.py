@@ -35,8 +35,18 @@ def dbscan(items: DataFrame, neighbours: DataFrame, min_samples: int = 2, id_: s
     return ids.join(found, id_, "left").fillna(False, ["core"])
 
 
+def _gaps(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances of the rows of x and y, with no more than a few MB besides the result."""
+    out = np.empty((len(x), len(y)))
+    step = max(1, (1 << 20) // max(1, y.size))
+    for lo in range(0, len(x), step):
+        out[lo : lo + step] = ((x[lo : lo + step, None] - y[None]) ** 2).sum(axis=2)
+    return out
+
+
 def affinity(vectors: DataFrame, preference: float | None, cosine: bool, id_: str = "id", by: str | None = None, damping: float = 0.5, rounds: int = 200) -> DataFrame:
-    """(by, id_, cluster) by affinity propagation within each value of `by`, which must be of a size that a task can square.
+    """(by, id_, cluster) by affinity propagation of all vectors together, or within each value of a column `by` of the data;
+    what is clustered together must be of a size that a task can square.
 
     Similarity is the negative squared distance; with `cosine` the rows of the cosine matrix are the points.
     """
@@ -49,7 +59,7 @@ def affinity(vectors: DataFrame, preference: float | None, cosine: bool, id_: st
             norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
             x = x / np.where(norm > 0, norm, 1)
             x = x @ x.T
-        s = -((x[:, None] - x[None]) ** 2).sum(axis=2)
+        s = -_gaps(x, x)
         np.fill_diagonal(s, np.median(s[~np.eye(n, dtype=bool)]) if preference is None and n > 1 else preference or 0.0)
         s += 1e-12 * np.random.default_rng(0).standard_normal((n, n)) * (1 + abs(s))
         r, a = np.zeros((n, n)), np.zeros((n, n))
@@ -80,25 +90,33 @@ def affinity(vectors: DataFrame, preference: float | None, cosine: bool, id_: st
 
 
 def mean_shift(vectors: DataFrame, bandwidth: float, id_: str = "id", by: str | None = None, rounds: int = 300) -> DataFrame:
-    """(by, id_, cluster) by mean shift with a flat kernel within each value of `by` (see affinity)."""
+    """(by, id_, cluster) by mean shift with a flat kernel of all vectors together, or within each value of `by` (see
+    affinity); a task holds them, but not their square. A mode rests once it moves less than a thousandth of the bandwidth."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(id_)
         ids, x = pdf[id_].to_numpy(), np.stack(pdf["vec"].to_numpy()).astype(float)
-        modes = x.copy()
+        modes, weight, step = x.copy(), np.zeros(len(x), np.int64), max(1, (1 << 22) // max(1, len(x)))
+        parts = [slice(lo, lo + step) for lo in range(0, len(x), step)]
+        moving = np.arange(len(x))
         for _ in range(rounds):
-            near = ((modes[:, None] - x[None]) ** 2).sum(axis=2) <= bandwidth**2
-            new = near @ x / np.maximum(near.sum(axis=1, keepdims=True), 1)
-            moved = np.abs(new - modes).max(initial=0)
-            modes = new
-            if moved < 1e-3 * bandwidth:
+            still = []
+            for at in (moving[p] for p in parts):
+                near = (_gaps(modes[at], x) <= bandwidth**2).astype(float)
+                new = near @ x / np.maximum(near.sum(axis=1, keepdims=True), 1)
+                still.append(at[np.sqrt(((new - modes[at]) ** 2).sum(axis=1)) >= 1e-3 * bandwidth])
+                modes[at] = new
+            moving = np.concatenate(still) if still else moving
+            if not len(moving):
                 break
-        weight = (((modes[:, None] - x[None]) ** 2).sum(axis=2) <= bandwidth**2).sum(axis=1)
-        centres: list[int] = []
+        for p in parts:
+            weight[p] = (_gaps(modes[p], x) <= bandwidth**2).sum(axis=1)
+        centres, free = [], np.ones(len(x), bool)
         for i in np.lexsort((np.arange(len(ids)), -weight)):
-            if all(((modes[i] - modes[c]) ** 2).sum() > bandwidth**2 for c in centres):
+            if free[i]:
                 centres.append(i)
-        of = ((x[:, None] - modes[centres][None]) ** 2).sum(axis=2).argmin(axis=1)
+                free &= _gaps(modes[i : i + 1], modes)[0] > bandwidth**2
+        of = np.concatenate([_gaps(x[p], modes[centres]).argmin(axis=1) for p in parts])
         least = [ids[of == k].min() if (of == k).any() else None for k in range(len(centres))]
         return pd.DataFrame({"_by": pdf["_by"].to_numpy(), id_: ids, "cluster": [least[k] for k in of]})
 

@@ -534,13 +534,12 @@ def lda_topics(spark, d):
 
 @query("affinity")
 def affinity(spark, d):
-    v = vectors(spark, d).withColumn("g", F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.lit(4))))
-    return cluster.affinity(v, None, False, by="g")
+    return cluster.affinity(vectors(spark, d), None, False)
 
 
 @query("mean_shift")
 def mean_shift(spark, d):
-    return cluster.mean_shift(vectors(spark, d).withColumn("g", F.pmod(F.xxhash64("id"), F.lit(4))), 1.1, by="g")
+    return cluster.mean_shift(vectors(spark, d), 1.1)
 
 
 @query("spectrum_distance")
