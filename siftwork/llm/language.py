@@ -204,5 +204,9 @@ def identify_documents(docs: DataFrame) -> DataFrame:
 
 
 def op10_bayesian_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return identify(document_evidence(docs), *fit(docs))
+    """Documents (doc_id) and web pages (page_id), by the models of the labelled documents. Priors are those of either
+    table: a document's label and a page's markup are not equally reliable."""
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    model = fit(docs)
+    of_pages = identify(markup_evidence(pages), *model)
+    return identify(document_evidence(docs), *model).unionByName(of_pages, allowMissingColumns=True)

@@ -75,3 +75,15 @@ def test_markup_evidence(spark):
     got = language.markup_evidence(pages).collect()
     assert got[0][1].split() == ["ja", "und", "nein"] and got[0][2:] == ("de", "news.example.at", "at")
     assert got[1][1:] == (None, None, None, None) and got[2][2:] == (None, None, None)
+
+
+def test_query_covers_documents_and_pages(spark):
+    sf = "/root/testdata/sf0.001"
+    got = language.op10_bayesian_language(spark, sf).toPandas()
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", F.regexp_extract("html", '<html lang="([a-z]+)', 1).alias("lang")).toPandas()
+    of_pages = got[got.page_id.notna()].merge(pages, on="page_id")
+    assert len(of_pages) == len(pages) and (got.doc_id.notna() ^ got.page_id.notna()).all()
+    named = of_pages[of_pages.lang != ""]
+    assert (named.declared == named.lang).all() and (named.language == named.lang).mean() > 0.8
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert sorted(got.doc_id.dropna()) == sorted(r.doc_id for r in docs.select("doc_id").collect())
