@@ -6,8 +6,9 @@ host, smoothed towards the prior of its address suffix, itself smoothed towards
 the declarations' reliability are sums of text posteriors over all documents, by grouped aggregation; each document's
 own part is taken out of its prior, so that no document confirms itself.
 
-The trigram models are fitted on a bounded sample of labelled rows (SAMPLE rows at most, those with the least hash of
-their id); everything else covers all rows and whole texts.
+The trigram models are fitted on a bounded sample of labelled rows (about SAMPLE of each language, those with the least
+hash; all where there are fewer); everything else covers all rows and whole texts. A document whose label has no model
+keeps its label.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import materialise, table, worker_memory
 
-#: Labelled rows that the text models are fitted on, at most; buckets of trigrams; languages, at most (the most frequent ones in the sample).
-SAMPLE, BUCKETS, LANGUAGES = 4000, 1 << 16, 64
+#: Labelled rows of a language that its text model is fitted on, about, at most; buckets of trigrams; languages with a model, at most (the most frequent ones).
+SAMPLE, BUCKETS, LANGUAGES = 1000, 1 << 16, 64
 #: Power of the text likelihood (trigrams are not independent), and weight of the next wider prior in documents.
 TEMPER, PULL = 0.3, 10.0
 #: A text of so many trigrams that every language makes less likely than evenly drawn buckets is in none of them.
@@ -44,10 +45,11 @@ def trigram_buckets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(docs: DataFrame, label: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Languages, and log chances (BUCKETS, languages), from at most SAMPLE labelled rows of whole texts."""
-    labelled = docs.where(F.col(label).isNotNull() & F.col("text").isNotNull()).select(F.xxhash64("doc_id").alias("h"), label, "text")
-    least = labelled.select("h").orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
-    if least is None:
+    """Languages, in lower case, and log chances (BUCKETS, languages), from about SAMPLE labelled rows of each at most, of
+    whole texts; equal rows count once."""
+    labelled = docs.where(F.col(label).isNotNull() & F.col("text").isNotNull()).select(F.xxhash64("doc_id", "text").alias("h"), F.lower(label).alias(label), "text")
+    sizes = labelled.groupBy(label).agg(F.approx_count_distinct("h", 0.02).alias("n")).orderBy(F.desc("n"), label).limit(LANGUAGES).collect()
+    if not sizes:
         return [], np.zeros((BUCKETS, 0))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,11 +61,12 @@ def fit(docs: DataFrame, label: str = "lang") -> tuple[list[str], np.ndarray]:
                 k, n = np.unique(codes[per == one], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([one] * len(k), pa.string()), pa.array(k), pa.array(n.astype(np.int64))], ["lang", "k", "n"])
 
-    sample = labelled.where(F.col("h") <= least).select(label, "text").limit(SAMPLE)  # equal ids could make it more
+    share = F.create_map(*(F.lit(x) for r in sizes for x in (r[label], SAMPLE / r["n"] if r["n"] > SAMPLE else 2.0)))
+    drawn = labelled.where(F.col("h").bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52)) < share[F.col(label)])
+    sample = drawn.groupBy(label, "h").agg(F.first("text").alias("text")).select(label, "text")
+    top = [r[label] for r in sizes]
     # LANGUAGES * BUCKETS rows at most
-    got = sample.mapInArrow(count, "lang string, k long, n long").groupBy("lang", "k").agg(F.sum("n").alias("n"))
-    top = [r["lang"] for r in got.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
-    got = got.where(F.col("lang").isin(top)).toPandas()
+    got = sample.mapInArrow(count, "lang string, k long, n long").groupBy("lang", "k").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(top)
     counts = np.full((BUCKETS, len(languages)), 0.1)
     counts[got["k"].to_numpy(np.int64), got["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy(np.int64)] += got["n"].to_numpy()
@@ -190,6 +193,13 @@ def document_evidence(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", *_document_evidence())
 
 
+def _labels_kept(found: DataFrame, languages: list[str]) -> DataFrame:
+    """found of documents; those that declare a language without a model, which no text can deny, are kept with it."""
+    own = F.coalesce(F.col("declared").isNotNull() & ~F.col("declared").isin(languages), F.lit(False))
+    changed = {"language": F.when(own, F.col("declared")).otherwise(F.col("language")), "kept": own | F.col("kept")}
+    return found.withColumns(changed | {c: F.when(~own, F.col(c)) for c in ("posterior", "mean_loglik")})
+
+
 def identify_documents(docs: DataFrame) -> DataFrame:
     """All columns of documents, with _language and _kept. Columns of any names pass through."""
     held = [f"c{i}" for i in range(len(docs.columns))]
@@ -200,6 +210,7 @@ def identify_documents(docs: DataFrame) -> DataFrame:
         found = _fused(_scored(rows, chances), held, languages, priors)
     else:
         found = identify(rows, languages, chances)
+    found = _labels_kept(found, languages)
     return found.select(*(F.col(h).alias(c) for c, h in zip(docs.columns, held, strict=True)), F.col("language").alias("_language"), F.col("kept").alias("_kept"))
 
 
@@ -209,4 +220,4 @@ def op10_bayesian_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
     model = fit(docs)
     of_pages = identify(markup_evidence(pages), *model)
-    return identify(document_evidence(docs), *model).unionByName(of_pages, allowMissingColumns=True)
+    return _labels_kept(identify(document_evidence(docs), *model), model[0]).unionByName(of_pages, allowMissingColumns=True)

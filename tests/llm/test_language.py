@@ -87,3 +87,14 @@ def test_query_covers_documents_and_pages(spark):
     assert (named.declared == named.lang).all() and (named.language == named.lang).mean() > 0.8
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert sorted(got.doc_id.dropna()) == sorted(r.doc_id for r in docs.select("doc_id").collect())
+
+
+def test_rare_labels_have_models_or_stand(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE", 20)
+    rows = [(k, f"the words of an english text number {k} and more of the same words", "en", "s") for k in range(400)] + [(1000 + k, "漢字仮名交じり文" * 80 + str(k), "JA", "s") for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert language.fit(docs)[0] == ["en", "ja"]
+    for most in (64, 1):
+        monkeypatch.setattr(language, "LANGUAGES", most)
+        got = language.identify_documents(docs).where("doc_id >= 1000").collect()
+        assert [(r._language, r._kept) for r in got] == [("ja", True)] * 3
