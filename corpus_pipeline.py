@@ -27,11 +27,30 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies: the one with the smallest doc_id."""
+    """One document of each component of near copies: the one with the smallest doc_id.
+
+    Where ids are null or repeat, rows are told apart by numbers of their own: one row of each component is left then, too,
+    and, of texts without shingles, which are in none, one row of each doc_id.
+    """
+    if not docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").isEmpty():
+        return _dedup_rows(docs)
     out = near_dedup.dedup(docs).where(~F.col("kept")).select("doc_id").distinct()
     return near_dedup.by_id(docs, out, inside=False)
 
 
+def _dedup_rows(docs: DataFrame) -> DataFrame:
+    held = max(docs.columns, key=len) + "_"  # a name that no column has
+    numbered = docs.withColumnRenamed("doc_id", held).withColumn("doc_id", F.monotonically_increasing_id())
+    rows = materialise(numbered, "numbered")
+    found = near_dedup.dedup(rows).join(rows.select("doc_id", F.col(held).alias("own")), "doc_id")
+    bare = (F.col("n_shingles") == 0) & F.col("own").isNotNull()
+    found = found.withColumn("comp", F.when(~bare, F.col("component_id"))).withColumn("same", F.when(bare, F.col("own")))
+    least = found.groupBy("comp", "same").agg(F.min(F.struct(F.col("own").isNull().alias("_"), "own", "doc_id")).alias("least"))
+    out = materialise(found.select("doc_id").join(least.select(F.col("least.doc_id").alias("doc_id")), "doc_id", "left_anti"), "removed")
+    left = near_dedup.by_id(rows, out, inside=False).drop("doc_id").withColumnRenamed(held, "doc_id")
+    return left.select(*docs.columns)
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many words as there are, mixed so that no source is used more than 1.25 times; a row for each use."""
     mixed = mixing.mix(docs, mixing.n_words(), repeats=1.25, keep=tuple(docs.columns), places=False)

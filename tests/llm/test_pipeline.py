@@ -68,3 +68,12 @@ def test_odd_rows_pass_through_every_stage(spark):
 def test_registry():
     assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{k}" for k in range(1, 11)]
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+
+
+def test_dedup_leaves_one_row_of_repeated_and_null_ids(spark):
+    a, b, c = (" ".join(f"{w}{i} of text number" for i in range(40)) for w in "abc")
+    rows = [(7, a), (7, a), (8, a + " more"), (None, a), (None, b), (None, b), (7, c), (9, None), (9, None), (10, None), (5, b + " z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.dedup_stage(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [(7, a), (5, b + " z"), (7, c), (9, None), (10, None)]))
