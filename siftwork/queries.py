@@ -546,5 +546,5 @@ def mean_shift(spark, d):
 def spectrum_distance(spark, d):
     e = event_edges(spark, d)
     ids = e.select("graph_id").distinct()
-    pairs = ids.select(F.col("graph_id").alias("a")).join(ids.select(F.col("graph_id").alias("b")), F.col("a") + 1 == F.col("b"))
+    pairs = ids.select(F.col("graph_id").alias("a")).join(ids.select(F.col("graph_id").alias("b")), F.col("a") < F.col("b"))  # all pairs, as in the original
     return graph.spectrum_distance(e, pairs)
