@@ -4,16 +4,19 @@ A document's set holds the 64-bit hashes of its distinct 5-word shingles. Docume
 takes part once. Each class has POSITIONS minwise tokens (MinHash values). In each of TREES independent random trees a
 node draws positions (out of the first BRANCHING), 1/SIMILARITY of them on average and one at least, and sends each of
 its classes to one child per position, the one of the class's minwise token there. A node of at most SMALL classes is
-compared exhaustively; larger ones branch again, up to DEPTH times. A node that is large at the greatest depth, or that
-kept nearly all of its parent's classes on some levels in a row (so most of them are much alike), is compared in
-blocks. A pair at the similarity of 0.75 meets in
+compared exhaustively; larger ones branch again, up to DEPTH times. A node of at most WIDEST blocks that kept
+most of its parent's classes on some levels in a row (so that branching parts little) is compared block by block, and
+so is a node that is large at the greatest depth. A pair at the similarity of 0.75 meets in
 a tree with a chance of 0.81 where nodes become small at once, and so is missed by 10 trees with a chance below 1e-7.
 
-Comparison in nodes is by 8 bits of each of the POSITIONS minwise tokens: pairs with fewer than SCREEN equal ones are
-dropped (at similarity 0.75 the count has mean 96 and deviation 4.9, so a link at the very threshold is dropped with a
-chance of 2e-5, one at 0.8 with 1e-9). The other pairs are confirmed on the full sets. First only a spanning forest of
-each node's pairs is confirmed; then, with the components that result, pairs between different components are, inside
-their nodes: links inside a component add nothing, so none that matters is lost, and no group gives out its pairs.
+Comparison in nodes is by 8 bits of each of the POSITIONS minwise tokens: pairs with fewer than SCREEN equal ones, or
+fewer than GLANCE among the first 32, are dropped (at similarity 0.75 the counts have means 96 and 24 and deviations 4.9
+and 2.4, so a link at the very threshold is dropped with a chance of 3e-5, one at 0.8 with 1e-7). The other pairs are confirmed on the full sets.
+
+There are two rounds. The first FIRST trees give a spanning forest of each node's pairs; its confirmed links give
+components. Then all trees grow again, without the nodes that hold one component only, and pairs between different
+components are confirmed inside their nodes: links inside a component add nothing, so none that matters is lost, a
+group of copies is worked through once, and no group gives out its pairs.
 
 No list of documents, links or components leaves the executors; components are labelled by joins.
 """
@@ -33,9 +36,15 @@ from .common import materialise, scratch, table, worker_memory
 
 WORDS, SIMILARITY = 5, (75, 100)
 POSITIONS, BRANCHING, SCREEN = 128, 64, 76
-TREES, DEPTH, SMALL = 10, 6, 48
-#: Nodes that keep over ALIKE hundredths of their parent's classes on STREAK levels in a row are compared in blocks.
-ALIKE, STREAK = 85, 2
+GLANCE = 12
+TREES, FIRST, DEPTH, SMALL = 10, 2, 6, 1024
+#: Nodes of at most WIDEST blocks of BLOCK classes that keep over ALIKE hundredths of their parent's classes on STREAK levels
+#: in a row are compared block by block, so that a class takes part in WIDEST + 1 pairs of blocks of such a node at most.
+ALIKE, STREAK, WIDEST, BLOCK = 65, 2, 4, 4096
+#: Pairs of classes that are looked at together.
+PAIRS = 200_000
+#: Classes among which a central one is sought by comparing all.
+CENTRE = 48
 _SEED = 20240229
 #: Hash buckets of ids that are broadcast, at most.
 BUCKETS = 1 << 20
@@ -154,78 +163,119 @@ def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part.column(1).to_pylist())], pa.binary())], ["c", "tokens"])
 
 
-def _root_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    trees = np.arange(TREES)
-    roots = _hash(trees + 1)
-    for batch in batches:
-        n = batch.num_rows
-        if n:
-            rows, nodes = children(np.tile(roots, n), np.tile(trees, n), 0, np.repeat(_signatures(batch.column(1)), TREES, axis=0))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), batch.column(0).take(pa.array(rows // TREES)), pa.array((rows % TREES).astype(np.int32))], ["node", "c", "tree"])
+def _root_rows(count: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees = np.arange(count)
+        roots = _hash(trees + 1)
+        for batch in batches:
+            n = batch.num_rows
+            if n:
+                rows, nodes = children(np.tile(roots, n), np.tile(trees, n), 0, np.repeat(_signatures(batch.column(1)), count, axis=0))
+                at = pa.array(rows // count)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), batch.column(0).take(at), batch.column(2).take(at), pa.array((rows % count).astype(np.int32))], ["node", "c", "comp", "tree"])
+
+    return run
 
 
 def _child_rows(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                rows, nodes = children(batch.column(0).to_numpy().view(np.uint64), batch.column(3).to_numpy(), depth, _signatures(batch.column(2)))
+                rows, nodes = children(batch.column(0).to_numpy().view(np.uint64), batch.column(4).to_numpy(), depth, _signatures(batch.column(3)))
                 at = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes), *(batch.column(i).take(at) for i in (1, 3, 4, 5))], ["node", "c", "tree", "parent", "streak"])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), *(batch.column(i).take(at) for i in (1, 2, 4, 5, 6))], ["node", "c", "comp", "tree", "parent", "streak"])
 
     return run
 
 
-def _pairs(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers i < j of all pairs within runs of rows."""
-    ahead = np.concatenate([np.arange(m - 1, -1, -1) for m in sizes])  # rows that follow in the run
-    i = np.repeat(np.arange(len(ahead)) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes), ahead)
-    first = np.cumsum(ahead) - ahead
-    return i, i + 1 + np.arange(len(i)) - np.repeat(first, ahead)
+def _pairs(edges: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers i < j of all pairs within runs of rows, about PAIRS at a time."""
+    ahead = np.arange(int(sizes.sum()))
+    ahead = np.repeat(edges + sizes, sizes) - 1 - ahead  # rows that follow in the run
+    upto = np.cumsum(ahead)
+    lo = 0
+    while lo < len(ahead):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + PAIRS, side="right")))
+        some = ahead[lo:hi]
+        i = np.repeat(np.arange(lo, hi), some)
+        yield i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(some) - some, some)
+        lo = hi
+
+
+_LOW7, _ALL7 = np.uint64(0x7F7F7F7F7F7F7F7F), np.uint64(0x8080808080808080)
 
 
-def _node_pairs(node: np.ndarray, c: np.ndarray, n: np.ndarray, tokens: np.ndarray, comp: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+def _equal(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many bytes of each row of x and y, held as 64-bit words, are equal."""
+    z = x ^ y
+    zero = ~(((z & _LOW7) + _LOW7) | z) & _ALL7
+    return np.bitwise_count(zero).sum(axis=1, dtype=np.int16)
+
+
+def _node_pairs(node: np.ndarray, c: np.ndarray, n: np.ndarray, tokens: np.ndarray, comp: np.ndarray | None = None, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Possible links in whole nodes, rows ordered by (node, c): by the screen and the sizes of the sets.
 
     Without comp a spanning forest of them: each class with the earlier class most like it. With comp those between
-    classes of different components.
+    classes of different components, and, where side is 0 or 1, of different sides.
     """
     edges = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
     sizes = np.diff(np.append(edges, len(node)))
-    out_i, out_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    upto = np.cumsum(sizes * (sizes - 1) // 2)
-    lo = 0
-    while lo < len(edges):  # about 100,000 pairs at a time
-        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + 100_000)))
-        i, j = _pairs(edges[lo:hi], sizes[lo:hi])
-        lo = hi
+    words = np.ascontiguousarray(tokens).view(np.uint64)
+    first = np.ascontiguousarray(words[:, :4])
+    out_i, out_j, likeness = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int16)]
+
+    def forest(i: np.ndarray, j: np.ndarray, equal: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        best = np.lexsort((i, -equal, j))
+        best = best[np.append(True, j[best][1:] != j[best][:-1])] if len(best) else best
+        return i[best], j[best], equal[best]
+
+    for i, j in _pairs(edges, sizes):
         ok = (SIMILARITY[1] * np.minimum(n[i], n[j]) >= SIMILARITY[0] * np.maximum(n[i], n[j])) & (c[i] != c[j])
         if comp is not None:
             ok &= comp[i] != comp[j]
+        if side is not None:
+            ok &= (side[i] != side[j]) | (side[i] == 2)
+        i, j = i[ok], j[ok]
+        ok = _equal(first[i], first[j]) >= GLANCE
         i, j = i[ok], j[ok]
-        equal = (tokens[i] == tokens[j]).sum(axis=1)
+        equal = _equal(words[i], words[j])
         ok = equal >= SCREEN
         i, j, equal = i[ok], j[ok], equal[ok]
-        if comp is None and len(j):
-            best = np.lexsort((i, -equal, j))
-            best = best[np.append(True, j[best][1:] != j[best][:-1])]
-            i, j = i[best], j[best]
-        out_i.append(i), out_j.append(j)
-    return np.concatenate(out_i), np.concatenate(out_j)
+        if comp is None:
+            i, j, equal = forest(i, j, equal)
+        out_i.append(i), out_j.append(j), likeness.append(equal)
+    i, j, equal = np.concatenate(out_i), np.concatenate(out_j), np.concatenate(likeness)
+    return forest(i, j, equal)[:2] if comp is None else (i, j)
+
+
+def _groups(i: np.ndarray, j: np.ndarray, rows: int) -> np.ndarray:
+    """The least row that each row is connected with by pairs."""
+    least = np.arange(rows)
+    while True:
+        low = np.minimum(least[i], least[j])
+        new = least.copy()
+        np.minimum.at(new, i, low), np.minimum.at(new, j, low)
+        new = new[new]
+        if (new == least).all():
+            return least
+        least = new
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of the nodes in a partition ordered by (node, c), or, with comp, the rows that stand in any; a node may go on
-    in the next batch."""
+    """Pairs of the nodes in a partition ordered by (node, c), or, with comp, the rows that stand in any, each connected
+    group of them as a node of its own; a node may go on in the next batch."""
     held = None
 
     def pairs(t: pa.Table) -> pa.RecordBatch:
         tokens = np.frombuffer(b"".join(t.column("brief").to_pylist()), np.uint8).reshape(-1, POSITIONS)
-        c = t.column("c").to_numpy()
-        comp = t.column("comp").to_numpy() if "comp" in t.column_names else None
-        i, j = _node_pairs(t.column("node").to_numpy(), c, t.column("n").to_numpy(), tokens, comp)
+        c, node = t.column("c").to_numpy(), t.column("node").to_numpy()
+        comp, side = (t.column(k).to_numpy() if k in t.column_names else None for k in ("comp", "side"))
+        i, j = _node_pairs(node, c, t.column("n").to_numpy(), tokens, comp, side)
         if comp is not None:
-            some = pa.array(np.unique(np.concatenate([i, j])))
-            return pa.RecordBatch.from_arrays([t.column(k).combine_chunks().take(some) for k in ("node", "c", "comp")], ["node", "c", "comp"])
+            some = np.unique(np.concatenate([i, j]))
+            group = _groups(np.searchsorted(some, i), np.searchsorted(some, j), len(some))
+            own = _hash(node[some].view(np.uint64), c[some][group]).view(np.int64) if len(some) else node[some]
+            return pa.RecordBatch.from_arrays([pa.array(own), pa.array(c[some]), pa.array(comp[some])], ["node", "c", "comp"])
         both = np.unique(np.stack([np.minimum(c[i], c[j]), np.maximum(c[i], c[j])]), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
@@ -276,15 +326,15 @@ def medoids(rows: DataFrame, brief: DataFrame) -> DataFrame:
         dealt = rows.withColumn("head", F.xxhash64("node", F.pmod(F.xxhash64("node", "c"), blocks)))
         found = dealt.join(brief.select("c", "brief"), "c").select("head", "node", "c", "brief").repartition("head").sortWithinPartitions("head", "c").mapInArrow(_medoids, "node long, c long")
         rows = materialise(found, "medoids")
-        sizes = rows.groupBy("node").agg(F.ceil(F.count("*") / SMALL).cast("int").alias("blocks"), F.count("*").alias("k"))
+        sizes = rows.groupBy("node").agg(F.ceil(F.count("*") / CENTRE).cast("int").alias("blocks"), F.count("*").alias("k"))
         if sizes.where("k > 1").isEmpty():
             return rows
         rows = rows.join(sizes.select("node", "blocks"), "node")
 
 
 def compare(rows: DataFrame) -> DataFrame:
-    """Possible links of `rows` (node, c, n, brief[, comp]) in which each node has a bounded number of rows: (a, b), or, with
-    comp, the rows (node, c, comp) that have one to another component."""
+    """Possible links of `rows` (node, c, n, brief[, comp, side]), where no node has more than SMALL rows or two blocks: (a, b), or,
+    with comp, the rows (node, c, comp) that have one to another component, in new nodes."""
     out = "node long, c long, comp long" if "comp" in rows.columns else "a long, b long"
     return rows.repartition("node").sortWithinPartitions("node", "c").mapInArrow(_compare, out)
 
@@ -292,18 +342,23 @@ def compare(rows: DataFrame) -> DataFrame:
 def _links_of_node(c: np.ndarray, comp: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Links between the node's components on full sets, as many as join them; no others."""
     sizes = np.array([len(s) for s in sets])
-    tokens, rows = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-    _, at, counts = np.unique(tokens, return_inverse=True, return_counts=True)
-    shared = np.cumsum(counts > 1) - 1  # tokens of one class only are in no intersection
-    keep = counts[at] > 1
-    rows, at = rows[keep], shared[at[keep]]
     common = np.zeros((len(sets), len(sets)))
-    width = 1 << 15
-    for lo in range(0, int(shared[-1]) + 1, width):
-        some = (at >= lo) & (at < lo + width)
-        held = np.zeros((len(sets), width), np.float32)
-        held[rows[some], at[some] - lo] = 1
-        common += held @ held.T
+    # ranges of the tokens' hashes, so that some 500,000 tokens are looked at together
+    edges = np.linspace(0, 2.0**64, max(1, -(-int(sizes.sum()) // 500_000)) + 1)[1:-1].astype(np.uint64)
+    cuts = [[0, *np.searchsorted(s, edges).tolist(), len(s)] for s in sets]
+    width = 1 << 12
+    for k in range(len(edges) + 1):
+        parts = [s[cut[k] : cut[k + 1]] for s, cut in zip(sets, cuts, strict=True)]
+        tokens, rows = np.concatenate(parts), np.repeat(np.arange(len(sets)), [len(p) for p in parts])
+        _, at, counts = np.unique(tokens, return_inverse=True, return_counts=True)
+        shared = np.cumsum(counts > 1) - 1  # tokens of one class only are in no intersection
+        keep = counts[at] > 1
+        rows, at = rows[keep], shared[at[keep]]
+        for lo in range(0, int(at.max(initial=-1)) + 1, width):
+            some = (at >= lo) & (at < lo + width)
+            held = np.zeros((len(sets), width), np.float32)
+            held[rows[some], at[some] - lo] = 1
+            common += held @ held.T
     linked = SIMILARITY[1] * common >= SIMILARITY[0] * (sizes[:, None] + sizes[None] - common)
     linked &= comp[:, None] != comp[None]
     to: dict[int, int] = {}
@@ -350,26 +405,49 @@ def confirm_nodes(rows: DataFrame, docs: DataFrame) -> DataFrame:
     return materialise(full.repartition("node").sortWithinPartitions("node").mapInArrow(_confirm_nodes, "a long, b long"), "links")
 
 
-def nodes(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, c) of the small nodes of all trees, and (node, c, blocks) of those to be compared in blocks."""
-    rows = classes.select("c", "signature").mapInArrow(_root_rows, "node long, c long, tree int").withColumn("parent", F.lit(1 << 50).cast("long")).withColumn("streak", F.lit(0))
+def nodes(classes: DataFrame, trees: int) -> tuple[DataFrame, DataFrame]:
+    """Of the first `trees` trees over classes (c, signature, comp): (node, c, comp) of the small nodes, and (node, c, comp, m) of
+    those to be compared in blocks, m being their classes. Nodes of one component are left out."""
+    rows = classes.select("c", "signature", "comp").mapInArrow(_root_rows(trees), "node long, c long, comp long, tree int").withColumn("parent", F.lit(1 << 50).cast("long")).withColumn("streak", F.lit(0))
     small, alike = [], []
     for depth in range(DEPTH + 1):
         rows = materialise(rows, "nodes")
-        sizes = rows.groupBy("node").agg(F.count("*").alias("m")).where("m > 1")
+        # a table of its own: the join with it has plain sides, so that a node with many classes is split where it is dealt
+        sizes = materialise(rows.groupBy("node").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("node", "m"), "sizes")
         streak = F.when(100 * F.col("m") > ALIKE * F.col("parent"), F.col("streak") + 1).otherwise(0)
-        shared = materialise(rows.join(sizes, "node").select("node", "c", "tree", "m", streak.alias("streak")), "shared")
-        small.append(shared.where(F.col("m") <= SMALL).select("node", "c"))
-        ends = F.lit(depth == DEPTH) | (F.col("streak") >= STREAK)
-        alike.append(shared.where((F.col("m") > SMALL) & ends).select("node", "c", F.ceil(F.col("m") / SMALL).cast("int").alias("blocks")))
+        shared = materialise(rows.join(sizes, "node").select("node", "c", "comp", "tree", "m", streak.alias("streak")), "shared")
+        small.append(shared.where(F.col("m") <= SMALL).select("node", "c", "comp"))
+        ends = F.lit(depth == DEPTH) | ((F.col("streak") >= STREAK) & (F.col("m") <= WIDEST * BLOCK))
+        alike.append(shared.where((F.col("m") > SMALL) & ends).select("node", "c", "comp", "m"))
         large = shared.where((F.col("m") > SMALL) & ~ends)
         if depth == DEPTH or large.isEmpty():
             break
-        branching = large.join(classes.select("c", "signature"), "c").select("node", "c", "signature", "tree", F.col("m").alias("parent"), "streak")
-        rows = branching.mapInArrow(_child_rows(depth + 1), "node long, c long, tree int, parent long, streak int").distinct()
+        branching = large.join(classes.select("c", "signature"), "c").select("node", "c", "comp", "signature", "tree", F.col("m").alias("parent"), "streak")
+        rows = branching.mapInArrow(_child_rows(depth + 1), "node long, c long, comp long, tree int, parent long, streak int")
     return functools.reduce(DataFrame.unionByName, small), functools.reduce(DataFrame.unionByName, alike)
 
 
+def block_pairs(large: DataFrame) -> DataFrame:
+    """Rows (node, c, comp, m) of large nodes as rows (node, c, comp, side) of pairs of blocks of about BLOCK of them.
+
+    Apart from the members of a node's main component, which need no comparison with one another, each class meets each
+    other class of its node in one pair of blocks; those members take part only as the other side of the rest.
+    """
+    sizes = large.groupBy("node", "comp").agg(F.count("*").alias("k"), F.first("m").alias("m"))
+    main = materialise(sizes.groupBy("node").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.max("k").alias("k"), F.first("m").alias("m")), "main")
+    blocks = lambda x: F.greatest(F.ceil(x / BLOCK), F.lit(1)).cast("long")
+    placed = large.select("node", "c", "comp").join(main.select("node", "main", blocks(F.col("k")).alias("q"), blocks(F.col("m") - F.col("k")).alias("p")), "node")
+    h, upto = F.xxhash64("node", "c"), lambda x: F.sequence(F.lit(0).cast("long"), x - 1)
+    mine = placed.where("comp = main").select("node", "c", "comp", F.pmod(h, "q").alias("y"), F.explode(upto(F.col("p"))).alias("x"), F.lit(1).alias("side"), F.lit("main").alias("kind"))
+    rest = placed.where("comp <> main").withColumn("own", F.pmod(h, "p"))
+    facing = rest.select("node", "c", "comp", F.explode(upto(F.col("q"))).alias("y"), F.col("own").alias("x"), F.lit(0).alias("side"), F.lit("main").alias("kind"))
+    among = rest.withColumn("to", F.explode(upto(F.col("p"))))
+    side = F.when(F.col("own") < F.col("to"), 0).when(F.col("own") > F.col("to"), 1).otherwise(2)
+    among = among.select("node", "c", "comp", F.greatest("own", "to").alias("y"), F.least("own", "to").alias("x"), side.alias("side"), F.lit("rest").alias("kind"))
+    dealt = mine.unionByName(facing).unionByName(among)
+    return dealt.select(F.xxhash64("node", "kind", "x", "y").alias("node"), "c", "comp", "side")
+
+
 def _bucket(c: str) -> Column:
     return F.pmod(F.xxhash64(c), F.lit(BUCKETS))
 
@@ -380,12 +458,13 @@ def by_id(docs: DataFrame, ids: DataFrame, inside: bool = True) -> DataFrame:
     The ids' hash buckets, of which there are BUCKETS at most, are broadcast first, so that few rows need the join by
     id, and texts that it does not concern are not shuffled.
     """
-    some = F.broadcast(ids.select(_bucket("doc_id").alias("_bucket")).distinct())
-    dealt = docs.withColumn("_bucket", _bucket("doc_id"))
-    near = dealt.join(some, "_bucket", "left_semi").drop("_bucket")
+    key = max(docs.columns, key=len) + "_"  # a name that no column has
+    some = F.broadcast(ids.select(_bucket("doc_id").alias(key)).distinct())
+    dealt = docs.withColumn(key, _bucket("doc_id"))
+    near = dealt.join(some, key, "left_semi").drop(key)
     if inside:
         return near.join(ids, "doc_id", "left_semi").select(*docs.columns)
-    return dealt.join(some, "_bucket", "left_anti").drop("_bucket").unionByName(near.join(ids, "doc_id", "left_anti").select(*docs.columns))
+    return dealt.join(some, key, "left_anti").drop(key).unionByName(near.join(ids, "doc_id", "left_anti").select(*docs.columns))
 
 
 def _confirm_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -427,36 +506,35 @@ def _dedup(docs: DataFrame) -> DataFrame:
     # the smallest doc_id of equal sets stands for them; sets without a doc_id or without shingles stand alone
     classes = hashed.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("c"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("brief").alias("brief"))
     classes = materialise(classes, "classes")
-    small, large = nodes(classes)
     brief = classes.select("c", "n", "brief")
-    block = F.pmod(F.xxhash64("node", "c"), F.col("blocks")).cast("int")
-    pairs = compare(small.join(brief, "c"))
+    small, large = nodes(classes.withColumn("comp", F.col("c")), FIRST)
+    first = small.select("node", "c")
     hot = not large.isEmpty()
     if hot:
-        dealt = large.withColumn("head", F.xxhash64("node", block))
-        pairs = pairs.unionByName(compare(dealt.select(F.col("head").alias("node"), "c").join(brief, "c")))
+        block = F.pmod(F.xxhash64("node", "c"), F.ceil(F.col("m") / BLOCK))
+        first = first.unionByName(large.select(F.xxhash64("node", block).alias("node"), "c"))
+    pairs = compare(first.join(brief, "c"))
+    if hot:
         # and each class with the central one of its largest node: copies may differ more from one another than from it
-        central = medoids(large, brief).withColumnRenamed("c", "m")
-        widest = large.groupBy("c").agg(F.max_by("node", F.struct("blocks", "node")).alias("node"))
-        star = widest.join(central, "node").where("c <> m").select(F.least("c", "m").alias("a"), F.greatest("c", "m").alias("b"))
+        central = medoids(large.select("node", "c", F.ceil(F.col("m") / CENTRE).cast("int").alias("blocks")), brief).withColumnRenamed("c", "to")
+        widest = large.groupBy("c").agg(F.max_by("node", F.struct("m", "node")).alias("node"))
+        star = widest.join(central, "node").where("c <> to").select(F.least("c", "to").alias("a"), F.greatest("c", "to").alias("b"))
         pairs = pairs.unionByName(star)
     links = confirm(pairs, docs)
     comps = components(links)
-    # second round: pairs between components only
-    labelled = small.join(comps, "c", "left").select("node", "c", F.coalesce("comp", "c").alias("comp"))
-    mixed = labelled.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("node")
-    rest = compare(labelled.join(mixed, "node", "left_semi").join(brief, "c"))
-    if hot:
-        labelled = large.join(comps, "c", "left").select("node", "c", "blocks", F.coalesce("comp", "c").alias("comp"))
-        main = labelled.groupBy("node", "comp").agg(F.count("*").alias("m")).groupBy("node").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"))
-        placed = materialise(labelled.join(main, "node"), "placed")
-        # the members of a node's main component stay in their own block; all others visit every block
-        visits = placed.where("comp = main").withColumn("at", block).unionByName(placed.where("comp <> main").withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
-        rest = rest.unionByName(compare(visits.select(F.xxhash64("node", "at").alias("node"), "c", "comp").join(brief, "c")))
-    more = confirm_nodes(rest, docs)
+    # second round: all trees, and only what lies between the components
+    labelled = materialise(classes.select("c", "signature").join(comps, "c", "left").select("c", "signature", F.coalesce("comp", "c").alias("comp")), "labelled")
+    small, large = nodes(labelled, TREES)
+    rest = small.withColumn("side", F.lit(2))
+    if not large.isEmpty():
+        rest = rest.unionByName(block_pairs(large))
+    more = confirm_nodes(compare(rest.join(brief, "c")), docs)
     if not more.isEmpty():
         comps = components(links.unionByName(more))
-    named = hashed.select("doc_id", "n", "digest").join(classes.select("digest", "c"), "digest", "left").join(comps, "c", "left")
+    # rows without a set or an id have no class; apart, as their null keys would meet in one task
+    bare = F.col("digest").isNull() | F.col("doc_id").isNull()
+    named = hashed.where(~bare).select("doc_id", "n", "digest").join(classes.select("digest", "c"), "digest").select("doc_id", "n", "c").join(comps, "c", "left")
+    named = named.select("doc_id", "n", "c", "comp").unionByName(hashed.where(bare).select("doc_id", "n", F.lit(None).cast("long").alias("c"), F.lit(None).cast("long").alias("comp")))
     comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "c", "doc_id"))
     return named.select(F.col("doc_id").cast(kind).alias("doc_id"), F.col("n").alias("n_shingles"), comp.cast(kind).alias("component_id"), F.coalesce(comp == F.col("doc_id"), F.lit(True)).alias("kept"))
 

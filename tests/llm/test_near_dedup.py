@@ -52,10 +52,63 @@ def check(spark, rows):
     assert got == brute(rows)
 
 
+def template(seed, n, words=400, edits=8):
+    """Texts made from one by edits of their own: many pairs lie just below the threshold."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(500)}" for _ in range(words)]
+    texts = []
+    for _ in range(n):
+        new = list(base)
+        for _ in range(edits):
+            new[rng.randrange(words)] = f"w{rng.randrange(500)}"
+        texts.append(new)
+    return [(k * 3 + 1, " ".join(t)) for k, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("depth, widest", [(6, 2), (2, 4)])
+def test_alike_texts_in_blocks_equal_brute_force(spark, monkeypatch, depth, widest):
+    for k, v in {"SMALL": 32, "BLOCK": 32, "DEPTH": depth, "WIDEST": widest, "CENTRE": 8, "PAIRS": 50}.items():
+        monkeypatch.setattr(near_dedup, k, v)
+    check(spark, template(3, 200) + [(10_000 + i, t) for i, t in corpus(4, 10, 5)])
+
+
+def test_each_pair_across_components_meets_once(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    comps = [0] * 40 + [1] * 3 + list(range(2, 30))
+    rows = spark.createDataFrame([(9, k, comps[k], len(comps)) for k in range(len(comps))], "node long, c long, comp long, m long")
+    met = {}
+    for r in near_dedup.block_pairs(rows).collect():
+        met.setdefault(r.node, []).append(r)
+    pairs = [tuple(sorted((a.c, b.c))) for t in met.values() for a in t for b in t if a.c < b.c and a.comp != b.comp and (a.side != b.side or a.side == 2)]
+    assert sorted(pairs) == [(a, b) for a in range(len(comps)) for b in range(a + 1, len(comps)) if comps[a] != comps[b]]
+    assert max(map(len, met.values())) < 4 * 8
+
+
+def test_rows_of_an_alike_group_follow_its_size(spark, monkeypatch):
+    """What the trees give out for one group, few of whose texts are linked: a bounded number of rows a class."""
+    monkeypatch.setattr(near_dedup, "SMALL", 64)
+    monkeypatch.setattr(near_dedup, "BLOCK", 256)
+    for n in (500, 2000):
+        sets = near_dedup.shingle_sets([t for _, t in template(6, n)])
+        signatures = near_dedup.minwise(sets)[:, : near_dedup.BRANCHING]
+        classes = spark.createDataFrame([(k, bytearray(x.tobytes()), k) for k, x in enumerate(signatures)], "c long, signature binary, comp long")
+        small, large = near_dedup.nodes(classes, near_dedup.TREES)
+        assert large.count() < 1.4**3 * near_dedup.TREES * n  # 1.4 children a class and level at most, three levels
+        assert small.count() + near_dedup.block_pairs(large).count() < 1.4**3 * (near_dedup.WIDEST + 2) * near_dedup.TREES * n
+
+
+def test_pairs_are_all_pairs_of_each_run(monkeypatch):
+    monkeypatch.setattr(near_dedup, "PAIRS", 7)
+    edges, sizes = np.array([0, 4, 5, 11]), np.array([4, 1, 6, 2])
+    got = [(int(a), int(b)) for i, j in near_dedup._pairs(edges, sizes) for a, b in zip(i, j)]
+    assert sorted(got) == [(e + a, e + b) for e, m in zip(edges, sizes) for a in range(m) for b in range(a + 1, m)]
+
+
 @pytest.mark.parametrize("small", [48, 4])
 def test_components_equal_brute_force(spark, monkeypatch, small):
     """With tiny nodes the large ones branch to the greatest depth and are then compared in blocks."""
     monkeypatch.setattr(near_dedup, "SMALL", small)
+    monkeypatch.setattr(near_dedup, "BLOCK", 2 * small)
     monkeypatch.setattr(near_dedup, "DEPTH", 3 if small == 48 else 1)
     rows = corpus(1, 40, 7) + [(1000, None), (1001, ""), (1002, "One two"), (1003, "one TWO"), (1004, " \n"), (1005, "one two three"), (1006, "word " * 30_000)]
     check(spark, rows)
