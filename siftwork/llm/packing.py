@@ -103,17 +103,15 @@ def pieces_of(docs: DataFrame, path: str, tokens: int = 2048, end: int = 0) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = loaded(ByteBpe, path)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                row, piece, start, length, crc = [], [], [], [], []
-                for i, ids in enumerate(encoder.encode_all(part.column(1).to_pylist())):
-                    data = ids + last
-                    n = len(data) // 4
-                    a = 0
-                    for k, b in enumerate(range(n % tokens or tokens, n + 1, tokens)):
-                        row.append(i), piece.append(k), start.append(a), length.append(b - a), crc.append(zlib.crc32(data[4 * a : 4 * b]))
-                        a = b
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            row, piece, start, length, crc = [], [], [], [], []
+            for i, ids in enumerate(encoder.encode_all(batch.column(1))):
+                data = ids + last
+                n = len(data) // 4
+                a = 0
+                for k, b in enumerate(range(n % tokens or tokens, n + 1, tokens)):
+                    row.append(i), piece.append(k), start.append(a), length.append(b - a), crc.append(zlib.crc32(data[4 * a : 4 * b]))
+                    a = b
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long")
 

@@ -47,13 +47,11 @@ def write_documents(docs: DataFrame, path: str, location: str, end: int = 0) ->
             return pa.RecordBatch.from_pylist([row], schema=_ARROW)
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part_ids = batch.column(0).slice(lo, 512).to_pylist()
-                for i, data in zip(part_ids, encoder.encode_all(batch.column(1).slice(lo, 512).to_pylist()), strict=True):
-                    doc_ids.append(i), texts_ids.append(data + last)
-                    held += len(data) // 4 + 1
-                    if held >= CHUNK:
-                        yield close()
+            for i, data in zip(batch.column(0).to_pylist(), encoder.encode_all(batch.column(1)), strict=True):
+                doc_ids.append(i), texts_ids.append(data + last)
+                held += len(data) // 4 + 1
+                if held >= CHUNK:
+                    yield close()
         if doc_ids:
             yield close()
 

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,10 +19,8 @@ from .common import table, worker_memory
 
 #: Most entries of a worker's look-up table; at this size it starts afresh. It changes speed only.
 TABLE_ENTRIES = 600_000
-
-
-class _Irregular(Exception):
-    """A piece after a space starts with white space or is empty: that space belongs to a run."""
+#: Bytes of texts that are cut and looked up together, about; a longer text is taken alone.
+TEXT_BYTES = 16_000_000
 
 
 #: Letters on which all libraries agree, and what may follow them as one pre-token of its own.
@@ -35,6 +34,8 @@ class ByteBpe:
     a line end between two non-spaces a pre-token of its own. So a text is cut there, and each piece is encoded once by
     the library and then looked up: the joined ids are those of the whole text. Texts that hold a special token's
     string go to the library whole, as it splits them first; texts with other runs of white space are cut before spaces only.
+
+    Texts are cut and their pieces numbered in Arrow, so that Python sees each distinct piece of some texts once.
     """
 
     def __init__(self, path: str):
@@ -45,18 +46,17 @@ class ByteBpe:
 
         self.library = Tokenizer.from_file(path)
         added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, added))) if added else None
+        self.special = "|".join(map(re.escape, added))
         #: The characters that stand for bytes in the vocabulary.
         self.byte_chars = {b: pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(bytes([b]).decode("latin1"))[0][0][-1] for b in (*range(128), *range(0xC3, 0xCA))}
         self.byte_chars |= {b: pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(bytes([0xC3, b]).decode())[0][0][-1] for b in range(0x80, 0xC0)}
         self.byte_chars |= {b: pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(bytes([b, 0x80]).decode())[0][0][0] for b in range(0xC3, 0xCA)}
         self.tokenize = self.library.model.tokenize
         self.id_bytes = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size(with_added_tokens=True))]
-        #: Ids of pieces by the piece, without the space in front of it; of tails; and of pieces cut at spaces only.
+        #: Ids of letters with a space in front, of tails, and of pieces cut at spaces only.
         self.known: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
         self.others: dict[str, bytes] = {}
-
         self.line_end = self._encode("\n")
 
     def _encode(self, text: str) -> bytes:
@@ -65,7 +65,8 @@ class ByteBpe:
     def _word(self, letters: str, space: str) -> bytes:
         """Letters, with a space in front or without, are one pre-token, which the library's model can take as it is."""
         text = ("Ġ" if space else "") + letters if letters.isascii() else (space + letters).encode().decode("latin1").translate(self.byte_chars)
-        return b"".join([self.id_bytes[t.id] for t in self.tokenize(text)])
+        id_bytes = self.id_bytes
+        return b"".join([id_bytes[t.id] for t in self.tokenize(text)])
 
     def _tail(self, tail: str) -> bytes:
         if tail not in self.tails:
@@ -81,19 +82,24 @@ class ByteBpe:
         letters, tail = form.groups()
         return self._word(letters, space) + self._tail(tail) if tail else self._word(letters, space)
 
-    def _learn(self, pieces: set[str]) -> None:
-        known, match = self.known, _FORM.fullmatch
-        for piece in pieces:
-            form = match(piece)
-            if not form:
-                known[piece] = self.line_end + self._piece(piece[1:], "") if piece[0] == "\n" else self._encode(" " + piece)
-                continue
-            letters, tail = form.groups()
-            ids = known.get(letters) if tail else None
+    def _known(self, piece: str) -> bytes | None:
+        """The ids of a piece with a space in front, or of a line end and what follows it; None for irregular white space."""
+        ids = self.known.get(piece)
+        if ids is None:
+            if self._irregular(piece):
+                return None
+            if piece[0] == "\n":
+                return self.line_end + self._piece(piece[1:], "")
+            form = _FORM.fullmatch(piece)
+            letters, tail = form.groups() if form else (piece, "")
+            ids = self.known.get(letters) if tail else None
             if ids is None:
-                ids = known[letters] = self._word(letters, " ")
+                if len(self.known) > TABLE_ENTRIES:
+                    self.known.clear()
+                ids = self.known[letters] = self._word(letters, " ") if form else self._encode(" " + piece)
             if tail:
-                known[piece] = ids + self._tail(tail)
+                ids += self._tail(tail)
+        return ids
 
     @staticmethod
     def _irregular(piece: str) -> bool:
@@ -109,45 +115,48 @@ class ByteBpe:
             others[p] = self._encode(" " + p)
         return (self._encode(pieces[0]) if pieces[0] else b"") + b"".join([others[p] for p in pieces[1:]])
 
-    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+    def encode_all(self, texts: pa.Array | list[str | None]) -> Iterator[bytes]:
         """The ids of each text; of none for null."""
-        out: list = []
-        new: set[str] = set()
-        look_up = self.known.get
-        for text in texts:
-            if not text:
+        texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+        lo = 0
+        while lo < len(texts):  # some texts at a time, or one of any length
+            hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + TEXT_BYTES)))
+            yield from self._encode_some(texts.slice(lo, hi - lo))
+            lo = hi
+
+    def _encode_some(self, texts: pa.Array) -> list[bytes]:
+        whole = np.zeros(len(texts), bool)
+        if self.special:
+            whole = pc.fill_null(pc.match_substring_regex(texts, self.special), False).to_numpy(zero_copy_only=False)
+        cut = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " \n"), " ")
+        coded = cut.flatten().dictionary_encode()
+        pieces, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        ids = list(map(self._known, pieces))
+        bad = np.fromiter([x is None for x in ids], bool, len(ids))
+        data = np.frombuffer(b"".join([x or b"" for x in ids]), "<u4")
+        lengths = np.fromiter([len(x) // 4 if x else 0 for x in ids], np.int64, len(ids))
+        starts = np.cumsum(lengths) - lengths
+        edges = cut.offsets.to_numpy()
+        edges = edges - edges[0]
+        head = edges[:-1]  # each text's first piece has no space in front
+        lengths_at = lengths[which]
+        lengths_at[head] = 0
+        ends = np.cumsum(lengths_at)
+        joined = data[np.repeat(starts[which] - (ends - lengths_at), lengths_at) + np.arange(ends[-1])].tobytes() if len(ends) else b""
+        upto = np.append(0, ends)[edges] * 4
+        odd = np.logical_or.reduceat(bad[which], head) if len(head) else whole
+        empty = pc.equal(pc.fill_null(pc.binary_length(texts), 0), 0).to_numpy(zero_copy_only=False)
+        out = []
+        for k, (first, a, b) in enumerate(zip(which[head].tolist(), upto[:-1].tolist(), upto[1:].tolist(), strict=True)):
+            if empty[k]:
                 out.append(b"")
-                continue
-            if self.special and self.special.search(text):
-                out.append(self._encode(text))
-                continue
-            pieces = text.replace("\n", " \n").split(" ")
-            if self._irregular(pieces[0]):
-                out.append(self._cut_at_spaces(text))
-                continue
-            found = list(map(look_up, pieces))
-            found[0] = self._piece(pieces[0], "")
-            if None in found:
-                gaps = [(i, pieces[i]) for i, x in enumerate(found) if x is None]
-                missing = {p for _, p in gaps}
-                if any(map(self._irregular, missing)):
-                    out.append(self._cut_at_spaces(text))
-                    continue
-                new |= missing
-                out.append((found, gaps))
+            elif whole[k]:
+                out.append(self._encode(texts[k].as_py()))
+            elif odd[k]:
+                out.append(self._cut_at_spaces(texts[k].as_py()))
             else:
-                out.append(b"".join(found))
-        if new:
-            if len(self.known) + len(new) > TABLE_ENTRIES:
-                self.known.clear()
-            self._learn(new)
-        known = self.known
-        for k, x in enumerate(out):
-            if isinstance(x, tuple):
-                found, gaps = x
-                for i, p in gaps:
-                    found[i] = known[p]
-                out[k] = b"".join(found)
+                out.append(self._piece(pieces[first], "") + joined[a:b])
         return out
 
 
