@@ -158,13 +158,13 @@ def gated(clusters: DataFrame, most: int = 50) -> DataFrame:
 
 def second_step(clusters: DataFrame, vectors: DataFrame, threshold: float, id_: str = "id", vec: str = "vec") -> DataFrame:
     """(cluster, sub, id_): each cluster split by cosine components of its members' vectors. The clusters must be gated:
-    their bounded size bounds the pairs."""
+    their bounded size bounds the pairs. A zero vector has the cosine 0 with all."""
     members = clusters.join(vectors.select(id_, F.col(vec).cast("array<double>").alias("v")), id_)
     a = members.select("cluster", F.col(id_).alias("a"), F.col("v").alias("x"))
     b = members.select("cluster", F.col(id_).alias("b"), F.col("v").alias("y"))
     dot = lambda u, v: F.aggregate(F.zip_with(u, v, lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
-    sim = dot("x", "y") / (F.sqrt(dot("x", "x")) * F.sqrt(dot("y", "y")))
-    links = a.join(b, "cluster").where("a < b").where(sim >= threshold).select("a", "b")
+    sim = F.try_divide(dot("x", "y"), F.sqrt(dot("x", "x")) * F.sqrt(dot("y", "y")))
+    links = a.join(b, "cluster").where("a < b").where(F.coalesce(sim, F.lit(0.0)) >= threshold).select("a", "b")
     return labelled(members.select("cluster", id_), links, id_).select("cluster", F.col("comp").alias("sub"), id_)
 
 

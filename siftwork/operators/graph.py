@@ -169,15 +169,15 @@ def construct_hash(nodes: DataFrame, by: list[str], file: str = "file") -> DataF
 
 
 def wl_labels(nodes: DataFrame, edges: DataFrame, rounds: int, by: list[str] = ("graph_id",)) -> DataFrame:
-    """(by…, node_id, round, label): Weisfeiler-Lehman labels. A round hashes a label with the sorted labels of its
-    successors; a node without any hashes its own."""
+    """(by…, node_id, round, label): Weisfeiler-Lehman labels. A round hashes a label and the sorted labels of its
+    successors, joined by underscores; a node without any hashes its own alone."""
     by = list(by)
     labels = materialise(nodes.select(*by, "node_id", F.col("label")), "wl")
     pairs = edges.select(*by, "src", "dst").distinct()
     out = labels.withColumn("round", F.lit(0))
     for r in range(1, rounds + 1):
-        after = pairs.join(labels.select(*by, F.col("node_id").alias("dst"), "label"), [*by, "dst"]).groupBy(*by, F.col("src").alias("node_id")).agg(F.array_join(F.array_sort(F.collect_list("label")), "").alias("after"))
-        new = labels.join(after, [*by, "node_id"], "left").withColumn("label", F.md5(F.concat("label", F.lit("_"), F.coalesce("after", F.lit(""))).cast("binary")))
+        after = pairs.join(labels.select(*by, F.col("node_id").alias("dst"), "label"), [*by, "dst"]).groupBy(*by, F.col("src").alias("node_id")).agg(F.array_join(F.array_sort(F.collect_list("label")), "_").alias("after"))
+        new = labels.join(after, [*by, "node_id"], "left").withColumn("label", F.md5(F.concat_ws("_", "label", "after").cast("binary")))
         labels = materialise(new.select(*by, "node_id", "label"), "wl")
         out = out.unionByName(labels.withColumn("round", F.lit(r)))
     return out.select(*by, "node_id", "round", "label")
@@ -257,6 +257,6 @@ def has_edge(edges: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def eligible(constructs: DataFrame, least: int = 2) -> DataFrame:
     """Constructs (location, hash, n_nodes) of more than `least` nodes, the first location of each hash."""
-    first = W.partitionBy("hash").orderBy("location")
-    return constructs.where(F.col("n_nodes") > least).withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k")
+    first = constructs.where(F.col("n_nodes") > least).groupBy("hash").agg(F.min_by(F.struct(*constructs.columns), "location").alias("row"))
+    return first.select(*(F.col("row").getField(c).alias(c) for c in constructs.columns))
 

@@ -96,14 +96,17 @@ def mark(docs: DataFrame, kind: str, every_construct: bool = False, same_source:
     n_diffs = F.array_max(counts) if every_construct else F.try_element_at(counts, F.lit(-1))
     n_lines = F.array_max(F.flatten(F.transform("_c", lambda c: F.transform(important(c), lambda d: F.size(d["lines"])))))
     lines = F.transform("_c", lambda c: F.array_distinct(c["lines"]))
-    common = F.reduce(lines, F.get(lines, F.lit(0)), lambda a, b: F.array_intersect(a, b))
+    # constructs without lines before the first with some do not count, those after it do
+    filled = F.filter(lines, lambda x, i: F.exists(F.slice(lines, F.lit(1), i + 1), lambda y: F.size(y) > 0))
+    common = F.reduce(filled, F.get(filled, F.lit(0)), lambda a, b: F.array_intersect(a, b))
     longest = F.array_max(F.transform(lines, lambda x: F.size(x)))
     one = lambda f: F.size(F.array_distinct(F.transform("_c", lambda c: c[f]))) == 1
     text = lambda f: F.array_join(F.array_sort(F.transform("_c", lambda c: c[f])), "\x1f")
     all_lines = F.array_join(F.transform(F.array_sort(F.flatten(F.transform("_c", lambda c: c["lines"]))), lambda x: x.cast("string")), ",")
     key = F.sha1(F.concat_ws("\x1e", text("source_file_path"), text("function_name"), all_lines).cast("binary"))
     rows = rows.withColumn("_key", key)
-    rows = rows.withColumn("repeated", F.row_number().over(W.partitionBy("_key").orderBy("ord")) > 1)
+    first = rows.groupBy("_key").agg(F.min(F.struct("ord", "_id")).alias("_first"))
+    rows = rows.join(first, "_key").withColumn("repeated", F.struct("ord", "_id") > F.col("_first"))
     rows = rows.withColumn("too_many_subs", F.size("subclusters") > MOST_SUBS)
     rows = rows.withColumn("too_many_diffs", F.coalesce(n_diffs > MOST_DIFFS, F.lit(False)) | F.coalesce(n_lines > MOST_LINES, F.lit(False)))
     rows = rows.withColumn("same_place", F.coalesce(one("source_file_path") & one("function_name") & (longest > 0) & (F.size(common) > 0), F.lit(False)))
@@ -111,7 +114,7 @@ def mark(docs: DataFrame, kind: str, every_construct: bool = False, same_source:
         rows = rows.join(same_source.select("_id").distinct().withColumn("same_source", F.lit(True)), "_id", "left").fillna(False, ["same_source"])
     else:
         rows = rows.withColumn("same_source", F.lit(False))
-    return rows.withColumn("skip", F.expr("too_many_subs OR too_many_diffs OR same_place OR repeated OR same_source")).drop("_c", "_key")
+    return rows.withColumn("skip", F.expr("too_many_subs OR too_many_diffs OR same_place OR repeated OR same_source")).drop("_c", "_key", "_first")
 
 
 def kept(marked: DataFrame, filtering: bool = True) -> DataFrame:

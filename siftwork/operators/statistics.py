@@ -21,8 +21,9 @@ def stage_times(times: DataFrame) -> DataFrame:
 
 
 def slice_similarities(features: DataFrame, slices: DataFrame, id_: str = "construct_id", digits: int = 5) -> DataFrame:
-    """(group, a, b, sim), a < b: cosines of known slices (group, id_) of one group, 0 where nothing is shared."""
-    known = features.join(slices, id_)
+    """(group, a, b, sim), a < b: cosines of known slices (group, id_) of one group, 0 where nothing is shared or a
+    slice has no features but zeros."""
+    known = features.where("value <> 0").join(slices, id_)
     norms = known.groupBy("group", id_).agg(F.sqrt(F.sum(F.col("value") * F.col("value").cast("double"))).alias("norm"))
     x = known.join(norms, ["group", id_]).select("group", "feature", F.col(id_).alias("a"), (F.col("value") / F.col("norm")).alias("x"))
     dots = x.join(x.withColumnsRenamed({"a": "b", "x": "y"}), ["group", "feature"]).where("a < b").groupBy("group", "a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("sim"))

@@ -174,8 +174,8 @@ def label_abstraction(spark, d):
 
 
 _WL = f"""WITH {_GRAPH},
-l1 AS (SELECT n.graph_id, n.node_id, md5(n.label || '_' || coalesce((SELECT string_agg(m.label, '' ORDER BY m.label) FROM e JOIN n m ON m.node_id = e.dst WHERE e.src = n.node_id), '')) AS label FROM n),
-l2 AS (SELECT n.graph_id, n.node_id, md5(n.label || '_' || coalesce((SELECT string_agg(m.label, '' ORDER BY m.label) FROM e JOIN l1 m ON m.node_id = e.dst WHERE e.src = n.node_id), '')) AS label FROM l1 n),
+l1 AS (SELECT n.graph_id, n.node_id, md5(n.label || coalesce((SELECT '_' || string_agg(m.label, '_' ORDER BY m.label) FROM e JOIN n m ON m.node_id = e.dst WHERE e.src = n.node_id), '')) AS label FROM n),
+l2 AS (SELECT n.graph_id, n.node_id, md5(n.label || coalesce((SELECT '_' || string_agg(m.label, '_' ORDER BY m.label) FROM e JOIN l1 m ON m.node_id = e.dst WHERE e.src = n.node_id), '')) AS label FROM l1 n),
 w AS (SELECT graph_id, node_id, 0 AS round, label FROM n UNION ALL SELECT graph_id, node_id, 1, label FROM l1 UNION ALL SELECT graph_id, node_id, 2, label FROM l2)"""
 
 
@@ -271,14 +271,14 @@ def two_step_clusters(spark, d):
 
 
 def vector_features(spark, d):
-    """Counts that explain clusters of vectors: the label, and the number of leading components above zero."""
+    """Counts that explain clusters of vectors: the label, and the number of components above zero."""
     e = table(spark, d, "embeddings")
-    lead = F.size(F.filter(F.slice("embedding", 1, 4), lambda x: x > 0))
-    rows = e.select(F.col("vec_id").alias("id"), F.array(F.struct(F.concat(F.lit("label."), F.col("label").cast("string")).alias("feature"), F.lit(1).cast("long").alias("value")), F.struct(F.lit("icmp leading").alias("feature"), lead.cast("long").alias("value"))).alias("f"))
+    above = F.size(F.filter("embedding", lambda x: x > 0))
+    rows = e.select(F.col("vec_id").alias("id"), F.array(F.struct(F.concat(F.lit("label."), F.col("label").cast("string")).alias("feature"), F.lit(1).cast("long").alias("value")), F.struct(F.lit("icmp above").alias("feature"), above.cast("long").alias("value"))).alias("f"))
     return rows.select("id", F.explode("f").alias("x")).select("id", "x.feature", "x.value").where("value > 0")
 
 
-_FEATURES = ", ft AS (SELECT vec_id AS id, 'label.' || label AS feature, 1::BIGINT AS value FROM embeddings UNION ALL SELECT vec_id, 'icmp leading', len([x FOR x IN embedding[1:4] IF x > 0])::BIGINT FROM embeddings WHERE len([x FOR x IN embedding[1:4] IF x > 0]) > 0)"
+_FEATURES = ", ft AS (SELECT vec_id AS id, 'label.' || label AS feature, 1::BIGINT AS value FROM embeddings UNION ALL SELECT vec_id, 'icmp above', len([x FOR x IN embedding IF x > 0])::BIGINT FROM embeddings WHERE len([x FOR x IN embedding IF x > 0]) > 0)"
 _DIFFS = _FEATURES + ", size AS (SELECT cluster, count(*) AS n FROM two GROUP BY 1), df AS (SELECT t.cluster, ft.feature FROM two t JOIN ft ON ft.id = t.id JOIN size ON size.cluster = t.cluster GROUP BY 1, 2 HAVING count(*) < any_value(size.n) OR min(value) <> max(value))"
 
 
@@ -340,9 +340,9 @@ _SETTINGS = {"construct_type": "afs", "dependency": "_ODD_"}
 
 
 def conversation_documents(spark, d, files: int = 3):
-    """Documents whose differences are the first three words of each turn, read as an instruction of some kind."""
+    """Documents whose differences are the words of each turn, read as an instruction of some kind."""
     c = table(spark, d, "conversations").where("text IS NOT NULL AND conv_id IS NOT NULL")
-    head = F.concat_ws(" ", F.slice(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != ""), 1, 2))
+    head = F.concat_ws(" ", F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != ""))
     kind = F.get(F.array(F.concat(F.lit("icmp "), head), F.concat(F.lit("store i8* null "), head), F.concat(F.lit("call void @x_Free "), head), F.concat(F.lit("trunc "), head)), (F.col("turn") % 4).cast("int"))
     n = F.length("text")
     diff = F.struct(kind.alias("node_name"), F.lit(1).alias("node_value"), F.array((n % 50).cast("string")).alias("lines"))
@@ -355,7 +355,7 @@ def conversation_documents(spark, d, files: int = 3):
 
 
 _T = r"""t AS (SELECT conv_id, role, turn, length(text) AS n, [w FOR w IN regexp_split_to_array(lower(text), '\s+') IF w <> ''] AS w FROM conversations WHERE text IS NOT NULL AND conv_id IS NOT NULL),
-k AS (SELECT *, ['icmp ', 'store i8* null ', 'call void @x_free ', 'trunc '][(turn % 4 + 1)::INT] || array_to_string(w[1:2], ' ') AS name, n % 5 <> 0 AS has FROM t),
+k AS (SELECT *, ['icmp ', 'store i8* null ', 'call void @x_free ', 'trunc '][(turn % 4 + 1)::INT] || array_to_string(w, ' ') AS name, n % 5 <> 0 AS has FROM t),
 ok AS (SELECT DISTINCT conv_id FROM t WHERE 0.5 + (conv_id % 10) / 20 >= 0.7)"""
 
 

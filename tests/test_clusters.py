@@ -109,3 +109,12 @@ def test_statistics(spark):
     got = sorted((r.function, r.cluster, r.n, r.members) for r in statistics.clusters_of_functions(clusters, known).collect())
     assert got == [("foo", 1, 2, ["x/f.foo", "x/g.bar"]), ("foo", 2, 1, ["y/f.foo"])]
     assert [tuple(r) for r in statistics.biggest_clusters(clusters, 1).collect()] == [(1, 2)]
+
+
+def test_zero_vectors_and_empty_slices_have_no_similarity(spark):
+    clusters = spark.createDataFrame([("c", "a"), ("c", "b"), ("c", "z")], "cluster string, id string")
+    vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [2.0, 0.0]), ("z", [0.0, 0.0])], "id string, vec array<double>")
+    assert sorted((r.sub, r.id) for r in cluster.second_step(clusters, vectors, 0.9).collect()) == [("a", "a"), ("a", "b"), ("z", "z")]
+    features = spark.createDataFrame([("a", "x", 1), ("b", "x", 2), ("z", "x", 0)], "construct_id string, feature string, value int")
+    slices = spark.createDataFrame([("g", i) for i in "abz"], "group string, construct_id string")
+    assert sorted((r.a, r.b, r.sim) for r in statistics.slice_similarities(features, slices).collect()) == [("a", "b", 1.0), ("a", "z", 0.0), ("b", "z", 0.0)]

@@ -106,6 +106,16 @@ def test_wl_labels_ignore_node_names_and_see_direction(spark):
     assert base != words(n, edges(spark, ("b", "a"), ("a", "c")))
 
 
+def test_wl_labels_are_hashes_of_labels_joined_by_underscores(spark):
+    from hashlib import md5
+
+    h = lambda t: md5(t.encode()).hexdigest()
+    n = nodes(spark, ("a", "x", None, None), ("b", "bc", None, None), ("c", "a", None, None))
+    got = {(r.node_id, r.round): r.label for r in graph.wl_labels(n, edges(spark, ("a", "b"), ("a", "c")), 2).collect()}
+    assert got["a", 1] == h("x_a_bc") and got["b", 1] == h("bc") and got["c", 2] == h(h("a"))
+    assert got["a", 2] == h("_".join([h("x_a_bc"), *sorted([h("a"), h("bc")])]))
+
+
 def test_kernel_is_one_for_equal_graphs(spark):
     n = spark.createDataFrame([(g, k, label) for g in (1, 2, 3) for k, label in enumerate("xyz" if g < 3 else "xxx")], "graph_id int, node_id int, label string")
     e = spark.createDataFrame([(g, 0, 1) for g in (1, 2, 3)], "graph_id int, src int, dst int")

@@ -66,6 +66,12 @@ def test_filters(spark):
     assert len(q.kept(q.mark(spark.createDataFrame(rows, DOC), "check"), filtering=False).collect()) == 9
 
 
+def test_common_lines_start_at_the_first_construct_that_has_some(spark):
+    rows = [doc("late", [construct(lines=()), construct(lines=(1, 2))], [construct(lines=(2,))]), doc("gap", [construct(lines=(1, 2)), construct(lines=())], [construct(lines=(2,))]), doc("none", [construct(lines=())])]
+    got = {r._id: r.same_place for r in q.mark(spark.createDataFrame(rows, DOC), "check").collect()}
+    assert got == {"late": True, "gap": False, "none": False}
+
+
 def test_sources_and_excerpts(spark):
     text = source_lines(spark.createDataFrame([("f.c", "one\n  two\n\n two \nfive")], "file string, text string"))
     rows = [doc("same", [construct(lines=[2]), construct(lines=[4])], ord=1), doc("differs", [construct(("icmp x", ["2"]), lines=[2]), construct(lines=[5])], ord=2)]
