@@ -1,9 +1,11 @@
 """Exact top-k search by columnar branch-and-bound.
 
-Vectors lie dimension by dimension (a row an axis). Scores of a block of queries against a part of the candidates grow
-DIMS dimensions at a time; after each step a candidate's score is at most what it has so far plus the product of the two
-remaining norms (Cauchy-Schwarz), so candidates that can no longer reach any query's k-th best score so far are dropped and the
-remaining ones are packed together before the next dimensions are read. Results are exact.
+Vectors lie dimension by dimension (a row an axis), the axes with most mass first. Scores of a block of queries against
+a part of the candidates grow DIMS dimensions at a time. After each step a pair's score is at most what it has so far
+plus the product of the two remaining norms (Cauchy-Schwarz); where that falls below the query's k-th best score so far,
+the candidate is out for this query. Candidates that no query of a tile can want any more are packed away, and once few
+pairs are left (SPARSE hundredths), the surviving pairs alone are carried on, packed after each step. The first tile of
+candidates, those of the greatest norms, is scored whole and gives the first bounds. Results are exact.
 
 Queries are a stated set; they are dealt in blocks, candidates in parts, and each (block, part) is a task of bounded size whose
 best k a query go into one last ranking. Repeated vec_ids are candidates each.
@@ -24,70 +26,95 @@ from .common import materialise, table
 #: Dimensions a step; rows a block of queries and a part of candidates, about; rows of either that are held as one tile.
 DIMS, QUERIES, CANDIDATES = 16, 8192, 32768
 TILE_Q, TILE_C = 256, 4096
+#: Hundredths of a tile's pairs below which they are carried on one by one.
+SPARSE = 40
 
 
 class TooLarge(ValueError):
     """Inner products of these integers could pass 2^53, where doubles are no longer exact."""
 
 
-def search(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def search(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k: int, alive: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best candidates of each query: (query number, candidate number, score), ties to the smaller id.
 
     q: (dimensions, queries), c: (dimensions, candidates), both of whole numbers held as doubles. A candidate with the
-    query's own id is left out.
+    query's own id is left out. `alive`, an array of zeros with a place more than there are steps, is given the pairs
+    that could be bounded, and how many of them are left after each step.
     """
     dims = len(q)
     steps = [*range(0, dims, DIMS), dims]
     rest = lambda x: np.stack([np.sqrt((x[d:] ** 2).sum(axis=0)) for d in steps[1:]])
-    # the candidates with the greatest norms first: good scores come early and raise the bounds
-    norms = np.sqrt((c**2).sum(axis=0))
-    order = np.argsort(-norms, kind="stable")
-    c, c_ids = c[:, order], c_ids[order]
+    # axes with most mass first, and the candidates with the greatest norms: good scores come early and raise the bounds
+    axes = np.argsort(-(q**2).mean(axis=1) * (c**2).mean(axis=1), kind="stable") if q.size and c.size else np.arange(dims)
+    order = np.argsort(-np.sqrt((c**2).sum(axis=0)), kind="stable")
+    q, c, c_ids = q[axes], np.ascontiguousarray(c[axes][:, order]), c_ids[order]
     c_rest = rest(c)
     out = []
     for ql in range(0, q.shape[1], TILE_Q):
         qt, qi = q[:, ql : ql + TILE_Q], q_ids[ql : ql + TILE_Q]
-        q_rest = rest(qt)
+        # one part in 2^40 covers the rounding of the norms
+        q_rest = rest(qt) * (1 + 2.0**-40)
         m = qt.shape[1]
-        best = np.full((m, k), -np.inf)
-        at = np.full((m, k), -1)
+        bound = np.full(m, -np.inf)
+        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         for cl in range(0, c.shape[1], TILE_C):
-            live = np.arange(cl, min(cl + TILE_C, c.shape[1]))
-            bound = best[:, -1:]
-            sums = np.zeros((m, len(live)))
-            for s, (lo, hi) in enumerate(zip(steps[:-1], steps[1:], strict=True)):
-                sums += qt[lo:hi].T @ c[lo:hi, live]
-                if hi < dims:
-                    # one part in 2^40 covers the rounding of the norms
-                    may = sums + np.outer(q_rest[s], c_rest[s, live]) * (1 + 2.0**-40) >= bound
-                    some = may.any(axis=0)
-                    if some.sum() < 0.8 * len(live):
-                        live, sums = live[some], sums[:, some]
-                        if not len(live):
-                            break
-            if not len(live):
-                continue
-            sums[qi[:, None] == c_ids[None, live]] = -np.inf
-            rows = np.flatnonzero((sums >= bound).any(axis=1))
-            if not len(rows):
-                continue
-            scores = np.concatenate([best[rows], sums[rows]], axis=1)
-            numbers = np.concatenate([at[rows], np.broadcast_to(live, (len(rows), len(live)))], axis=1)
-            if scores.shape[1] > 4 * k:  # all that may count among the first k, ties included
-                kth = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k]
-                width = max(k, int((scores >= kth[:, None]).sum(axis=1).max()))
-                some = np.argpartition(-scores, width - 1, axis=1)[:, :width]
-                scores, numbers = np.take_along_axis(scores, some, 1), np.take_along_axis(numbers, some, 1)
-            ids = np.where(numbers < 0, np.iinfo(np.int64).max, c_ids[numbers])
-            pick = np.lexsort((ids, -scores), axis=1)[:, :k]
-            best[rows], at[rows] = np.take_along_axis(scores, pick, 1), np.take_along_axis(numbers, pick, 1)
-        i, j = np.nonzero(best > -np.inf)
-        out.append((i + ql, order[at[i, j]], best[i, j]))
+            part = slice(cl, min(cl + TILE_C, c.shape[1]))
+            if np.isfinite(bound).any():
+                i, j, score = _tile(qt, q_rest, c, c_rest, part, bound, steps, alive)
+            else:
+                i, j, score = _first(qt.T @ c[:, part], qi[:, None] == c_ids[None, part], part.start, k)
+            other = qi[i] != c_ids[j]
+            i, j, score = (np.concatenate([x, y[other]]) for x, y in zip(best, (i, j, score), strict=True))
+            ranked = np.lexsort((c_ids[j], -score, i))
+            i, j, score = i[ranked], j[ranked], score[ranked]
+            first = np.searchsorted(i, np.arange(m))
+            rank = np.arange(len(i)) - first[i]
+            best = i[rank < k], j[rank < k], score[rank < k]
+            bound[i[rank == k - 1]] = score[rank == k - 1]
+        out.append((best[0] + ql, order[best[1]], best[2]))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def _first(scores: np.ndarray, own: np.ndarray, start: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs of a tile, scored whole, that are among their query's k best, ties included."""
+    scores[own] = -np.inf
+    kth = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(scores), -np.inf)
+    i, at = np.nonzero(scores >= kth[:, None])
+    return i, at + start, scores[i, at]
+
+
+def _tile(q: np.ndarray, q_rest: np.ndarray, c: np.ndarray, c_rest: np.ndarray, part: slice, bound: np.ndarray, steps: list[int], alive: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs (query, candidate, score) of a tile that reach the queries' bounds."""
+    live = np.arange(part.start, part.stop)
+    sums, pairs = np.zeros((q.shape[1], len(live))), None
+    if alive is not None:
+        alive[0] += sums.size
+    for s, (lo, hi) in enumerate(zip(steps[:-1], steps[1:], strict=True)):
+        if pairs is None:
+            sums += q[lo:hi].T @ (c[lo:hi, part] if len(live) == part.stop - part.start else c[lo:hi, live])
+            may = sums + np.outer(q_rest[s], c_rest[s, live]) >= bound[:, None]
+            left = int(may.sum())
+            if 100 * left < SPARSE * may.size or hi == steps[-1]:
+                i, at = np.nonzero(may)
+                pairs, score = (i, live[at]), sums[i, at]
+            else:
+                some = may.any(axis=0)
+                if some.sum() < 0.8 * len(live):
+                    live, sums = live[some], sums[:, some]
+        else:
+            i, j = pairs
+            for d in range(lo, hi):
+                score += q[d, i] * c[d, j]
+            keep = score + q_rest[s, i] * c_rest[s, j] >= bound[i]
+            pairs, score = (i[keep], j[keep]), score[keep]
+            left = len(score)
+        if alive is not None:
+            alive[s + 1] += left
+    return (*pairs, score) if pairs else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
 def _whole(batch_values: pa.Array, scale: float) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of the vectors that take part, and (dimensions, vectors) of floor(scale * x)."""
     lengths = np.array([len(v) if v.is_valid else -1 for v in batch_values])

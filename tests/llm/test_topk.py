@@ -45,3 +45,24 @@ def test_bounds_drop_candidates_without_changing_results():
     for k in range(20):
         want = np.lexsort((np.arange(3000), -full[k]))[:5]
         assert j[i == k].tolist() == want.tolist() and s[i == k].tolist() == full[k][want].tolist()
+
+
+def test_bounds_drop_most_pairs_of_the_given_embeddings():
+    """Vectors without a short axis: after three quarters of the dimensions few pairs are left."""
+    import pyarrow.parquet as pq
+
+    vectors = pq.read_table("/root/testdata/sf0.1/embeddings.parquet", columns=["vec_id", "embedding"]).to_pydict()
+    ids, c = np.array(vectors["vec_id"]), np.floor(64 * np.array(vectors["embedding"], float)).T
+    own = ids % 20 == 0
+    alive = np.zeros(5, np.int64)
+    topk_tile, topk.TILE_C = topk.TILE_C, 512
+    try:
+        i, j, s = topk.search(c[:, own], ids[own], c, ids, 20, alive)
+    finally:
+        topk.TILE_C = topk_tile
+    assert (np.diff(alive) <= 0).all() and alive[3] < 0.5 * alive[0] and alive[4] < 0.05 * alive[0]
+    full = c[:, own].T @ c
+    full[ids[own][:, None] == ids[None]] = -np.inf
+    for k in range(full.shape[0]):
+        want = np.lexsort((ids, -full[k]))[:20]
+        assert j[i == k].tolist() == want.tolist() and s[i == k].tolist() == full[k][want].tolist()
