@@ -93,7 +93,7 @@ def mix(docs: DataFrame, tokens: Column, budget: int | None = None, entropy: flo
     uses = rows.join(planned, "_source").withColumn("pass_no", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("goal") / F.col("tokens")) - 1, F.lit(0)).cast("int"))))
     uses = uses.withColumn("_draw", F.xxhash64(F.lit(seed), "_source", "pass_no", "_id").bitwiseAND(F.lit((1 << 52) - 1)))
     # the bucket takes the draw's high bits, so buckets follow one another in the order of the draws
-    uses = uses.withColumn("_bucket", F.floor(F.col("_draw") * F.col("buckets") / F.lit(float(1 << 52))))
+    uses = uses.withColumn("_bucket", F.floor(F.col("_draw") * (F.col("buckets") / F.lit(float(1 << 52)))))
     group = ["_source", "pass_no", "_bucket"]
     sums = uses.groupBy(*group).agg(F.sum("_tokens").alias("_sum"))
     ahead = W.partitionBy("_source", "pass_no").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)

@@ -68,3 +68,10 @@ def test_word_counts(spark):
     texts = ["", None, " a", "a b\n", "\t\n ", "a\x0bb\x0cc\rd", "é　x y"]
     docs = spark.createDataFrame([(t,) for t in texts], "text string")
     assert [r[0] for r in docs.select(mixing.n_words()).collect()] == [0, 0, 1, 2, 0, 4, 2]
+
+
+def test_sources_of_very_many_buckets(spark, monkeypatch):
+    """As many buckets as a source of 600 million tokens would have."""
+    monkeypatch.setattr(mixing, "BUCKET", 1)
+    docs = spark.createDataFrame([(k, "w " * 10, "a") for k in range(300)], "doc_id long, text string, source string")
+    assert mixing.mix(docs, mixing.n_words(), repeats=1.5).count() == 300
