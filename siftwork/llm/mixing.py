@@ -24,6 +24,8 @@ from .common import SPACE, materialise, table
 
 #: Tokens of a block of the mixture, and of a bucket of one source and pass, about.
 BLOCK, BUCKET = 1_000_000, 200_000
+#: What mix() adds behind the columns kept, without places.
+OUT = ("n_tokens", "pass_no", "block")
 _SPACES = SPACE.decode()
 
 
