@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 
 from .common import materialise, table, worker_memory
 
-#: Labelled rows of a language that its text model is fitted on, about, at most; buckets of trigrams; languages with a model, at most (the most frequent ones).
-SAMPLE, BUCKETS, LANGUAGES = 1000, 1 << 16, 64
+#: Labelled rows of a language that its text model is fitted on, about, at most; buckets of trigrams; languages with a model, at most (the most
+#: frequent ones; two-letter codes are 183). It bounds the model; documents with another label keep that.
+SAMPLE, BUCKETS, LANGUAGES = 1000, 1 << 16, 256
 #: Power of the text likelihood (trigrams are not independent), and weight of the next wider prior in documents.
 TEMPER, PULL = 0.3, 10.0
 #: A text of so many trigrams that every language makes less likely than evenly drawn buckets is in none of them.
