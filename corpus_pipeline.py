@@ -2,7 +2,8 @@
 before kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of `documents`.
-Between stages the rows are written to the shared folder and read again, so that a lost executor costs no earlier stage.
+An empty table passes through every stage; columns besides those of `documents`, of any names, pass through all but the
+last. Between stages the rows are written to the shared folder and read again, so that a lost executor costs no earlier stage.
 """
 
 from __future__ import annotations
@@ -16,12 +17,13 @@ from siftwork.llm.common import materialise, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail no rule of the policy prose-1."""
+    """Documents that fail no rule of the policy prose-1. Null and empty texts fail; repeated rows are judged each."""
     return quality_rules.filter_documents(docs, "prose-1")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the evidence agrees on; `lang` then names it."""
+    """Documents in a language that the evidence agrees on; `lang` then names it. Null texts stay if they declare a known
+    language; null labels and sources are evidence of their own; repeated rows are judged each."""
     found = language.identify_documents(docs)
     return found.where("_kept").select(*(F.col("_language").alias(c) if c == "lang" else F.col(c) for c in docs.columns))
 
@@ -52,14 +54,22 @@ def _dedup_rows(docs: DataFrame) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many words as there are, mixed so that no source is used more than 1.25 times; a row for each use."""
+    """As many words as there are, mixed so that no source is used more than 1.25 times; a row for each use.
+
+    The rows of a block of the mixture follow one another in its order at random, as they are to be read.
+    """
     mixed = mixing.mix(docs, mixing.n_words(), repeats=1.25, keep=tuple(docs.columns), places=False)
     n = len(docs.columns)
-    return mixed.toDF(*map(str, range(len(mixed.columns)))).select(*map(str, range(n))).toDF(*docs.columns)
+    names = [*map(str, range(n)), *(f"m{k}" for k in range(len(mixed.columns) - n))]
+    mixed = mixed.toDF(*names)
+    block = names[n + mixing.OUT.index("block")]
+    order = F.xxhash64(F.lit(18), *map(F.col, names[n:]), *map(F.col, names[:n]))
+    return mixed.repartition(block).sortWithinPartitions(block, order).select(*names[:n]).toDF(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' ids in sequences of 2048 tokens."""
+    """Pieces of the documents' ids in sequences of 2048 tokens. A null or empty text is one piece, its end id; repeated rows
+    are packed each."""
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
