@@ -1,11 +1,13 @@
 """A context-mixing range coder for token ids, run on many independent blocks in step.
 
-Each block of ids is coded from a fresh model, so blocks decode alone. Step t codes id t of every block at once with
-array operations over the blocks. For each id the model has three predictions: what followed the last two ids before
-(order 2), what followed the last id before (order 1), and the chunk's id frequencies (order 0). The chance that order 2 is right is mixed
-from two adaptive estimates, by its own run of hits and by order 1's, under a weight that learns which of the two is
-better; order 1 gets an adaptive share of the rest, and order 0 what then remains. All arithmetic is on integers, so
-that coder and decoder agree on any machine.
+Each block of ids is coded from a fresh model, so blocks decode apart from one another. Step t codes id t of every block
+at once with array operations over the blocks. For each id the model has three predictions: what followed the last two
+ids before (order 2), what followed the last id before (order 1), and the block's own distribution of ids (order 0).
+The chance that order 2 is right is mixed from two adaptive estimates, by its own run of hits and by both orders' runs
+together, under a weight that learns which of the two is better; order 1 gets an adaptive share of the rest, and order 0
+what then remains. Order 0 has the ids in CLASSES classes of about equal mass: the classes' shares adapt within the
+block, and within a class the ids are as frequent as in the chunk that the blocks belong to. An id takes one coding step.
+All arithmetic is on integers, so that coder and decoder agree on any machine.
 """
 
 from __future__ import annotations
@@ -14,151 +16,168 @@ import zlib
 
 import numpy as np
 
-#: Ids a block; entries of a block's order-1 and order-2 tables; bits of order-0 frequencies.
-BLOCK, ENTRIES, BITS0 = 2048, 1024, 22
-ONE = 1 << 16
+#: Ids a block; entries of a block's order-1 and order-2 tables.
+BLOCK, ENTRIES = 2048, 1024
+#: Bits of shares, of the classes' shares of order 0, and of the frequencies in a class.
+BITS, BITS_C, BITS0 = 15, 14, 16
+ONE, ONE_C = 1 << BITS, 1 << BITS_C
+#: Order-0 classes; the least share of a class of order 0's, and of order 0 of all.
+CLASSES, LEAST, LEAST0 = 8, 32, 512
 #: Blocks that are coded in step; bounds the tables' memory to LANES * ENTRIES * 8 bytes.
 LANES = 4096
+LOW0 = (1 << BITS0) - 1
 _U = np.uint64
 
 
 def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct ids, and their order-0 frequencies of at least 1 that sum to 2^BITS0."""
+    """The distinct ids, frequent ones first, and their frequencies, at least 1, which sum to 2^BITS0 in each class."""
     which, counts = np.unique(ids, return_counts=True)
-    total = 1 << BITS0
-    free = total - len(which)
-    freq = 1 + (counts * free // counts.sum())
-    freq[np.argmax(freq)] += total - freq.sum()
-    return which.astype(np.int64), freq.astype(np.int64)
+    order = np.argsort(-counts, kind="stable")
+    which, counts = which[order], counts[order].astype(np.int64)
+    most = 1 << BITS0 - 1
+    if len(which) > CLASSES * most:
+        raise ValueError(f"over {CLASSES * most} distinct ids in a chunk")
+    before = np.cumsum(counts) - counts
+    of = np.minimum(before * CLASSES // counts.sum(), CLASSES - 1 - np.arange(len(which))[::-1] // most)
+    freq = np.zeros(len(which), np.int64)
+    for k in np.unique(of):
+        own = np.flatnonzero(of == k)
+        freq[own] = 1 + counts[own] * ((1 << BITS0) - len(own)) // counts[own].sum()
+        freq[own[0]] += (1 << BITS0) - freq[own].sum()
+    return which.astype(np.int64), freq
 
 
 class _Model:
-    """Tables and estimates of each lane. A table entry is the id seen last in its context, and its hits since then up to 7."""
+    """Tables and estimates of each lane. A table entry is the id seen last in its context, and its hits since then up to 3."""
 
-    def __init__(self, lanes: int):
+    def __init__(self, lanes: int, classes: int):
         n = lanes
-        self.base = np.arange(n, dtype=np.int32) * ENTRIES
-        self.t1, self.t2 = (np.full(n * ENTRIES, -8, np.int32) for _ in range(2))
-        self.by8, self.by16 = np.arange(n, dtype=np.int32) * 8, np.arange(n, dtype=np.int32) * 16
-        self.pa, self.pd = (np.full(n * 8, ONE // 4, np.int32) for _ in range(2))
-        self.pb = np.full(n * 16, ONE // 4, np.int32)
+        self.base = np.arange(n, dtype=np.uint32) * np.uint32(ENTRIES)
+        self.t1, self.t2 = (np.full(n * ENTRIES, -4, np.int32) for _ in range(2))
+        self.by4, self.by32 = np.arange(n, dtype=np.int32) * 4, np.arange(n, dtype=np.int32) * 32
+        self.pa = np.full(n * 4, ONE // 4, np.int32)
+        self.pb, self.pd = (np.full(n * 32, ONE // 4, np.int32) for _ in range(2))
         self.w = np.full(n, ONE // 2, np.int32)
         self.prev1, self.prev2 = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
+        #: Where each class starts among order 0's ONE_C (unused ones at the end), and what that moves towards after each class.
+        at, c = np.arange(CLASSES + 1), np.arange(classes)[:, None]
+        self.cdf = np.tile(np.minimum(at * ONE_C // classes, ONE_C).astype(np.int16), (n, 1))
+        self.by9 = np.arange(n, dtype=np.int64) * (CLASSES + 1)
+        self.towards = np.where(at <= c, at * LEAST, ONE_C - np.maximum(classes - at, 0) * LEAST).astype(np.int16)
 
     def predict(self, n: int) -> tuple[np.ndarray, ...]:
-        """For the first n lanes: the ids that order 2 and order 1 predict, and the shares of the two."""
+        """For the first n lanes: the ids that order 2 and order 1 predict, and where their shares end."""
         p1 = self.prev1[:n] * _H1
-        self.i1 = self.base[:n] + (p1 >> _SHIFT).astype(np.int32)
-        self.i2 = self.base[:n] + (((p1 ^ self.prev2[:n]) * _H2) >> _SHIFT).astype(np.int32)
+        self.i1 = (p1 >> _SHIFT) + self.base[:n]
+        self.i2 = ((p1 ^ self.prev2[:n]) * _H2 >> _SHIFT) + self.base[:n]
         e1, e2 = self.t1[self.i1], self.t2[self.i2]
-        s1, s2, self.n1, self.n2 = e1 >> 3, e2 >> 3, e1 & 7, e2 & 7
-        self.differ = s1 != s2
-        self.ka, self.kb, self.kd = self.by8[:n] + self.n2, self.by16[:n] + self.n1 * 2 + self.differ, self.by8[:n] + self.n1
-        self.a, self.b, self.d = self.pa[self.ka], self.pb[self.kb], self.pd[self.kd]
-        b = self.b >> 4
-        share2 = b + (self.w[:n] * ((self.a >> 4) - b) >> 16) << 4
-        share2 = np.minimum(np.maximum(share2, 32), ONE - 1024)
-        share1 = (ONE - share2) * (self.d >> 2) >> 14
-        share1 = np.minimum(np.maximum(share1, 32), ONE - 32 - share2) * self.differ
-        self.s1, self.s2 = s1, s2
-        return s2, s1, share2, share1
+        self.s1, self.s2, self.n1, self.n2 = e1 >> 2, e2 >> 2, e1 & 3, e2 & 3
+        self.differ = self.s1 != self.s2
+        self.ka = self.by4[:n] + self.n2
+        self.kb = self.by32[:n] + (self.n2 << 3) + (self.n1 << 1) + self.differ
+        self.a, self.b, self.d = self.pa[self.ka], self.pb[self.kb], self.pd[self.kb]
+        end2 = self.b + (self.w[:n] * (self.a - self.b) >> BITS)
+        np.minimum(np.maximum(end2, 16, out=end2), ONE - 2 * LEAST0, out=end2)
+        share1 = ((ONE - end2) * self.d >> BITS) * self.differ
+        end1 = np.minimum(np.maximum(share1, self.differ * np.int32(16), out=share1) + end2, ONE - LEAST0)
+        return self.s2, self.s1, end2, end1
 
     def learn(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
         n = len(ids)
         target = hit2 * _FULL
         self.pa[self.ka] = self.a + (target - self.a >> 4)
         self.pb[self.kb] = self.b + (target - self.b >> 4)
-        self.pd[self.kd] = self.d + ((hit1 * _FULL - self.d >> 4) * (self.differ > hit2))
-        gap = self.a - self.b >> 5
-        self.w[:n] = np.minimum(np.maximum(self.w[:n] + np.where(hit2, gap, -gap), 2048), ONE - 2048)
-        entry = ids << 3
-        self.t1[self.i1] = entry + np.minimum(self.n1 + 1, 7) * (self.s1 == ids)
-        self.t2[self.i2] = entry + np.minimum(self.n2 + 1, 7) * hit2
+        self.pd[self.kb] = self.d + (hit1 * _FULL - self.d >> 4) * (self.differ > hit2)
+        gap = self.a - self.b >> 4
+        w = self.w[:n] + np.where(hit2, gap, -gap)
+        self.w[:n] = np.minimum(np.maximum(w, 1024, out=w), ONE - 1024, out=w)
+        entry = ids << 2
+        self.t1[self.i1] = entry + np.minimum(self.n1 + 1, 3) * (self.s1 == ids)
+        self.t2[self.i2] = entry + np.minimum(self.n2 + 1, 3) * hit2
         self.prev2[:n] = self.prev1[:n]
         self.prev1[:n] = ids
 
+    def starts(self, n: int, c: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where class c starts and ends in order 0's shares of the first n lanes."""
+        at, flat = self.by9[:n] + c, self.cdf.reshape(-1)
+        return rest * flat[at] >> BITS_C, rest * flat[at + 1] >> BITS_C
+
+    def learn_class(self, n: int, c: np.ndarray, miss: np.ndarray) -> None:
+        rows = self.cdf[:n]
+        change = self.towards[c]
+        change -= rows
+        change >>= 5
+        change *= miss[:, None]
+        rows += change
+
 
 _H1, _H2, _SHIFT, _FULL = np.uint32(2654435761), np.uint32(2246822519), np.uint32(32 - (ENTRIES.bit_length() - 1)), np.int32(ONE - 1)
-_TOP, _BOTTOM = _U(48), _U(32)
-_LOW48 = _U((1 << 48) - 1)
-_MASK32 = _U((1 << 32) - 1)
+#: Ranges are kept above 2^40 and below 2^56; `low` has a carry above them, which stays in the digit put out.
+_TOTAL, _TOP, _STEP = _U(BITS + BITS0), _U(40), _U(16)
+_LOWEST = _U(1 << 40)
+_MASK = _U((1 << 40) - 1)
 
 
 class _Encoder:
-    """Carryless range coders in 64 bits, one a lane, each putting out 16-bit words."""
+    """Range coders in 64 bits, one a lane, each putting out 16-bit digits, whose carries are settled at the end."""
 
     def __init__(self, lanes: int):
-        self.low, self.range = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
+        self.low, self.range = np.zeros(lanes, _U), np.full(lanes, (1 << 56) - 1, _U)
         self.lanes_out: list[np.ndarray] = []
-        self.words_out: list[np.ndarray] = []
-
-    def code(self, lanes, start: np.ndarray, width: np.ndarray, bits: int) -> None:
-        low, rng = self.low[lanes], self.range[lanes] >> _U(bits)
-        low = low + rng * start.astype(_U)
-        rng = rng * width.astype(_U)
-        self.low[lanes], self.range[lanes] = low, rng
-        self._shift(lanes, low, rng)
-
-    def _shift(self, lanes, low, rng) -> None:
-        ids = None
-        while True:
-            settled = (low ^ (low + rng)) >> _TOP == 0
-            small = rng >> _BOTTOM == 0
-            due = np.flatnonzero(settled | small)
-            if not len(due):
-                return
-            ids = (np.arange(len(self.low))[lanes] if ids is None else ids)[due]
-            low, rng, cut = low[due], rng[due], ~settled[due]
-            rng[cut] = (~low[cut] + _U(1)) & _MASK32
-            self.lanes_out.append(ids.astype(np.int32))
-            self.words_out.append((low >> _TOP).astype(np.uint16))
-            low, rng = low << _U(16), rng << _U(16)
-            self.low[ids], self.range[ids] = low, rng
+        self.digits_out: list[np.ndarray] = []
+
+    def code(self, n: int, start: np.ndarray, width: np.ndarray) -> None:
+        """Of 2^(BITS + BITS0), for the first n lanes."""
+        rng = self.range[:n] >> _TOTAL
+        low = self.low[:n]
+        low += rng * start.view(_U)
+        np.multiply(rng, width.view(_U), out=self.range[:n])
+        due = np.flatnonzero(self.range[:n] < _LOWEST)
+        while len(due):
+            low, rng = self.low[due], self.range[due] << _STEP
+            self.lanes_out.append(due.astype(np.int32))
+            self.digits_out.append((low >> _TOP).astype(np.int32))
+            self.low[due], self.range[due] = (low & _MASK) << _STEP, rng
+            due = due[rng < _LOWEST]
 
     def finish(self) -> list[bytes]:
         n = len(self.low)
-        for _ in range(4):
-            self.lanes_out.append(np.arange(n, dtype=np.int32))
-            self.words_out.append((self.low >> _TOP).astype(np.uint16))
-            self.low = self.low << _U(16)
-        lanes, words = np.concatenate(self.lanes_out), np.concatenate(self.words_out)
-        order = np.argsort(lanes, kind="stable")
-        data, ends = words[order].astype("<u2").tobytes(), np.cumsum(np.bincount(lanes, minlength=n)) * 2
+        every = np.arange(n, dtype=np.int32)
+        # the least multiple of 2^40 in the range, and what the decoder reads behind it
+        for digit in ((self.low + _MASK >> _TOP).astype(np.int32), *([np.zeros(n, np.int32)] * 3)):
+            self.lanes_out.append(every), self.digits_out.append(digit)
+        lanes, digits = np.concatenate(self.lanes_out), np.concatenate(self.digits_out)
+        digits = digits[np.argsort(lanes, kind="stable")]
+        over = np.flatnonzero(digits >> 16)
+        while len(over):  # a block's first digit has no carry, as its code is below 1
+            digits[over] &= 0xFFFF
+            digits[over - 1] += 1
+            over = over[digits[over - 1] >> 16 > 0] - 1
+        data, ends = digits.astype(">u2").tobytes(), np.cumsum(np.bincount(lanes, minlength=n)) * 2
         return [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
 
 class _Decoder:
     def __init__(self, payloads: list[bytes]):
-        lengths = np.array([len(p) // 2 for p in payloads])
-        self.words = np.append(np.frombuffer(b"".join(payloads), "<u2").astype(_U), _U(0))
-        self.at = np.cumsum(lengths) - lengths
-        n = len(payloads)
-        self.low, self.range, self.code_ = np.zeros(n, _U), np.full(n, (1 << 64) - 1, _U), np.zeros(n, _U)
-        for _ in range(4):
-            self.code_ = self.code_ << _U(16) | self.words[self.at]
-            self.at += 1
-
-    def value(self, lanes, bits: int) -> np.ndarray:
-        self.part = self.range[lanes] >> _U(bits)
-        return np.minimum((self.code_[lanes] - self.low[lanes]) // self.part, _U((1 << bits) - 1)).astype(np.int64)
-
-    def take(self, lanes, start: np.ndarray, width: np.ndarray) -> None:
-        low, rng = self.low[lanes] + self.part * start.astype(_U), self.part * width.astype(_U)
-        self.low[lanes], self.range[lanes] = low, rng
-        ids = None
-        while True:
-            settled = (low ^ (low + rng)) >> _TOP == 0
-            small = rng >> _BOTTOM == 0
-            due = np.flatnonzero(settled | small)
-            if not len(due):
-                return
-            ids = (np.arange(len(self.low))[lanes] if ids is None else ids)[due]
-            low, rng, cut = low[due], rng[due], ~settled[due]
-            rng[cut] = (~low[cut] + _U(1)) & _MASK32
-            low, rng = low << _U(16), rng << _U(16)
-            self.low[ids], self.range[ids] = low, rng
-            self.code_[ids] = self.code_[ids] << _U(16) | self.words[np.minimum(self.at[ids], len(self.words) - 1)]  # past the end only where damaged
-            self.at[ids] += 1
+        data = np.frombuffer(b"".join(payloads) + b"\0" * 8, np.uint8).astype(np.uint16)
+        self.words = (data[:-1] << 8 | data[1:]).astype(_U)  # two bytes from any byte on
+        lengths = np.array([len(p) for p in payloads])
+        at = np.cumsum(lengths) - lengths
+        #: The code less the coder's low, and where its next two bytes are.
+        self.gap = (self.words[at] << _U(40)) | (self.words[at + 2] << _U(24)) | (self.words[at + 4] << _U(8)) | (self.words[at + 6] >> _U(8))
+        self.range, self.at = np.full(len(payloads), (1 << 56) - 1, _U), at + 7
+
+    def take(self, n: int, start: np.ndarray, width: np.ndarray, unit: np.ndarray) -> None:
+        gap, rng = self.gap[:n], self.range[:n]
+        gap -= unit * start.view(_U)
+        np.multiply(unit, width.view(_U), out=rng)
+        np.maximum(rng, 1, out=rng)  # less only where damaged
+        due = np.flatnonzero(rng < _LOWEST)
+        while len(due):
+            at, new = self.at[due], self.range[due] << _STEP
+            self.gap[due] = self.gap[due] << _STEP | self.words[np.minimum(at, len(self.words) - 1)]  # past the end only where damaged
+            self.range[due], self.at[due] = new, at + 2
+            due = due[new < _LOWEST]
 
 
 def _lengths(n: int) -> list[int]:
@@ -169,10 +188,12 @@ def encode(ids: np.ndarray) -> dict:
     """Ids (at least one, each below 2^28) as blocks: frequencies, payloads and checksums. The checksum of a block is the crc32 of its ids."""
     ids = ids.astype(np.int32)
     which, freq = frequencies(ids)
-    start = np.cumsum(freq) - freq
-    top = int(which[-1]) + 1
-    start_of, freq_of = np.zeros(top, np.int64), np.zeros(top, np.int64)
-    start_of[which], freq_of[which] = start, freq
+    place = np.cumsum(freq) - freq
+    classes = int(freq.sum()) >> BITS0
+    top = int(which.max()) + 1
+    #: Class, start and frequency (less 1) of each id in one number.
+    known = np.zeros(top, np.int64)
+    known[which] = place >> BITS0 << 2 * BITS0 | (place & LOW0) << BITS0 | freq - 1
     payloads: list[bytes] = []
     sizes = _lengths(len(ids))
     for first in range(0, len(sizes), LANES):
@@ -182,19 +203,24 @@ def encode(ids: np.ndarray) -> dict:
         grid = np.zeros(n * BLOCK, np.int32)
         grid[: len(own)] = own
         grid = np.ascontiguousarray(grid.reshape(n, BLOCK).T)
-        model, coder = _Model(n), _Encoder(n)
+        model, coder = _Model(n, classes), _Encoder(n)
         for t in range(max(lanes)):
             live = n if t < lanes[-1] else n - 1  # only a last block can be shorter
             sym = grid[t, :live]
-            s2, s1, share2, share1 = model.predict(live)
+            s2, s1, end2, end1 = model.predict(live)
             hit2 = s2 == sym
             hit1 = (s1 == sym) & ~hit2
-            begin = np.where(hit2, 0, np.where(hit1, share2, share2 + share1))
-            width = np.where(hit2, share2, np.where(hit1, share1, ONE - share2 - share1))
-            coder.code(slice(0, live), begin, width, 16)
-            rest = np.flatnonzero(~(hit2 | hit1))
-            if len(rest):
-                coder.code(rest, start_of[sym[rest]], freq_of[sym[rest]], BITS0)
+            miss = ~(hit2 | hit1)
+            own = known[sym]
+            c = own >> 2 * BITS0
+            lo, hi = model.starts(live, c, ONE - end1)
+            model.learn_class(live, c, miss)
+            begin = np.where(hit2, 0, end2)
+            begin = np.where(miss, end1 + lo, begin).astype(np.int64)
+            each = np.where(miss, end1 + hi, np.where(hit2, end2, end1)) - begin
+            start = (begin << BITS0) + each * ((own >> BITS0 & LOW0) * miss)
+            width = each * np.where(miss, (own & LOW0) + 1, 1 << BITS0)
+            coder.code(live, start, width)
             model.learn(sym, hit2, hit1)
         payloads += coder.finish()
     data, ends = ids.astype("<u4").tobytes(), np.cumsum([0, *sizes]) * 4
@@ -203,29 +229,43 @@ def encode(ids: np.ndarray) -> dict:
 
 def decode(which: np.ndarray, freq: np.ndarray, payloads: list[bytes], crcs: list[int], n_ids: int) -> np.ndarray:
     """The ids of consecutive blocks; ValueError if a block does not match its checksum."""
-    start = np.cumsum(freq) - freq
+    place = np.cumsum(freq) - freq
+    known = (place & LOW0) << BITS0 | freq - 1
+    classes = int(freq.sum()) >> BITS0
     slot = np.repeat(np.arange(len(which), dtype=np.int32), freq)
     sizes, out = _lengths(n_ids), []
     for first in range(0, len(sizes), LANES):
         lanes = sizes[first : first + LANES]
         n = len(lanes)
         grid = np.zeros((BLOCK, n), np.int32)
-        model, coder = _Model(n), _Decoder(payloads[first : first + n])
+        model, coder = _Model(n, classes), _Decoder(payloads[first : first + n])
         for t in range(max(lanes)):
             live = n if t < lanes[-1] else n - 1
-            s2, s1, share2, share1 = model.predict(live)
-            v = coder.value(slice(0, live), 16)
-            hit2 = v < share2
-            hit1 = ~hit2 & (v < share2 + share1)
-            begin = np.where(hit2, 0, np.where(hit1, share2, share2 + share1))
-            width = np.where(hit2, share2, np.where(hit1, share1, ONE - share2 - share1))
-            coder.take(slice(0, live), begin, width)
-            sym = np.where(hit2, s2, s1)
-            rest = np.flatnonzero(~(hit2 | hit1))
-            if len(rest):
-                k = slot[coder.value(rest, BITS0)]
-                coder.take(rest, start[k], freq[k])
-                sym[rest] = which[k]
+            s2, s1, end2, end1 = model.predict(live)
+            gap, unit = coder.gap[:live], coder.range[:live] >> _TOTAL
+            whole = unit << _U(BITS0)
+            hit2 = gap < whole * end2.astype(_U)
+            miss = gap >= whole * end1.astype(_U)
+            # the last class whose start is not above the value, and the value in it
+            rest = ONE - end1
+            value = np.minimum(gap // whole, _U(ONE - 1)).astype(np.int32) - end1
+            upto = (((np.maximum(value, 0) + 1 << BITS_C) - 1) // rest).astype(np.int16)
+            c = np.bitwise_count((model.cdf[:live, 1:] <= upto[:, None]).view(np.uint64)[:, 0])
+            c = np.minimum(c, classes - 1).astype(np.int64)  # past the end only where damaged
+            lo, hi = model.starts(live, c, rest)
+            begin = np.where(hit2, 0, end2)
+            begin = np.where(miss, end1 + lo, begin).astype(np.int64)
+            each = np.where(miss, end1 + hi, np.where(hit2, end2, end1)) - begin
+            start = begin << BITS0
+            inside = (gap - unit * start.view(_U)) // (unit * each.view(_U))
+            at = slot[(c << BITS0) + np.minimum(inside, _U(LOW0)).astype(np.int64)]
+            own = known[at]
+            start += each * ((own >> BITS0) * miss)
+            width = each * np.where(miss, (own & LOW0) + 1, 1 << BITS0)
+            sym = np.where(miss, which[at], np.where(hit2, s2, s1)).astype(np.int32)
+            hit1 = ~(hit2 | miss)
+            model.learn_class(live, c, miss)
+            coder.take(live, start, width, unit)
             model.learn(sym, hit2, hit1)
             grid[t, :live] = sym
         out.append(np.ascontiguousarray(grid.T).reshape(-1)[: sum(lanes)])

@@ -20,7 +20,7 @@ from .common import table, worker_memory
 #: Most entries of a worker's look-up table; at this size it starts afresh. It changes speed only.
 TABLE_ENTRIES = 600_000
 #: Bytes of texts that are cut and looked up together, about; a longer text is taken alone.
-TEXT_BYTES = 16_000_000
+TEXT_BYTES = 5_000_000
 
 
 #: Letters on which all libraries agree, and what may follow them as one pre-token of its own.
