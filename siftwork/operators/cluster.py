@@ -7,9 +7,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.config import Config, Step
 from ..plans.tables import materialise
 from .components import components, labelled
-from .similarity import dense_pairs
+from .similarity import dense_pairs, similar_links, sparse_pairs
 
 
 def threshold_clusters(items: DataFrame, links: DataFrame, id_: str = "id") -> DataFrame:
@@ -175,4 +176,66 @@ def two_step(vectors: DataFrame, first: float, second: float, most: int = 50, id
     return second_step(clusters, vectors, second, id_, vec)
 
 
-__all__ = ["affinity", "components", "dbscan", "gated", "lda", "mean_shift", "members_by_size", "second_step", "threshold_clusters", "two_step"]
+def cluster_by(step: Step, data: DataFrame, id_: str = "id", by: str | None = None, min_samples: int = 1) -> DataFrame:
+    """([by,] id_, cluster) of long-form counts (id_, feature, value) or of vectors (id_, vec), by the step's algorithm.
+
+    The threshold is the least cosine of cc and dbscancos, the greatest distance of dbscan, the bandwidth of means, the
+    preference of aff and affcos, and the number of topics of lda. With `by`, a column whose groups are gated in size,
+    each group is clustered apart; lda has one model for all. Noise of dbscan has a null cluster.
+    """
+    dense = "vec" in data.columns
+    if step.algorithm in ("cc", "dbscancos", "dbscan"):
+        if by:
+            pairs = _pairs_within(data, step, id_, by)
+        elif dense:
+            pairs = dense_pairs(data, step.threshold, id_, metric="euclidean" if step.algorithm == "dbscan" else "cosine")
+        elif step.algorithm == "cc":
+            pairs = similar_links(data, step.threshold, id_)
+        elif step.algorithm == "dbscancos":
+            pairs = sparse_pairs(data, step.threshold, id_)
+        else:
+            raise ValueError("dbscan takes vectors")
+        keys = data.select(*([by] if by else []), id_).distinct()
+        found = threshold_clusters(keys, pairs, id_) if step.algorithm == "cc" else dbscan(keys, pairs, min_samples, id_).select(id_, "cluster")
+        return keys.join(found, id_) if by else found
+    if step.algorithm == "lda":
+        found = lda(data, int(step.threshold), id_)
+        return data.select(by, id_).distinct().join(found, id_) if by else found
+    if not dense:
+        raise ValueError(f"{step.algorithm} takes vectors")
+    if step.algorithm == "means":
+        return mean_shift(data, step.threshold, id_, by)
+    return affinity(data, step.threshold or None, step.algorithm == "affcos", id_, by)
+
+
+def _pairs_within(data: DataFrame, step: Step, id_: str, by: str) -> DataFrame:
+    """(a, b) of one group that the step's threshold links."""
+    if "vec" in data.columns:
+        rows = data.select(by, id_, F.col("vec").cast("array<double>").alias("v"))
+    else:
+        norm = data.groupBy(by, id_).agg(F.map_from_entries(F.collect_list(F.struct("feature", F.col("value").cast("double")))).alias("v"))
+        rows = norm
+    a, b = (rows.select(by, F.col(id_).alias(k), F.col("v").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+    if "vec" in data.columns:
+        dot = lambda u, v: F.aggregate(F.zip_with(u, v, lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
+    else:
+        dot = lambda u, v: F.aggregate(F.map_keys(u), F.lit(0.0), lambda s, k: s + F.try_element_at(F.col(u), k) * F.coalesce(F.try_element_at(F.col(v), k), F.lit(0.0)))
+    if step.algorithm == "dbscan":
+        close = dot("x", "x") + dot("y", "y") - 2 * dot("x", "y") <= step.threshold**2
+    else:
+        close = F.coalesce(F.try_divide(dot("x", "y"), F.sqrt(dot("x", "x") * dot("y", "y"))), F.lit(0.0)) >= step.threshold
+    return a.join(b, by).where("a < b").where(close).select("a", "b")
+
+
+def run_steps(config: Config, first: DataFrame, second: DataFrame, id_: str = "id") -> DataFrame:
+    """(cluster, sub, id_): clusters of `first` by the first step, gated by the settings' size, each split by the second step
+    over `second`. Both are counts or vectors, as the steps' features say. Items without data of the second step are left out."""
+    clusters = cluster_by(config.first, first, id_).where("cluster IS NOT NULL")
+    clusters = materialise(gated(clusters, config.big_clusters), "clusters")
+    members = materialise(clusters.join(second, id_), "members")
+    members = members.withColumnRenamed("cluster", "parent")
+    found = cluster_by(config.second, members, id_, "parent").where("cluster IS NOT NULL")
+    return found.select(F.col("parent").alias("cluster"), F.col("cluster").alias("sub"), id_)
+
+
+__all__ = ["affinity", "cluster_by", "components", "dbscan", "gated", "lda", "mean_shift", "members_by_size", "run_steps", "second_step", "threshold_clusters", "two_step"]

@@ -38,6 +38,28 @@ def mean_vectors(nodes: DataFrame, vectors: DataFrame, by: str = "construct_id")
     return means.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "m"))), lambda s: s["m"]).alias("vec"))
 
 
+def label_vectors(nodes: DataFrame, vectors: DataFrame, by: str = "construct_id") -> DataFrame:
+    """SM by label: features `label (dim)` with the mean, to two digits, of the vectors (node_id, vec) of a construct's nodes
+    of a label, themselves taken to two digits. Halves go away from zero."""
+    each = nodes.join(vectors, "node_id").select(by, "label", F.posexplode("vec").alias("dim", "x"))
+    feature = F.concat("label", F.lit(" ("), F.col("dim").cast("string"), F.lit(")")).alias("feature")
+    sums = each.groupBy(by, feature).agg(F.sum(F.round(F.col("x") * 100).cast("long")).alias("s"), F.count("x").alias("n")).where("n > 0")
+    mean = F.signum("s") * F.floor((2 * F.abs("s") + F.col("n")) / (2 * F.col("n"))) / 100
+    return sums.select(by, "feature", mean.alias("value"))
+
+
+def similar_labels(nodes: DataFrame, vectors: DataFrame, most: int = 5, by: str = "construct_id") -> DataFrame:
+    """SM by neighbours: how often each label is among the `most` nodes of a construct most like one of its nodes by the
+    cosine of their vectors, ties to the smaller node_id. Constructs are gated in size."""
+    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
+    unit = nodes.join(vectors, "node_id").withColumn("vec", F.col("vec").cast("array<double>")).withColumn("norm", norm)
+    unit = unit.select(by, "node_id", "label", F.transform("vec", lambda x: F.coalesce(F.try_divide(x, F.col("norm")), F.lit(0.0))).alias("u"))
+    pairs = unit.select(by, F.col("node_id").alias("of"), F.col("u").alias("x")).join(unit.withColumnRenamed("u", "y"), by).where("of <> node_id")
+    sim = F.aggregate(F.zip_with("x", "y", lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
+    near = pairs.groupBy(by, "of").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.round(sim, 9)).alias("s"), "node_id", "label"))), 1, most).alias("near"))
+    return near.select(by, F.explode("near").alias("n")).groupBy(by, F.col("n.label").alias("feature")).agg(F.count("*").alias("value"))
+
+
 def wl_features(nodes: DataFrame, edges: DataFrame, rounds: int = 5, by: str = "construct_id") -> DataFrame:
     """Weisfeiler-Lehman words of all rounds, counted: the words a whole-graph embedding learns from."""
     words = wl_labels(nodes, edges, rounds, (by,))

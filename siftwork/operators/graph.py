@@ -183,6 +183,39 @@ def wl_labels(nodes: DataFrame, edges: DataFrame, rounds: int, by: list[str] = (
     return out.select(*by, "node_id", "round", "label")
 
 
+def integer_wl(nodes: DataFrame, edges: DataFrame, rounds: int, by: tuple[str, ...] = ("graph_id",)) -> DataFrame:
+    """(by…, node_id, round, label): relabelling by whole numbers over neighbours on both sides. A round numbers the pairs of a
+    label and the sorted labels of predecessors and successors, with equal numbers where they are equal: 60 bits of
+    their md5, so that no task has to count them. A node without a label has 0 in round 0."""
+    by = list(by)
+    number = lambda text: F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+    labels = materialise(nodes.select(*by, "node_id", F.when(F.col("label").isNull(), 0).otherwise(number(F.col("label"))).cast("long").alias("label")), "wl")
+    pairs = edges.select(*by, "src", "dst").distinct()
+    both = pairs.unionByName(pairs.select(*by, F.col("dst").alias("src"), F.col("src").alias("dst")))
+    out = labels.withColumn("round", F.lit(0))
+    for r in range(1, rounds + 1):
+        near = both.join(labels.withColumnsRenamed({"node_id": "dst"}), [*by, "dst"]).groupBy(*by, F.col("src").alias("node_id")).agg(F.array_sort(F.collect_list("label")).alias("near"))
+        text = F.concat_ws(",", F.col("label").cast("string"), F.transform("near", lambda x: x.cast("string")))
+        labels = materialise(labels.join(near, [*by, "node_id"], "left").select(*by, "node_id", number(text).alias("label")), "wl")
+        out = out.unionByName(labels.withColumn("round", F.lit(r)))
+    return out.select(*by, "node_id", "round", "label")
+
+
+def wl_sentences(labels: DataFrame, edges: DataFrame, by: tuple[str, ...] = ("graph_id",)) -> DataFrame:
+    """(by…, node_id, round, sentence): a node's label `round+label`, then the distinct ones of its neighbours in the same
+    round, the one before and the one after: what a skip-gram model of labels learns from."""
+    by = list(by)
+    word = F.concat(F.col("round").cast("string"), F.lit("+"), F.col("label").cast("string"))
+    named = labels.select(*by, "node_id", "round", word.alias("word"))
+    pairs = edges.select(*by, F.col("src").alias("node_id"), F.col("dst").alias("to")).unionByName(edges.select(*by, F.col("dst").alias("node_id"), F.col("src").alias("to"))).distinct()
+    near = pairs.join(named.withColumnsRenamed({"node_id": "to", "round": "of"}), [*by, "to"]).select(*by, "node_id", "of", "word").distinct()
+    near = near.withColumn("round", F.explode(F.array(F.col("of"), F.col("of") + 1, F.col("of") - 1)))
+    place = F.when(F.col("of") == F.col("round"), 0).when(F.col("of") < F.col("round"), 1).otherwise(2)
+    lists = near.groupBy(*by, "node_id", "round").agg(F.array_sort(F.collect_list(F.struct(place.alias("place"), "word"))).alias("near"))
+    full = named.join(lists, [*by, "node_id", "round"], "left")
+    return full.select(*by, "node_id", "round", F.concat_ws(" ", "word", F.transform("near", lambda x: x["word"])).alias("sentence"))
+
+
 def wl_kernel(labels: DataFrame, by: str = "graph_id") -> DataFrame:
     """(a, b, kernel), a < b: dot products of label counts over all rounds, normalised; graphs that share no label are left out."""
     counts = labels.groupBy(by, "round", "label").agg(F.count("*").cast("double").alias("n"))

@@ -177,3 +177,31 @@ def excerpts(docs: DataFrame, source_lines: DataFrame, kind: str, **lists) -> Da
     rows = wanted.withColumn("line", F.explode(around))
     place = F.when(~F.array_contains("own", F.col("line")), "margin").when(F.array_contains("hits", F.col("line")), "diff").otherwise("code")
     return rows.join(source_lines, ["file", "line"]).where(F.trim("text") != "").select("_id", "k", "file", "line", place.alias("kind"), F.trim("text").alias("text"))
+
+
+def report(docs: DataFrame, code: DataFrame | None = None) -> DataFrame:
+    """(_id, line, text): the documents as a console report, numbered by `ord`; in `line` order within a document.
+
+    code: (_id, k, line, text), source lines of constructs as `excerpts` gives them; they are shown for the first
+    construct of each sub-cluster, whose others are named with their lines only.
+    """
+    ranks = docs.select("_id", "ord")
+    number = ranks.withColumn("i", F.row_number().over(W.orderBy("ord", "_id"))).select("_id", "i")  # ids alone are numbered together
+    flow = F.when(F.col("dependency") == "_ODD_", "Data Flow").otherwise("Control&Data Flow")
+    string = lambda c: F.col(c).cast("string")
+    named = docs.join(number, "_id")
+    head = F.concat(F.lit("Inconsistency #"), string("i"), F.lit(" , Total subclusters: ("), F.size("subclusters").cast("string"), F.lit(") , Granularity: ("), string("construct_type"), F.lit(") , Similarity: ("), string("firststep_threshold"), F.lit(") , ID: "), string("_id"), F.lit(" , Dependency: "), flow)
+    tops = named.select("_id", F.array(F.lit(-1), F.lit(0), F.lit(0), F.lit(0)).alias("at"), F.concat(head, F.lit("\n" + "=" * 80)).alias("text"))
+    subs = named.select("_id", F.posexplode("subclusters").alias("s", "sub"))
+    heads = subs.select("_id", F.array(F.col("s"), F.lit(-1), F.lit(0), F.lit(0)).alias("at"), F.concat(F.lit("Subcluster #"), string("s"), F.lit(" , Total items: ("), F.col("sub.constructs_total").cast("string"), F.lit(")")).alias("text"))
+    ends = subs.select("_id", F.array(F.col("s"), F.lit(1 << 30), F.lit(0), F.lit(0)).alias("at"), F.lit("+" * 80).alias("text"))
+    each = subs.select("_id", "s", F.posexplode("sub.constructs").alias("c", "x"))
+    place = F.concat(F.col("x.source_file_path"), F.lit(" "), F.col("x.function_name"), F.lit(" ["), F.array_join(F.transform("x.lines", lambda v: v.cast("string")), ", "), F.lit("]"))
+    rows = tops.unionByName(heads).unionByName(ends).unionByName(each.select("_id", F.array(F.col("s"), F.col("c"), F.lit(0), F.lit(0)).alias("at"), place.alias("text")))
+    if code is not None:
+        sizes = F.transform("subclusters", lambda s: F.size(s["constructs"]))
+        first = named.select("_id", F.posexplode(sizes).alias("s", "n"), sizes.alias("all"))
+        first = first.select("_id", "s", F.aggregate(F.slice("all", F.lit(1), F.col("s")), F.lit(0), lambda a, b: a + b).alias("k"))
+        shown = code.join(first, ["_id", "k"]).select("_id", F.array(F.col("s"), F.lit(0), F.lit(1), F.col("line").cast("int")).alias("at"), F.concat(F.lpad(string("line"), 6, " "), F.lit(" "), F.col("text")).alias("text"))
+        rows = rows.unionByName(shown)
+    return rows.withColumn("line", F.row_number().over(W.partitionBy("_id").orderBy("at", "text"))).select("_id", "line", "text")

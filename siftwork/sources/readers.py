@@ -194,15 +194,39 @@ def edge_list(lines: DataFrame, undirected: bool = True, adjacency: bool = False
     return edges.distinct(), vertices
 
 
+def matrix_edges(lines: DataFrame) -> DataFrame:
+    """Edges (src, dst) of the lines (ord, value) of a square matrix: where row `ord`, from 0, has another number than 0."""
+    cells = lines.select("ord", F.posexplode(words(F.col("value"))).alias("dst", "x"))
+    return cells.where(F.col("x").cast("double") != 0).select(F.col("ord").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
+
+
+def map_edges(texts: DataFrame) -> DataFrame:
+    """Edges (src, dst) of JSON objects (value) that give each vertex a list of its neighbours."""
+    pairs = texts.select(F.explode(F.from_json("value", "map<string,array<bigint>>")).alias("src", "to"))
+    return pairs.select(F.col("src").cast("long").alias("src"), F.explode("to").alias("dst")).distinct()
+
+
+def vectors(spark: SparkSession, path: str) -> DataFrame:
+    """(id, vec) of lines of an id and its numbers."""
+    parts = words(F.col("value"))
+    return spark.read.text(path).select(F.get(parts, F.lit(0)).alias("id"), F.transform(F.slice(parts, F.lit(2), F.size(parts) - 1), lambda x: x.cast("double")).alias("vec"))
+
+
+def walks(spark: SparkSession, path: str) -> DataFrame:
+    """(path) of lines of vertices."""
+    return spark.read.text(path).select(words(F.col("value")).alias("path"))
+
+
 def source_lines(texts: DataFrame) -> DataFrame:
     """(file, line, text) with lines numbered from 1, from (file, text)."""
     return texts.select("file", F.posexplode(F.split("text", "\n")).alias("k", "text")).select("file", (F.col("k") + 1).alias("line"), "text")
 
 
 def cluster_report(lines: DataFrame) -> DataFrame:
-    """(cluster, location) of a report's lines (ord, value): `Cluster #k`, `# Items n`, `=…`, and members."""
+    """(cluster, location) of the lines (ord, value) of a report, or of several with a column file: `Cluster #k`, `# Items n`,
+    `=…`, and members."""
     head = F.when(F.col("value").startswith("Cluster"), F.regexp_replace(F.get(words(F.col("value")), F.lit(1)), "#", ""))
-    named = lines.withColumn("cluster", F.last(head, True).over(W.partitionBy(F.lit(0)).orderBy("ord")))  # a report is one file
+    named = lines.withColumn("cluster", F.last(head, True).over(W.partitionBy("file" if "file" in lines.columns else F.lit(0)).orderBy("ord")))
     return named.where("cluster IS NOT NULL").where(~F.col("value").rlike("^(Cluster|# Items|=)") & (F.trim("value") != "")).select("cluster", F.col("value").alias("location"))
 
 
