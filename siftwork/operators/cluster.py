@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..plans.config import Config, Step
 from ..plans.tables import materialise
 from .components import components, labelled
-from .similarity import dense_pairs, similar_links, sparse_pairs
+from .similarity import dense_links, dense_pairs, similar_links, sparse_pairs
 
 
 def threshold_clusters(items: DataFrame, links: DataFrame, id_: str = "id") -> DataFrame:
@@ -140,7 +140,7 @@ def lda(features: DataFrame, topics: int, id_: str = "construct_id", seed: int =
     pack = F.udf(lambda m: SparseVector(vocabulary, {int(k): float(v) for k, v in m.items()}), VectorUDT())
     sums = features.groupBy(id_, F.pmod(F.xxhash64("feature"), F.lit(vocabulary)).cast("int").alias("k")).agg(F.sum("value").cast("double").alias("v"))
     rows = sums.groupBy(id_).agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m")).select(id_, pack("m").alias("features"))
-    rows = rows.cache()
+    rows = materialise(rows, "counts")
     model = LDA(k=topics, maxIter=rounds, seed=seed, optimizer="online").fit(rows)
     p = vector_to_array("topicDistribution")
     return model.transform(rows).select(id_, (F.array_position(p, F.array_max(p)) - 1).cast("int").alias("cluster"))
@@ -171,7 +171,7 @@ def second_step(clusters: DataFrame, vectors: DataFrame, threshold: float, id_:
 
 def two_step(vectors: DataFrame, first: float, second: float, most: int = 50, id_: str = "id", vec: str = "vec") -> DataFrame:
     """(cluster, sub, id_): cosine components at `first`, gated by size, then split at `second`."""
-    links = dense_pairs(vectors, first, id_, vec)
+    links = dense_links(vectors, first, id_, vec)
     clusters = materialise(gated(threshold_clusters(vectors, links, id_), most), "clusters")
     return second_step(clusters, vectors, second, id_, vec)
 
@@ -187,6 +187,8 @@ def cluster_by(step: Step, data: DataFrame, id_: str = "id", by: str | None = No
     if step.algorithm in ("cc", "dbscancos", "dbscan"):
         if by:
             pairs = _pairs_within(data, step, id_, by)
+        elif dense and step.algorithm == "cc":
+            pairs = dense_links(data, step.threshold, id_)
         elif dense:
             pairs = dense_pairs(data, step.threshold, id_, metric="euclidean" if step.algorithm == "dbscan" else "cosine")
         elif step.algorithm == "cc":

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..plans.tables import materialise
 
-#: Rows a block of the dense search, about.
-BLOCK = 2048
+#: Rows a block of the dense search, about; tasks that the pairs of blocks are dealt to, at most.
+BLOCK, TASKS = 2048, 20_000
 
 
 def _packed(vectors: DataFrame, id_: str, vec: str, blocks: int) -> DataFrame:
@@ -30,6 +30,33 @@ def dense_pairs(vectors: DataFrame, threshold: float, id_: str = "id", vec: str
     travel are whole blocks. metric "euclidean" gives pairs at a distance of at most `threshold`, and `sim` is the
     distance.
     """
+    return _block_products(vectors, threshold, id_, vec, metric, False)
+
+
+def dense_links(vectors: DataFrame, threshold: float, id_: str = "id", vec: str = "vec", metric: str = "cosine") -> DataFrame:
+    """(a, b) links that connect what the pairs of dense_pairs connect: each block product gives out a spanning forest of its
+    pairs, at most a link a vector, so a group of like vectors does not give out its square."""
+    return _block_products(vectors, threshold, id_, vec, metric, True).select("a", "b")
+
+
+def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """The places of pairs (i, j) of n vertices that join what the ones before them have not joined."""
+    least, kept = np.arange(n), []
+    left = np.arange(len(i))
+    while len(left):
+        x, y = least[i[left]], least[j[left]]
+        left = left[x != y]
+        x, y = np.minimum(x, y)[x != y], np.maximum(x, y)[x != y]
+        # one pair for each component that joins a smaller one
+        y, first = np.unique(y, return_index=True)
+        kept.append(left[first])
+        least[y] = x[first]
+        while (least[least] != least).any():
+            least = least[least]
+    return np.concatenate(kept) if kept else np.zeros(0, np.int64)
+
+
+def _block_products(vectors: DataFrame, threshold: float, id_: str, vec: str, metric: str, links: bool) -> DataFrame:
     n = vectors.count()
     blocks = max(1, -(-n // BLOCK))
     packed = materialise(_packed(vectors, id_, vec, blocks), "blocks")
@@ -54,9 +81,12 @@ def dense_pairs(vectors: DataFrame, threshold: float, id_: str = "id", vec: str
                 i, j = np.nonzero(ok)
                 keep = a[i] < b[j] if r.i == r.j else a[i] != b[j]
                 i, j = i[keep], j[keep]
+                if links:
+                    some = _forest(i, j if r.i == r.j else j + len(a), len(a) + len(b))
+                    i, j = i[some], j[some]
                 yield pd.DataFrame({"a": np.minimum(a[i], b[j]), "b": np.maximum(a[i], b[j]), "sim": sim[i, j]})
 
-    return left.join(right, "j").select("i", "j", "dims", "ids", "x", "ids2", "x2").repartition(max(1, blocks * (blocks + 1) // 2), "i", "j").mapInPandas(multiply, f"a {kind}, b {kind}, sim double")
+    return left.join(right, "j").select("i", "j", "dims", "ids", "x", "ids2", "x2").repartition(max(1, min(TASKS, blocks * (blocks + 1) // 2)), "i", "j").mapInPandas(multiply, f"a {kind}, b {kind}, sim double")
 
 
 def sparse_pairs(features: DataFrame, threshold: float, id_: str = "construct_id") -> DataFrame:

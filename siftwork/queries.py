@@ -235,7 +235,7 @@ def sparse_cosine(spark, d):
 @query("threshold_components", f"WITH RECURSIVE {_PAIRS}, {_COMPONENTS.format(p='p', v='v')} SELECT id, cluster FROM c")
 def threshold_components(spark, d):
     v = vectors(spark, d)
-    return cluster.threshold_clusters(v, similarity.dense_pairs(v, FIRST))
+    return cluster.threshold_clusters(v, similarity.dense_links(v, FIRST))
 
 
 @query("dbscan_cosine", f"""WITH RECURSIVE {_PAIRS}, s AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), core AS (SELECT a AS id FROM s GROUP BY 1 HAVING count(*) + 1 >= 4),

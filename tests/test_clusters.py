@@ -118,3 +118,16 @@ def test_zero_vectors_and_empty_slices_have_no_similarity(spark):
     features = spark.createDataFrame([("a", "x", 1), ("b", "x", 2), ("z", "x", 0)], "construct_id string, feature string, value int")
     slices = spark.createDataFrame([("g", i) for i in "abz"], "group string, construct_id string")
     assert sorted((r.a, r.b, r.sim) for r in statistics.slice_similarities(features, slices).collect()) == [("a", "b", 1.0), ("a", "z", 0.0), ("b", "z", 0.0)]
+
+
+@pytest.mark.parametrize("metric, threshold", [("cosine", 0.8), ("euclidean", 0.7)])
+def test_links_connect_what_pairs_connect(spark, monkeypatch, metric, threshold):
+    monkeypatch.setattr(similarity, "BLOCK", 16)
+    monkeypatch.setattr(similarity, "TASKS", 3)
+    rng = random.Random(8)
+    rows = [(k, [rng.gauss(0, 1) for _ in range(3)]) for k in range(120)] + [(200 + k, [1.0, 0.5, 0.0]) for k in range(60)]
+    df = spark.createDataFrame(rows, "id int, vec array<double>")
+    pairs, links = similarity.dense_pairs(df, threshold, metric=metric), similarity.dense_links(df, threshold, metric=metric)
+    as_map = lambda x: {r.c: r.comp for r in components(x).collect()}
+    assert as_map(pairs) == as_map(links)
+    assert links.count() < pairs.count() / 2
