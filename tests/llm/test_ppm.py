@@ -42,13 +42,18 @@ def brute(train, texts):
 TEXTS = ["the cat sat on the mat. The cat", "a dog sat there; the dog barked", "Über straße café the", "", "zzz qqq unseen ☃ words", "the the the the the", "x", "dog cat mat " * 300]
 
 
-@pytest.mark.parametrize("shard", [10_000_000, 40])
-def test_scores_equal_brute_force(spark, monkeypatch, shard):
+@pytest.mark.parametrize("shard, run, hot", [(10_000_000, 3 << 19, 1 << 18), (40, 60, 0), (4, 300, 50)])
+def test_scores_equal_brute_force(spark, monkeypatch, shard, run, hot):
+    """Small shards cut contexts of many grams by their third byte; small runs make many questions to each shard."""
     monkeypatch.setattr(ppm, "SHARD", shard)
+    monkeypatch.setattr(ppm, "RUN", run)
+    monkeypatch.setattr(ppm, "HOT", hot)
+    monkeypatch.setattr(ppm, "ASKED", 1 if run == 60 else 4096)
+    monkeypatch.setattr(ppm, "PIECE", 8 if run == 60 else 1 << 14)
     train = [*TEXTS[:3], None, "", "cats and dogs are on the mats"]
     docs = spark.createDataFrame([(t, 0) for t in train], "text string, score int")
     model = ppm.train(docs)
-    assert (len(model.tries) > 1) == (shard == 40)
+    assert (model.tries > 1) == (shard <= 40) and (model.parts.max() > 1) == (shard == 4)
     rows = [(k, t) for k, t in enumerate([*TEXTS, None, TEXTS[0]])]
     got = ppm.score(spark.createDataFrame(rows, "doc_id long, text string"), model, {"doc_id": "long"}).toPandas().sort_values("doc_id")
     assert np.allclose(got.score, brute(train, [t for _, t in rows]), rtol=1e-9)
