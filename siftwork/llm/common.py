@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.tables import materialise, scratch, shared_dir, table, table_path
 
-__all__ = ["SPACE", "materialise", "scratch", "shared_dir", "table", "table_path", "with_rank", "worker_memory"]
+__all__ = ["SPACE", "materialise", "scratch", "shared_dir", "table", "table_path", "text_batches", "with_rank", "worker_memory"]
 
 #: White space that ends a word: space and 0x09 to 0x0D. Any other character belongs to a word.
 SPACE = b" \t\n\x0b\x0c\r"
@@ -27,6 +27,12 @@ def worker_memory(owner: str, clear: Callable[[], None] | None = None) -> None:
         _owner[:] = owner, clear
 
 
+def text_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Rows reach Python in batches of about so many bytes at most, from now on in this session: rows of text are long, and a
+    batch of the usual count of them takes memory several times over, in the executor and its workers."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 def with_rank(df: DataFrame, by: list[str], order: list[Column], to: str, rows: int) -> DataFrame:
     """Number the rows of each `by` group from 0 without gaps, in no stated order.
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table, worker_memory
+from .common import materialise, table, text_batches, worker_memory
 
 #: Labelled rows of a language that its text model is fitted on, about, at most; buckets of trigrams; languages with a model, at most (the most
 #: frequent ones; two-letter codes are 183). It bounds the model; documents with another label keep that.
@@ -203,6 +203,7 @@ def _labels_kept(found: DataFrame, languages: list[str]) -> DataFrame:
 
 def identify_documents(docs: DataFrame) -> DataFrame:
     """All columns of documents, with _language and _kept. Columns of any names pass through."""
+    text_batches(docs.sparkSession)
     held = [f"c{i}" for i in range(len(docs.columns))]
     rows = docs.select(*(F.col(c).alias(h) for c, h in zip(docs.columns, held, strict=True)), *_document_evidence())
     languages, chances = fit(docs)

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import materialise, scratch, table, worker_memory
+from .common import materialise, scratch, table, text_batches, worker_memory
 
 WORDS, SIMILARITY = 5, (75, 100)
 POSITIONS, BRANCHING, SCREEN = 128, 64, 76
@@ -501,6 +501,7 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 def _dedup(docs: DataFrame) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
+    text_batches(docs.sparkSession)
     hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_class_rows, "doc_id long, n long, digest binary, signature binary, brief binary")
     hashed = materialise(hashed, "sets")
     # the smallest doc_id of equal sets stands for them; sets without a doc_id or without shingles stand alone

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table, with_rank
+from .common import materialise, table, text_batches, with_rank
 from .tokens import ByteBpe, loaded
 
 _RANKS = 1 << 40
@@ -122,6 +122,7 @@ def pack_documents(docs: DataFrame, path: str, tokens: int = 2048, most_docs: in
     A null or empty text is one piece, the end id alone; a null doc_id stays null; repeated rows are packed each; an
     empty table gives no rows; other columns are ignored. Texts of any length are packed whole.
     """
+    text_batches(docs.sparkSession)
     return pack(materialise(pieces_of(docs, path, tokens), "pieces"), tokens, most_docs, most_attention)
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, table, worker_memory
+from .common import SPACE, materialise, table, text_batches, worker_memory
 
 SYMBOLS = b"#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
@@ -125,6 +125,7 @@ def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 def ledger(docs: DataFrame) -> DataFrame:
     """doc_id, the measurements, and `fail_bits`: bit i is set if rule i of RULES fails."""
+    text_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, " + ", ".join(f"{k} long" for k in MEASURES)
     measured = docs.select("doc_id", "text").mapInArrow(_measure_batches, schema)
@@ -157,6 +158,7 @@ def ablation(rows: DataFrame, policy: str) -> DataFrame:
 
 def filter_documents(docs: DataFrame, policy: str = "prose-1") -> DataFrame:
     """The documents that the policy keeps, with all their columns. Null and repeated doc_ids are judged by their own text."""
+    text_batches(docs.sparkSession)
     names = docs.columns
     at = names.index("text")
 
@@ -176,5 +178,6 @@ def filter_documents(docs: DataFrame, policy: str = "prose-1") -> DataFrame:
 
 
 def op4_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ledger(table(spark, sf_dir, "documents"))
+    """The ledger is stored; policies are applied to what was stored."""
+    rows = materialise(ledger(table(spark, sf_dir, "documents")), "ledger")
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~passes("base-1")).alias("base_failed"), passes("prose-1").alias("kept"), "fail_bits")

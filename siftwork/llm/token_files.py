@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import range_coder
-from .common import table, table_path
+from .common import table, table_path, text_batches
 from .tokens import ByteBpe, loaded
 
 #: A chunk is closed by the document that brings it to so many ids; a longer document makes a larger chunk of its own.
@@ -34,6 +34,7 @@ def write_documents(docs: DataFrame, path: str, location: str, end: int = 0) ->
     makes a file without chunks; other columns are ignored.
     """
     last = int(end).to_bytes(4, "little")
+    text_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = loaded(ByteBpe, path), TaskContext.get().partitionId()

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, worker_memory
+from .common import table, text_batches, worker_memory
 
 #: Most entries of a worker's look-up table; at this size it starts afresh. It changes speed only.
 TABLE_ENTRIES = 600_000
@@ -243,6 +243,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 4096) -> DataFrame:
     table gives no rows; other columns are ignored. A text of any length is counted whole.
     """
 
+    text_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = loaded(PieceCounts, path)
         for batch in batches:
