@@ -110,6 +110,12 @@ def wl_sentences(spark, d):
     return graph.wl_sentences(integer_wl(spark, d), edges).select("node_id", "round", "sentence")
 
 
+@query("label_embeddings")
+def label_embeddings(spark, d):
+    """Relabelled nodes and their vectors; one model of all graphs, so no SQL."""
+    return features.label_embeddings(wl_sentences(spark, d), 16).select("label", F.size("vec").alias("dims"))
+
+
 # Compile databases and texts
 
 _ENTRIES = """SELECT s_suppkey AS k, '/p/' || (s_suppkey % 3) AS d, 's' || (s_suppkey % 40) || CASE WHEN s_suppkey % 10 = 9 THEN '.cpp' ELSE '.c' END AS f, s_suppkey % 2 = 0 AS spelt FROM supplier"""

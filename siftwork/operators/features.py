@@ -111,6 +111,17 @@ def document_vectors(words: DataFrame, dims: int = 64, epochs: int = 20, rate: f
     return rows.groupBy(block or "_block").applyInPandas(train, f"{by} {kind}, vec array<double>")
 
 
+def label_embeddings(sentences: DataFrame, dims: int = 64, window: int = 10, least: int = 1, seed: int = 1) -> DataFrame:
+    """(label, vec) by skip-gram over sentences of relabelled nodes (sentence), words separated by spaces. The library's
+    trainer takes a hierarchical softmax where sampled contrasts would do; it trains partitions side by side."""
+    from pyspark.ml.feature import Word2Vec
+    from pyspark.ml.functions import vector_to_array
+
+    words = sentences.where("sentence IS NOT NULL").select(F.split("sentence", " ").alias("words"))
+    model = Word2Vec(vectorSize=dims, windowSize=window, minCount=least, seed=seed, maxIter=1, inputCol="words", outputCol="v").fit(words)
+    return model.getVectors().select(F.col("word").alias("label"), vector_to_array("vector").alias("vec"))
+
+
 def ast_features(ast_nodes: DataFrame, members: DataFrame, kinds: tuple[str, ...] = ("NT",)) -> DataFrame:
     """Counts for each function of AST node types (NT), called names (C) and member names (MR); kinds may be combined.
 

@@ -154,8 +154,13 @@ def recall(docs: DataFrame, truth: DataFrame, kind: str, benchmark: str) -> Data
     named = items.where(F.size("files") > 0).withColumn("file", F.get("files", F.lit(0)))
     met = named.join(known.withColumnRenamed("files", "_files").withColumnRenamed("functions", "_functions").withColumn("file", F.explode("_files")), "file")
     rest = items.where(F.size("files") == 0).withColumn("file", F.lit(None).cast("string"))
-    # bugs without a file are few; they stand on the small side
-    met = met.unionByName(known.withColumnRenamed("files", "_files").withColumnRenamed("functions", "_functions").join(F.broadcast(rest)).select(*met.columns))
+    # a bug without a file meets the documents with its first function or line; one that says nothing is in every document
+    text = lambda c: F.get(c, F.lit(0)).cast("string")
+    at = F.when(F.size("functions") > 0, F.concat(F.lit("function "), text("functions"))).when(F.size("lines_no_diff") > 0, F.concat(F.lit("line "), text("lines_no_diff"))).when(F.size("line_diffs") > 0, F.concat(F.lit("diff "), text("line_diffs"))).otherwise("")
+    tagged = lambda kind_, c: F.transform(c, lambda x: F.concat(F.lit(kind_), x.cast("string")))
+    named = known.withColumnRenamed("files", "_files").withColumnRenamed("functions", "_functions")
+    spread = F.explode(F.array_distinct(F.concat(F.array(F.lit("")), tagged("function ", "_functions"), tagged("line ", "lines"), tagged("diff ", "diff_lines"))))
+    met = met.unionByName(named.withColumn("at", spread).join(rest.withColumn("at", at), "at").select(*met.columns))
     hit = contains_all(F.col("diff_lines"), F.col("line_diffs")) & contains_all(F.col("_files"), F.col("files")) & contains_all(F.col("_functions"), F.col("functions")) & contains_all(F.col("lines"), F.col("lines_no_diff"))
     found = met.where(hit).groupBy("id").agg(F.array_sort(F.collect_set("_id")).alias("found_by"))
     return items.select("id").join(found, "id", "left").withColumn("found_by", F.coalesce("found_by", F.slice(F.array(F.lit(None).cast(dict(docs.dtypes)["_id"])), 1, 0)))

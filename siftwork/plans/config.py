@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import argparse
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 GRANULARITIES = ("afs", "afs.bb1", "afs.bb2")
@@ -67,3 +69,27 @@ class Config:
             raise ValueError("the chunk window is -1 (none) or at least 1")
         if self.big_clusters < 2:
             raise ValueError("clusters have two members at least")
+
+    @classmethod
+    def parse(cls, arguments: Sequence[str]) -> Config:
+        """From command-line flags; lists are separated by commas. Unknown flags and values end the program with a message."""
+        flags = argparse.ArgumentParser(prog="siftwork", description="Settings of a mining run.")
+        flags.add_argument("-p", "--projects", type=csv, default=())
+        flags.add_argument("-g", "--granularity", type=csv, default=GRANULARITIES)
+        flags.add_argument("-d", "--dependency", default="")
+        flags.add_argument("--first", nargs=2, metavar=("FEATURES", "ALGORITHM"), default=("afs_NN", "cc_0.95"), help="such as afs_NN cc_0.95")
+        flags.add_argument("--second", nargs=2, metavar=("FEATURES", "ALGORITHM"), default=("afs_G2v", "cc_0.98"))
+        flags.add_argument("--big-clusters", type=int, default=50)
+        flags.add_argument("--chunk-window", type=int, default=1)
+        flags.add_argument("-t", "--inconsistency-type", default="check", choices=INCONSISTENCY_TYPES)
+        flags.add_argument("-s", "--similarity-threshold", type=float, default=0.7)
+        flags.add_argument("--no-filtering", dest="filtering", action="store_false")
+        flags.add_argument("--call-verbs", type=csv, default=CALL_VERBS)
+        flags.add_argument("--type-casts", type=csv, default=TYPE_CASTS)
+        flags.add_argument("--stored-values", type=csv, default=STORED_VALUES)
+        flags.add_argument("--starting-item", type=int, default=1)
+        found = vars(flags.parse_args(list(arguments)))
+        try:
+            return cls(**found | {step: Step.parse(*found[step]) for step in ("first", "second")})
+        except ValueError as error:
+            flags.error(str(error))

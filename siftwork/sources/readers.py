@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import NUMBER, join_path, parent, words
+from ..plans.tables import materialise
 
 
 def files(spark: SparkSession, directory: str, suffix: str = "", prefix: str = "", within: Sequence[str] = ()) -> DataFrame:
@@ -132,19 +133,22 @@ DOT_EDGES = "graph_id string, src string, dst string, key int, color string, lhe
 
 
 def dot_graphs(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of DOT graphs (graph_id, text)."""
-
-    def of(part: int, columns: str):
-        names = [c.split()[0] for c in columns.split(", ")]
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                rows = [r for i, t in zip(pdf["graph_id"], pdf["text"], strict=True) for r in _dot_rows(i, t or "")[part]]
-                yield pd.DataFrame(rows, columns=names)
-
-        return texts.select("graph_id", "text").mapInPandas(run, columns)
-
-    return of(0, DOT_NODES), of(1, DOT_EDGES)
+    """Nodes and edges of DOT graphs (graph_id, text), parsed once and written to the shared folder."""
+    node_names, edge_names = ([c.split()[0] for c in columns.split(", ")] for columns in (DOT_NODES, DOT_EDGES))
+    every = {c.split()[0]: c for columns in (DOT_NODES, DOT_EDGES) for c in columns.split(", ")}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            parsed = [_dot_rows(i, t or "") for i, t in zip(pdf["graph_id"], pdf["text"], strict=True)]
+            nodes = pd.DataFrame([r for n, _ in parsed for r in n], columns=node_names).assign(is_node=True)
+            edges = pd.DataFrame([r for _, e in parsed for r in e], columns=edge_names).assign(is_node=False)
+            rows = pd.concat([nodes, edges]).reindex(columns=[*every, "is_node"])
+            for c in ("ord", "key"):
+                rows[c] = rows[c].astype("Int32")
+            yield rows
+
+    rows = materialise(texts.select("graph_id", "text").mapInPandas(run, ", ".join([*every.values(), "is_node boolean"])), "dot")
+    return rows.where("is_node").select(*node_names), rows.where("NOT is_node").select(*edge_names)
 
 
 def dot_files(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:

@@ -1,4 +1,6 @@
-from siftwork.operators import cluster, graph, inconsistency
+import pytest
+
+from siftwork.operators import cluster, features, graph, inconsistency
 from siftwork.plans.config import Config, Step
 from siftwork.sources import readers, writers
 from tests.test_inconsistency import DOC, construct, doc
@@ -55,6 +57,21 @@ def test_steps_follow_the_settings(spark):
 def test_nested_report_names_only_divided_clusters(spark):
     nested = spark.createDataFrame([(1, 1, "x"), (1, 2, "y"), (5, 5, "z"), (None, None, "w")], "cluster int, sub int, construct_id string")
     lines = spark.createDataFrame([("x", [3, 4])], "construct_id string, lines array<int>")
-    features = spark.createDataFrame([(1, "icmp")], "cluster int, feature string")
-    rows = writers.nested_report(nested, lines, features).collect()
+    differing = spark.createDataFrame([(1, "icmp")], "cluster int, feature string")
+    rows = writers.nested_report(nested, lines, differing).collect()
     assert [r.cluster for r in rows] == [1] and "  x [3, 4]" in rows[0].text and "  y []" in rows[0].text and rows[0].text.index("icmp") > rows[0].text.index("  y")
+
+
+def test_settings_from_flags():
+    c = Config.parse(["-p", "a,b", "--first", "afs.bb1_NN", "dbscancos_0.9", "-t", "call", "--no-filtering", "-d", "odd", "--call-verbs", "free"])
+    assert c.projects == ("a", "b") and c.first == Step("NN", "dbscancos", 0.9) and c.second == Step("G2v", "cc", 0.98)
+    assert c.inconsistency_type == "call" and not c.filtering and c.call_verbs == ("free",) and c.granularity == Config().granularity
+    for wrong in (["-g", "afs.bb9"], ["-t", "x"], ["--first", "afs_NN", "best_1"], ["--what"]):
+        with pytest.raises(SystemExit):
+            Config.parse(wrong)
+
+
+def test_labels_that_stand_together_get_vectors(spark):
+    sentences = spark.createDataFrame([("a b",), ("a b c",), (None,)], "sentence string")
+    got = {r.label: r.vec for r in features.label_embeddings(sentences, 4).collect()}
+    assert set(got) == {"a", "b", "c"} and all(len(v) == 4 for v in got.values())
