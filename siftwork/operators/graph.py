@@ -14,8 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import abstract_label, is_number, line_of_url, words
-from ..plans.tables import materialise
-
+from ..plans.tables import materialise, table_path
 
 #: Steps of a round of reachability.
 HOPS = 4
@@ -137,25 +136,20 @@ def chunks(nodes: DataFrame, edges: DataFrame, by: list[str], window: int) -> Da
     return each.join(at, [*by, "bb_id"]).select(*by, "bbs", "node_id")
 
 
-def path_ngrams(edges: DataFrame, start: DataFrame, n: int, most: int = 32) -> DataFrame:
-    """(graph_id, root, members): the distinct node sets of n-grams along all simple paths from the root to a leaf, of at
-    most `most` nodes (a bound on the plan; longer paths raise)."""
-    steps = edges.select("graph_id", F.col("src").alias("end"), F.col("dst").alias("next")).distinct()
+def path_ngrams(edges: DataFrame, start: DataFrame, n: int) -> DataFrame:
+    """(graph_id, root, members): the distinct node sets of n-grams along all simple paths from the root to a leaf, of any
+    length. Paths that end are added to one table, so the plan does not grow with their length."""
+    spark = edges.sparkSession
+    steps = materialise(edges.select("graph_id", F.col("src").alias("end"), F.col("dst").alias("next")).distinct(), "steps")
     live = materialise(start.select("graph_id", "root", F.array("root").alias("path")), "paths")
-    done = []
-    for _ in range(most):
+    ended, schema = table_path(spark, "paths"), live.schema
+    while not live.isEmpty():
         grown = live.withColumn("end", F.element_at("path", -1)).join(steps, ["graph_id", "end"], "left")
         fresh = F.col("next").isNotNull() & ~F.array_contains("path", F.col("next"))
         has = grown.groupBy("graph_id", "root", "path").agg(F.max(fresh).alias("grows"))
-        done.append(has.where(~F.col("grows")).select("graph_id", "root", "path"))
+        has.where(~F.col("grows")).select("graph_id", "root", "path").write.mode("append").parquet(ended)
         live = materialise(grown.where(fresh).select("graph_id", "root", F.array_append("path", F.col("next")).alias("path")), "paths")
-        if live.isEmpty():
-            break
-    else:
-        raise ValueError(f"a path has over {most} nodes")
-    paths = done[0]
-    for more in done[1:]:
-        paths = paths.unionByName(more)
+    paths = spark.read.schema(schema).parquet(ended) if start.take(1) else live
     from ..functions.scalars import ngrams
 
     grams = paths.select("graph_id", "root", F.explode(ngrams(F.col("path"), n)).alias("g"))
@@ -235,8 +229,8 @@ def degree_entropy(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def spectrum_distance(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, distance) of graph pairs (a, b): squared differences of the leading Laplacian eigenvalues, as many as hold all
-    of the energy in both graphs."""
+    """(a, b, distance) of graph pairs (a, b): squared differences of the Laplacian eigenvalues in ascending order, as many as
+    both graphs have. (All of the energy is asked for, and only the last, largest value completes it.)"""
     import numpy as np
     import pandas as pd
 
@@ -246,16 +240,23 @@ def spectrum_distance(edges: DataFrame, pairs: DataFrame) -> DataFrame:
         for s, d in zip(pdf["src"], pdf["dst"], strict=True):
             if s != d:
                 a[ids[s], ids[d]] = a[ids[d], ids[s]] = 1
-        values = np.linalg.eigvalsh(np.diag(a.sum(axis=0)) - a)[::-1]
+        values = np.linalg.eigvalsh(np.diag(a.sum(axis=0)) - a)
         return pd.DataFrame({"graph_id": [pdf["graph_id"].iloc[0]], "values": [values.tolist()]})
 
     kind = dict(edges.dtypes)["graph_id"]
     spectra = edges.groupBy("graph_id").applyInPandas(spectrum, f"graph_id {kind}, values array<double>")
     both = pairs.join(spectra.withColumnsRenamed({"graph_id": "a", "values": "x"}), "a").join(spectra.withColumnsRenamed({"graph_id": "b", "values": "y"}), "b")
-    leading = lambda c: F.size(F.filter(c, lambda v: v > 1e-9))
-    k = F.least(leading("x"), leading("y"))
+    k = F.least(F.size("x"), F.size("y"))
     gaps = F.zip_with(F.slice("x", F.lit(1), k), F.slice("y", F.lit(1), k), lambda u, v: (u - v) * (u - v))
-    return both.where(k > 0).select("a", "b", F.aggregate(gaps, F.lit(0.0), lambda s, v: s + v).alias("distance"))
+    return both.select("a", "b", F.aggregate(gaps, F.lit(0.0), lambda s, v: s + v).alias("distance"))
+
+
+def scaled_distances(distances: DataFrame) -> DataFrame:
+    """(a, b, distance) in both directions, each column b of the matrix scaled to 0..1; its least is the 0 of b with itself.
+    A column of zeros stays so."""
+    both = distances.select("a", "b", "distance").unionByName(distances.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
+    most = both.groupBy("b").agg(F.max("distance").alias("most"))
+    return both.join(most, "b").select("a", "b", F.coalesce(F.try_divide("distance", "most"), F.lit(0.0)).alias("distance"))
 
 
 # Undirected edge lists: (src, dst).

@@ -5,14 +5,18 @@ Walks draw from a hash of (seed, walk, step), so they can be repeated on any par
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..plans.tables import materialise
 
 
+#: Vertices a part, about, where the order of degrees is dealt to tasks.
+PART = 100_000
+
+
 def _uniform(*parts: Column) -> Column:
     """A number in [0, 1) from a hash."""
     return F.xxhash64(*parts).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
@@ -85,41 +89,100 @@ def compact(ring: DataFrame) -> DataFrame:
 def candidates(edges: DataFrame) -> DataFrame:
     """(v, u): for each vertex about 2·log2(n) others of the closest degrees, by places in the order of degrees.
 
-    The order's places are dealt in two levels (counts of degrees, then places within a degree), so no task orders all vertices.
+    The order's places are dealt in two levels: counts of the degrees' parts by hash, of about PART vertices of the whole
+    order, then places within a part. So no task orders all vertices, nor all of the commonest degree.
     """
-    degree = materialise(edges.select("src", "dst").distinct().groupBy(F.col("src").alias("v")).agg(F.count("*").alias("d")), "degrees")
+    degree = edges.select("src", "dst").distinct().groupBy(F.col("src").alias("v")).agg(F.count("*").alias("d"))
     n = degree.count()
     half = max(1, (2 * max(1, n).bit_length()) // 2)
-    sizes = degree.groupBy("d").agg(F.count("*").alias("m"))
-    ahead = sizes.select("d", F.coalesce(F.sum("m").over(W.orderBy("d").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))  # a row a degree
-    place = degree.join(ahead, "d").withColumn("place", F.col("ahead") + F.row_number().over(W.partitionBy("d").orderBy("v")))
+    degree = materialise(degree.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(-(-max(1, n) // PART)))), "degrees")
+    sizes = degree.groupBy("d", "part").agg(F.count("*").alias("m"))
+    ahead = sizes.select("d", "part", F.coalesce(F.sum("m").over(W.orderBy("d", "part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))  # a row a part of a degree
+    place = degree.join(ahead, ["d", "part"]).withColumn("place", F.col("ahead") + F.row_number().over(W.partitionBy("d", "part").orderBy("v")))
     wide = place.select("v", "d", F.col("place").alias("own")).withColumn("place", F.explode(F.sequence(F.col("own") - 2 * half, F.col("own") + 2 * half))).where("place <> own")
     near = wide.join(place.select("place", F.col("v").alias("u"), F.col("d").alias("du")), "place")
     order = W.partitionBy("v").orderBy(F.abs(F.col("d") - F.col("du")), F.abs(F.col("place") - F.col("own")), "u")
     return near.withColumn("k", F.row_number().over(order)).where(F.col("k") <= 2 * half).select("v", "u")
 
 
-@F.udf(T.DoubleType(), useArrow=True)
-def warped(a, b):
-    """Dynamic time warping of two sorted degree lists, at the cost max/min - 1 of degrees raised by a half."""
-    import numpy as np
-
-    if a is None or b is None:
-        return None
-    x, y = (np.asarray(v, float) + 0.5 for v in (a, b))
-    cost = np.maximum(x[:, None], y[None]) / np.minimum(x[:, None], y[None]) - 1
-    total = np.full((len(x) + 1, len(y) + 1), np.inf)
-    total[0, 0] = 0
-    for i in range(len(x)):
-        for j in range(len(y)):
-            total[i + 1, j + 1] = cost[i, j] + min(total[i, j], total[i, j + 1], total[i + 1, j])
-    return float(total[-1, -1])
-
-
-def layer_distances(ring: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(v, u, layer, distance): warped distances of rings, added up over layers; a pair ends at its first missing ring."""
-    both = pairs.join(ring, "v").join(ring.withColumnsRenamed({"v": "u", "degrees": "other"}), ["u", "layer"])
-    each = both.select("v", "u", "layer", warped("degrees", "other").alias("own"))
+def _paths(x: list, y: list, lows: list[int], highs: list[int]) -> tuple[float, list[tuple[int, int]]]:
+    """The least cost of warping x to y, and its cells, where row i may use the columns lows[i] to highs[i]."""
+    far = float("inf")
+    before, low_before, moves = [], 0, []
+    for i, (u, m) in enumerate(x):
+        low, row, came = lows[i], [], []
+        for j in range(low, highs[i] + 1):
+            v, k = y[j]
+            own = ((u if u > v else v) + 0.5) / ((v if u > v else u) + 0.5) - 1
+            own *= m if m > k else k
+            at = j - low_before
+            up = before[at] if 0 <= at < len(before) else far
+            left = row[-1] if row else far
+            slant = before[at - 1] if 0 < at <= len(before) else far
+            least, way = (up, 0) if up <= left else (left, 1)
+            if slant < least:
+                least, way = slant, 2
+            row.append(own + (0.0 if i == j == 0 else least))
+            came.append(way)
+        before, low_before = row, low
+        moves.append(came)
+    i, j, cells = len(x) - 1, len(y) - 1, []
+    while i or j:
+        cells.append((i, j))
+        way = moves[i][j - lows[i]]
+        i, j = i - (way != 1), j - (way != 0)
+    return before[len(y) - 1 - low_before], [*cells, (0, 0)]
+
+
+def fast_warp(x: list, y: list, radius: int | None = 1) -> tuple[float, list[tuple[int, int]]]:
+    """Dynamic time warping of two lists of (degree, frequency), in time in proportion to their lengths: the path found at
+    half the resolution, widened by `radius`, bounds the cells. Without a radius all cells are used.
+
+    A cell costs max/min - 1 of the degrees, raised by a half, times the greater frequency.
+    """
+    n, m = len(x), len(y)
+    if radius is None or min(n, m) < radius + 2:
+        return _paths(x, y, [0] * n, [m - 1] * n)
+    halved = ([((a[0] + b[0]) / 2, (a[1] + b[1]) / 2) for a, b in zip(z[::2], z[1::2])] for z in (x, y))  # noqa: B905  an odd last one goes
+    lows, highs = [m] * n, [-1] * n
+    for i, j in fast_warp(*halved, radius)[1]:
+        low, high = max(0, 2 * (j - radius)), min(m - 1, 2 * (j + radius) + 1)
+        for r in range(max(0, 2 * (i - radius)), min(n, 2 * (i + radius) + 2)):
+            lows[r], highs[r] = min(lows[r], low), max(highs[r], high)
+    return _paths(x, y, lows, highs)
+
+
+def warped(radius: int | None = 1):
+    """A column function of two rings, arrays of [degree, frequency]: their warped distance, null if one is null or empty.
+    Arrow batches; rings that come again in a batch are warped once."""
+
+    @F.pandas_udf("double")
+    def distance(a: pd.Series, b: pd.Series) -> pd.Series:
+        known: dict = {}
+
+        def one(x, y):
+            if x is None or y is None or not len(x) or not len(y):
+                return None
+            key = tuple(map(tuple, x)), tuple(map(tuple, y))
+            if key not in known:
+                known[key] = fast_warp(*key, radius)[0]
+            return known[key]
+
+        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return distance
+
+
+def layer_distances(ring: DataFrame, pairs: DataFrame, radius: int | None = 1) -> DataFrame:
+    """(v, u, layer, distance): warped distances of rings, plain or compact, added up over layers; a pair ends at its first
+    missing ring."""
+    if "pairs" in ring.columns:
+        points = F.transform("pairs", lambda p: F.array(p["degree"].cast("double"), p["freq"].cast("double")))
+    else:
+        points = F.transform("degrees", lambda d: F.array(d.cast("double"), F.lit(1.0)))
+    rows = ring.select("v", "layer", points.alias("x"))
+    both = pairs.join(rows, "v").join(rows.withColumnsRenamed({"v": "u", "x": "y"}), ["u", "layer"])
+    each = both.select("v", "u", "layer", warped(radius)("x", "y").alias("own"))
     w = W.partitionBy("v", "u").orderBy("layer").rowsBetween(W.unboundedPreceding, 0)
     return each.withColumn("distance", F.sum("own").over(w)).select("v", "u", "layer", "distance")
 
@@ -141,24 +204,27 @@ def climb_chances(weights: DataFrame) -> DataFrame:
 
 def structural_walks(weights: DataFrame, n_walks: int = 10, length: int = 10, stay: float = 0.3, seed: int = 1) -> DataFrame:
     """(walk, path): walks over the layers: with chance `stay` a step to a neighbour in the layer, else up or down a layer."""
+    weights = materialise(weights, "weights")
     by = W.partitionBy("layer", "v")
     upto = F.sum("weight").over(by.orderBy("u").rowsBetween(W.unboundedPreceding, 0))
     steps = materialise(weights.withColumn("upto", upto).withColumn("from", F.col("upto") - F.col("weight")).withColumn("last", F.row_number().over(by.orderBy(F.desc("u"))) == 1), "steps")
-    climbs = materialise(climb_chances(weights), "climbs")
-    top = materialise(weights.groupBy("v").agg(F.max("layer").alias("top")), "tops")
+    top = weights.groupBy("v").agg(F.max("layer").alias("top"))
+    climbs = materialise(climb_chances(weights).join(top, "v"), "climbs")
     live = weights.where("layer = 0").select("v").distinct().withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(n_walks))))
     live = live.select(F.concat_ws(":", "v", "k").alias("walk"), F.array("v").alias("path"), "v", F.lit(0).alias("layer"))
     t = 0
     while not live.where(F.size("path") < length).isEmpty():
         for _ in range(5):  # steps between two writes
             u = lambda k, t=t: _uniform(F.lit(seed), F.col("walk"), F.lit(t), F.lit(k))
-            rows = live.withColumn("r", u(0)).withColumn("u0", u(1)).withColumn("open", F.size("path") < length)
-            moved = rows.where("open").where(F.col("r") < stay).join(steps.withColumnRenamed("u", "next"), ["layer", "v"]).where((F.col("from") <= F.col("u0")) & ((F.col("u0") < F.col("upto")) | F.col("last")))
-            moved = moved.select("walk", F.array_append("path", F.col("next")).alias("path"), F.col("next").alias("v"), "layer")
-            climb = rows.where("open").where(F.col("r") >= stay).join(climbs, ["layer", "v"], "left").join(top, "v", "left")
+            # one chain of outer joins: a plan that used the walks twice a step would double with each step
+            rows = live.withColumn("u0", u(1)).withColumn("open", F.size("path") < length).withColumn("moves", F.col("open") & (u(0) < stay))
+            hit = F.col("moves") & (F.col("layer") == F.col("l")) & (F.col("v") == F.col("w")) & (F.col("from") <= F.col("u0")) & ((F.col("u0") < F.col("upto")) | F.col("last"))
+            rows = rows.join(steps.select(F.col("layer").alias("l"), F.col("v").alias("w"), F.col("u").alias("next"), "from", "upto", "last"), hit, "left").drop("l", "w", "from", "upto", "last")
+            rows = rows.join(climbs, ["layer", "v"], "left")
             up = (F.col("u0") < F.coalesce("p_up", F.lit(0.0))) & (F.col("layer") < F.col("top"))
-            shifted = climb.select("walk", "path", "v", F.when(up, F.col("layer") + 1).otherwise(F.greatest(F.col("layer") - 1, F.lit(0))).alias("layer"))
-            live = moved.unionByName(shifted).unionByName(rows.where("NOT open").select("walk", "path", "v", "layer"))
+            climbed = F.when(up, F.col("layer") + 1).otherwise(F.greatest(F.col("layer") - 1, F.lit(0)))
+            path = F.when(F.col("moves"), F.array_append("path", F.col("next"))).otherwise(F.col("path"))
+            live = rows.select("walk", path.alias("path"), F.when(F.col("moves"), F.col("next")).otherwise(F.col("v")).alias("v"), F.when(F.col("open") & ~F.col("moves"), climbed).otherwise(F.col("layer")).alias("layer"))
             t += 1
         live = materialise(live, "walks")
     return live.select("walk", "path")

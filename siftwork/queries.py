@@ -521,6 +521,13 @@ def structural_distances(spark, d):
     return structure.layer_distances(structure.rings(e, 2), pairs)
 
 
+@query("compact_distances")
+def compact_distances(spark, d):
+    e = trade(spark, d)
+    pairs = structure.candidates(e).select(F.least("v", "u").alias("v"), F.greatest("v", "u").alias("u")).distinct()
+    return structure.layer_distances(structure.compact(structure.rings(e, 2)), pairs)
+
+
 @query("structural_walks")
 def structural_walks(spark, d):
     weights = structure.layer_weights(structural_distances(spark, d))
@@ -542,9 +549,25 @@ def mean_shift(spark, d):
     return cluster.mean_shift(vectors(spark, d), 1.1)
 
 
-@query("spectrum_distance")
-def spectrum_distance(spark, d):
+# each graph is a set of chains, and a chain of s nodes has the eigenvalues 2 - 2 cos(pi k / s), k below s
+_SPECTRA = """x AS (SELECT user_id AS g, ts, event_id, (epoch_us(ts) - epoch_us(lag(ts) OVER w) <= 43200000000) IS NOT TRUE AS cut FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+y AS (SELECT g, sum(cut::INTEGER) OVER (PARTITION BY g ORDER BY ts, event_id) AS chain FROM x), c AS (SELECT g, chain, count(*) AS s FROM y GROUP BY ALL HAVING count(*) > 1),
+v AS (SELECT g, 2 - 2 * cos(pi() * k / s) AS x FROM (SELECT g, s, unnest(range(0, s)) AS k FROM c) z), o AS (SELECT g, x, row_number() OVER (PARTITION BY g ORDER BY x) AS i FROM v),
+d AS (SELECT p.g AS a, q.g AS b, sum((p.x - q.x) ** 2) AS distance FROM o p JOIN o q ON p.i = q.i AND p.g < q.g GROUP BY 1, 2)"""
+
+
+def _spectra(spark, d):
     e = event_edges(spark, d)
     ids = e.select("graph_id").distinct()
     pairs = ids.select(F.col("graph_id").alias("a")).join(ids.select(F.col("graph_id").alias("b")), F.col("a") < F.col("b"))  # all pairs, as in the original
     return graph.spectrum_distance(e, pairs)
+
+
+@query("spectrum_distance", f"WITH {_SPECTRA} SELECT a, b, round(distance, 6) AS distance FROM d")
+def spectrum_distance(spark, d):
+    return _spectra(spark, d).withColumn("distance", F.round("distance", 6))
+
+
+@query("scaled_spectrum_distance", f"WITH {_SPECTRA}, m AS (SELECT * FROM d UNION ALL SELECT b, a, distance FROM d) SELECT a, b, round(coalesce(distance / nullif(max(distance) OVER (PARTITION BY b), 0), 0), 6) AS distance FROM m")
+def scaled_spectrum_distance(spark, d):
+    return graph.scaled_distances(_spectra(spark, d)).withColumn("distance", F.round("distance", 6))

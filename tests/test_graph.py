@@ -97,6 +97,13 @@ def test_path_ngrams(spark):
     assert pairs(graph.path_ngrams(e, start, 2), "members") == [("a,b",), ("a,c",), ("b,c",)]
 
 
+def test_path_ngrams_of_a_long_path_and_of_no_roots(spark):
+    e = edges(spark, *((f"n{k:02}", f"n{k + 1:02}") for k in range(40)))
+    start = spark.createDataFrame([("g", "n00")], "graph_id string, root string")
+    assert len(pairs(graph.path_ngrams(e, start, 2), "members")) == 40
+    assert graph.path_ngrams(e, start.limit(0), 2).count() == 0
+
+
 def test_wl_labels_ignore_node_names_and_see_direction(spark):
     n = nodes(spark, ("a", "x", None, None), ("b", "y", None, None), ("c", "y", None, None))
     renamed = nodes(spark, ("q", "y", None, None), ("p", "x", None, None), ("r", "y", None, None))
@@ -137,6 +144,8 @@ def test_entropy_and_spectrum(spark):
     e = edges(spark, ("a", "b"), ("a", "c")).unionByName(edges(spark, ("p", "q"), ("p", "r")).withColumn("graph_id", F.lit("h")))
     got = graph.spectrum_distance(e, spark.createDataFrame([("g", "h")], "a string, b string")).first()
     assert got.distance == pytest.approx(0)
+    scaled = graph.scaled_distances(spark.createDataFrame([(1, 2, 4.0), (1, 3, 2.0), (2, 3, 0.0), (4, 5, 0.0)], "a int, b int, distance double"))
+    assert {tuple(r) for r in scaled.where("a IN (1, 4)").collect()} == {(1, 2, 1.0), (1, 3, 1.0), (4, 5, 0.0)}
 
 
 def test_edge_list_utilities(spark):
