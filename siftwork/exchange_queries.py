@@ -354,3 +354,31 @@ UNION ALL SELECT conv_id, s, k, 'file' || (n % 3) || ' fun' || (n % 2) || ' [' |
 SELECT conv_id AS _id, row_number() OVER (PARTITION BY conv_id ORDER BY a, b)::INTEGER AS line, text FROM l""")
 def console_report(spark, d):
     return inconsistency.report(conversation_documents(spark, d))
+
+
+# Edge lists and syntax trees
+
+
+@query("adjacency", f"WITH {_TRADE} SELECT src AS v, string_agg(dst::VARCHAR, ',' ORDER BY dst) AS neighbours FROM e GROUP BY 1")
+def adjacency(spark, d):
+    return graph.adjacency(trade(spark, d)).select("v", F.array_join(F.transform("neighbours", lambda x: x.cast("string")), ",").alias("neighbours"))
+
+
+@query("clique", "SELECT a.n_nationkey AS src, b.n_nationkey AS dst FROM nation a JOIN nation b ON a.n_nationkey <> b.n_nationkey")
+def clique(spark, d):
+    return graph.clique(table(spark, d, "nation").select(F.col("n_nationkey").alias("v")))
+
+
+@query("function_members", f"WITH RECURSIVE {_GRAPH}, r AS (SELECT node_id AS function, node_id AS id FROM n WHERE label = 'purchase' UNION SELECT r.function, e.dst FROM r JOIN e ON e.src = r.id) SELECT function, id FROM r")
+def function_members(spark, d):
+    nodes = event_nodes(spark, d).select(F.col("node_id").alias("id"), F.col("label").alias("type"))
+    return features.function_members(nodes, event_edges(spark, d), "purchase")
+
+
+@query("feature_files", f"WITH f AS (SELECT DISTINCT user_id, event_type, 'm' || (user_id % 3) AS module FROM events) SELECT module, count(*) AS n, (count(*) + 99) // 100 AS n_files FROM f GROUP BY 1")
+def feature_files(spark, d):
+    path = table_path(spark, "files")
+    rows = nn_counts(spark, d).withColumn("module", F.concat(F.lit("m"), (F.col("construct_id") % 3).cast("string")))
+    writers.write_features(rows.repartition("module"), path, most_rows=100)
+    read = spark.read.parquet(path).withColumn("file", F.input_file_name())
+    return read.groupBy("module").agg(F.count("*").alias("n"), F.count_distinct("file").alias("n_files"))

@@ -132,15 +132,26 @@ def _per_group(vectors: DataFrame, run, id_: str, by: str | None) -> DataFrame:
 
 
 def lda(features: DataFrame, topics: int, id_: str = "construct_id", seed: int = 1, rounds: int = 20, vocabulary: int = 1 << 16) -> DataFrame:
-    """(id_, cluster): the likeliest of the topics of each construct's counts, over hashed features."""
+    """(id_, cluster): the likeliest of the topics of each construct's counts.
+
+    Up to `vocabulary` distinct features have a place each; the names of so many are sent to the driver, which bounds the
+    model. Beyond that, features share places by hash, so none is left out. Values are whole counts;
+    a construct's row holds each feature as often as it counts.
+    """
     from pyspark.ml.clustering import LDA
+    from pyspark.ml.feature import CountVectorizerModel
     from pyspark.ml.functions import vector_to_array
-    from pyspark.ml.linalg import SparseVector, VectorUDT
 
-    pack = F.udf(lambda m: SparseVector(vocabulary, {int(k): float(v) for k, v in m.items()}), VectorUDT())
-    sums = features.groupBy(id_, F.pmod(F.xxhash64("feature"), F.lit(vocabulary)).cast("int").alias("k")).agg(F.sum("value").cast("double").alias("v"))
-    rows = sums.groupBy(id_).agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m")).select(id_, pack("m").alias("features"))
-    rows = materialise(rows, "counts")
+    named = features.select(id_, F.col("feature").cast("string").alias("term"), F.col("value").cast("long").alias("value")).where("term IS NOT NULL AND value > 0")
+    terms = [r.term for r in named.select("term").distinct().limit(vocabulary + 1).collect()]
+    if len(terms) > vocabulary:
+        named, terms = named.withColumn("term", F.pmod(F.xxhash64("term"), F.lit(vocabulary)).cast("string")), list(map(str, range(vocabulary)))
+    sums = named.groupBy(id_, "term").agg(F.sum("value").cast("int").alias("n"))
+    bags = sums.groupBy(id_).agg(F.flatten(F.collect_list(F.expr("array_repeat(term, n)"))).alias("terms"))
+    if not terms:
+        return bags.select(id_, F.lit(0).alias("cluster"))
+    pack = CountVectorizerModel.from_vocabulary(sorted(terms), "terms", "features")
+    rows = materialise(pack.transform(bags).select(id_, "features"), "counts")
     model = LDA(k=topics, maxIter=rounds, seed=seed, optimizer="online").fit(rows)
     p = vector_to_array("topicDistribution")
     return model.transform(rows).select(id_, (F.array_position(p, F.array_max(p)) - 1).cast("int").alias("cluster"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import wl_labels
+from .graph import reach, wl_labels
 
 
 def label_counts(nodes: DataFrame, by: str = "construct_id", label: str = "label") -> DataFrame:
@@ -122,6 +122,14 @@ def label_embeddings(sentences: DataFrame, dims: int = 64, window: int = 10, lea
     return model.getVectors().select(F.col("word").alias("label"), vector_to_array("vector").alias("vec"))
 
 
+def function_members(ast_nodes: DataFrame, edges: DataFrame, entry: str = "FUNCTION_DECL") -> DataFrame:
+    """(function, id): the nodes below each node of the type `entry`, itself included, by the ids of an AST's nodes (id, type,
+    …) and edges (src, dst). A function within another has members of its own, and is one of the other's."""
+    roots = ast_nodes.where(F.col("type") == entry).select(F.lit(0).alias("graph_id"), F.col("id").alias("root"))
+    found = reach(roots, edges.select(F.lit(0).alias("graph_id"), "src", "dst"))
+    return found.select(F.col("root").alias("function"), F.col("node_id").alias("id"))
+
+
 def ast_features(ast_nodes: DataFrame, members: DataFrame, kinds: tuple[str, ...] = ("NT",)) -> DataFrame:
     """Counts for each function of AST node types (NT), called names (C) and member names (MR); kinds may be combined.
 

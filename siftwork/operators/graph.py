@@ -289,6 +289,22 @@ def has_edge(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(known, ["src", "dst"], "left").fillna(False, ["there"])
 
 
+def adjacency(edges: DataFrame) -> DataFrame:
+    """(v, neighbours): the sorted distinct neighbours that each vertex has edges to; a hub's list is one row."""
+    return edges.groupBy(F.col("src").alias("v")).agg(F.array_sort(F.collect_set("dst")).alias("neighbours"))
+
+
+def without_loops(edges: DataFrame) -> DataFrame:
+    return edges.where("src <> dst")
+
+
+def clique(vertices: DataFrame) -> DataFrame:
+    """(src, dst): an edge each way between any two of the vertices (v), which the caller keeps few: there are n(n - 1)."""
+    v = vertices.select("v").distinct()
+    ends = v.agg(F.collect_list("v").alias("all"))
+    return v.join(F.broadcast(ends)).select(F.col("v").alias("src"), F.explode("all").alias("dst")).where("src <> dst")
+
+
 def eligible(constructs: DataFrame, least: int = 2) -> DataFrame:
     """Constructs (location, hash, n_nodes) of more than `least` nodes, the first location of each hash."""
     first = constructs.where(F.col("n_nodes") > least).groupBy("hash").agg(F.min_by(F.struct(*constructs.columns), "location").alias("row"))

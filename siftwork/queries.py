@@ -536,7 +536,7 @@ def structural_walks(spark, d):
 
 @query("lda_topics")
 def lda_topics(spark, d):
-    return cluster.lda(nn_counts(spark, d), 5, rounds=3, vocabulary=64)
+    return cluster.lda(nn_counts(spark, d), 5, rounds=3)
 
 
 @query("affinity")

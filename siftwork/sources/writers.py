@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_features(features: DataFrame, path: str, partitions: tuple[str, ...] = ("dependency", "module", "granularity", "kind")) -> None:
-    """Long-form features, partitioned by those of the columns that there are; rewrites the partitions it holds."""
-    features.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*(p for p in partitions if p in features.columns)).parquet(path)
+def write_features(features: DataFrame, path: str, partitions: tuple[str, ...] = ("dependency", "module", "granularity", "kind"), most_rows: int = 0) -> None:
+    """Long-form features, partitioned by those of the columns that there are; rewrites the partitions it holds. A file has up
+    to `most_rows` rows, and those beyond go to further files (0: no limit)."""
+    features.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", most_rows).partitionBy(*(p for p in partitions if p in features.columns)).parquet(path)
 
 
 def write_documents(docs: DataFrame, path: str) -> None:

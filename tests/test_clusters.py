@@ -131,3 +131,14 @@ def test_links_connect_what_pairs_connect(spark, monkeypatch, metric, threshold)
     as_map = lambda x: {r.c: r.comp for r in components(x).collect()}
     assert as_map(pairs) == as_map(links)
     assert links.count() < pairs.count() / 2
+
+
+def test_topics_with_a_place_for_each_feature_and_by_hash(spark):
+    rows = [(k, f"{'ab'[k % 2]}{j}", 5) for k in range(20) for j in range(6)]
+    counts = spark.createDataFrame(rows, "construct_id int, feature string, value long")
+    for vocabulary in (12, 4):
+        got = {r.construct_id: r.cluster for r in cluster.lda(counts, 2, rounds=20, vocabulary=vocabulary).collect()}
+        assert set(got) == set(range(20)) and set(got.values()) <= {0, 1}
+        if vocabulary == 12:
+            assert len({got[k] for k in range(0, 20, 2)}) == len({got[k] for k in range(1, 20, 2)}) == 1 and got[0] != got[1]
+    assert cluster.lda(counts.limit(0), 2).count() == 0

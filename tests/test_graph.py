@@ -154,6 +154,11 @@ def test_edge_list_utilities(spark):
     assert graph.graph_size(e).first().asDict() == {"n_vertices": 3, "n_edges": 2, "n_loops": 1}
     assert pairs(graph.degrees(graph.undirected(e))) == [(1, 1), (2, 2), (3, 1)]
     assert pairs(graph.subgraph(e, spark.createDataFrame([(1,), (2,)], "v int"))) == [(1, 2), (2, 1)]
+    loops = spark.createDataFrame([(1, 1), (2, 1)], "src int, dst int")
+    assert pairs(graph.without_loops(loops)) == [(2, 1)]
+    assert [tuple(r) for r in graph.adjacency(loops.union(loops)).orderBy("v").collect()] == [(1, [1]), (2, [1])]
+    three = spark.createDataFrame([(1,), (2,), (3,), (3,)], "v int")
+    assert pairs(graph.clique(three)) == [(1, 2), (1, 3), (2, 1), (2, 3), (3, 1), (3, 2)] and graph.clique(three.limit(0)).count() == 0
     assert pairs(graph.has_edge(e, spark.createDataFrame([(1, 2), (1, 3)], "src int, dst int"))) == [(1, 2, True), (1, 3, False)]
 
 

@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from siftwork.operators import structure
+from siftwork.operators import features, structure
 from siftwork.sources import readers, writers
 
 DOT = """digraph "PDG" {
@@ -124,3 +124,10 @@ def test_structure(spark):
     assert all(abs(r.s - 1) < 1e-9 for r in w.groupBy("layer", "v").agg(F.sum("weight").alias("s")).collect())
     paths = structure.structural_walks(w, 1, 4).collect()
     assert len(paths) == 4 and all(len(p.path) == 4 for p in paths)
+
+
+def test_members_of_functions_within_functions(spark):
+    nodes = spark.createDataFrame([(1, "FUNCTION_DECL"), (2, "STMT"), (3, "FUNCTION_DECL"), (4, "STMT"), (5, "STMT")], "id int, type string")
+    e = spark.createDataFrame([(1, 2), (1, 3), (3, 4)], "src int, dst int")
+    got = {tuple(r) for r in features.function_members(nodes, e).collect()}
+    assert got == {(1, 1), (1, 2), (1, 3), (1, 4), (3, 3), (3, 4)}
