@@ -39,9 +39,12 @@ def biggest_clusters(clusters: DataFrame, n: int = 5) -> DataFrame:
 def clusters_of_functions(clusters: DataFrame, functions: DataFrame, id_: str = "location", most: int = 100) -> DataFrame:
     """(function, cluster, n, members): the clusters with a member that ends in a known function's name; members only of clusters up
     to `most`. functions: (function), a short list."""
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(id_)).alias("members"))
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
     # a suffix of each known length is looked up, so that the join is on equal keys
     lengths = functions.select(F.length("function").alias("k")).distinct()
     tails = clusters.join(F.broadcast(lengths), F.length(id_) >= F.col("k")).select("cluster", F.expr(f"substring({id_}, -k, k)").alias("function"))
     hits = tails.join(functions, "function")
-    return hits.select("function", "cluster").distinct().join(sizes, "cluster").select("function", "cluster", "n", F.when(F.col("n") <= most, F.col("members")).alias("members"))
+    found = hits.select("function", "cluster").distinct().join(sizes, "cluster")
+    # members are put together of the clusters that show them only, which are small
+    shown = clusters.join(found.where(F.col("n") <= most).select("cluster").distinct(), "cluster").groupBy("cluster").agg(F.array_sort(F.collect_list(id_)).alias("members"))
+    return found.join(shown, "cluster", "left").select("function", "cluster", "n", "members")
