@@ -446,6 +446,15 @@ def top_clusters(spark, d):
     return statistics.biggest_clusters(threshold_components(spark, d))
 
 
+@query("clusters_of_functions", f"""WITH RECURSIVE {_PAIRS}, {_COMPONENTS.format(p='p', v='v')}, k AS (SELECT DISTINCT nation.n_nationkey::VARCHAR AS function FROM nation), h AS (SELECT DISTINCT function, cluster FROM c JOIN k ON ends_with(c.id::VARCHAR, k.function))
+SELECT function, cluster, count(*) AS n, CASE WHEN count(*) <= 3 THEN string_agg(id::VARCHAR, ',' ORDER BY id::VARCHAR) END AS members FROM h JOIN c USING (cluster) GROUP BY 1, 2""")
+def clusters_of_functions(spark, d):
+    clusters = threshold_components(spark, d).select(F.col("id").cast("string").alias("location"), "cluster")
+    functions = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("function")).distinct()
+    found = statistics.clusters_of_functions(materialise(clusters, "clusters"), functions, most=3)
+    return found.withColumn("members", F.array_join("members", ","))
+
+
 @query("slice_similarity", f"WITH {_COUNTS}, z AS (SELECT id, sqrt(sum(n * n)) AS z FROM f GROUP BY 1), i AS (SELECT DISTINCT id, id // 20 AS grp FROM f) SELECT a.grp AS \"group\", a.id AS a, b.id AS b, round(coalesce((SELECT sum(x.n * y.n) FROM f x JOIN f y ON x.t = y.t WHERE x.id = a.id AND y.id = b.id), 0) / (p.z * q.z), 5) AS sim FROM i a JOIN i b ON a.grp = b.grp AND a.id < b.id JOIN z p ON p.id = a.id JOIN z q ON q.id = b.id")
 def slice_similarity(spark, d):
     f = nn_counts(spark, d)
