@@ -23,6 +23,14 @@ def files(spark: SparkSession, directory: str, suffix: str = "", prefix: str = "
     return out
 
 
+def entries(spark: SparkSession, directory: str, suffix: str = "") -> DataFrame:
+    """(name), each once: what stands directly in a directory by such a name. A table may be a file or a folder of parts."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(directory)
+    top = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/") + "/"
+    name = F.substring_index(F.substr("path", F.lit(len(top) + 1)), "/", 1)
+    return files(spark, directory).select(name.alias("name")).where(F.endswith("name", F.lit(suffix))).distinct()
+
+
 def projects(names: DataFrame, wanted: Sequence[str] = ()) -> DataFrame:
     """Visible projects (project); all of them if none is named."""
     out = names.where(~F.col("project").startswith("."))

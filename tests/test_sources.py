@@ -131,3 +131,11 @@ def test_members_of_functions_within_functions(spark):
     e = spark.createDataFrame([(1, 2), (1, 3), (3, 4)], "src int, dst int")
     got = {tuple(r) for r in features.function_members(nodes, e).collect()}
     assert got == {(1, 1), (1, 2), (1, 3), (1, 4), (3, 3), (3, 4)}
+
+
+def test_a_folder_of_parts_is_one_entry(spark, tmp_path):
+    spark.range(20).repartition(3).write.parquet(str(tmp_path / "a.parquet" / "deep" / "a.parquet"))
+    spark.range(2).coalesce(1).write.parquet(str(tmp_path / "b.parquet"))
+    (tmp_path / "c.parquet").write_bytes(b"x")
+    (tmp_path / "c.txt").write_bytes(b"x")
+    assert [*map(tuple, readers.entries(spark, str(tmp_path), ".parquet").orderBy("name").collect())] == [("a.parquet",), ("b.parquet",), ("c.parquet",)]
