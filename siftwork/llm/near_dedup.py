@@ -263,7 +263,7 @@ def _groups(i: np.ndarray, j: np.ndarray, rows: int) -> np.ndarray:
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of the nodes in a partition ordered by (node, c), or, with comp, the rows that stand in any, each connected
-    group of them as a node of its own; a node may go on in the next batch."""
+    group of them as a node of its own, with a name that its members decide; a node may go on in the next batch."""
     held = None
 
     def pairs(t: pa.Table) -> pa.RecordBatch:
@@ -274,7 +274,10 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if comp is not None:
             some = np.unique(np.concatenate([i, j]))
             group = _groups(np.searchsorted(some, i), np.searchsorted(some, j), len(some))
-            own = _hash(node[some].view(np.uint64), c[some][group]).view(np.int64) if len(some) else node[some]
+            # named by its members, so that a group which several nodes or trees hold is the same everywhere
+            names = np.zeros(len(some), np.uint64)
+            np.add.at(names, group, _hash(c[some]) if len(some) else names)
+            own = names[group].view(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(own), pa.array(c[some]), pa.array(comp[some])], ["node", "c", "comp"])
         both = np.unique(np.stack([np.minimum(c[i], c[j]), np.maximum(c[i], c[j])]), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
@@ -397,8 +400,8 @@ def _confirm_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def confirm_nodes(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links on full sets between the components of each node of rows (node, c, comp)."""
-    rows = materialise(rows, "rows")
+    """Links on full sets between the components of each node of rows (node, c, comp); a row that stands twice counts once."""
+    rows = materialise(rows.distinct(), "rows")
     ids = materialise(rows.select(F.col("c").alias("doc_id")).distinct(), "rows-of")
     sets = by_id(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids).mapInArrow(_token_rows, "c long, tokens binary")
     full = rows.join(sets, "c").select("node", "c", "comp", "tokens")

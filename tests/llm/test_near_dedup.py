@@ -137,3 +137,19 @@ def test_minwise_tokens_estimate_similarity():
     a, b = np.concatenate([common, x[:50]]), np.concatenate([common, y[:50]])
     s = near_dedup.minwise([a, b])
     assert abs((s[0] == s[1]).mean() - 0.75) < 0.25
+
+
+def test_a_group_that_several_nodes_hold_is_confirmed_once(spark, monkeypatch):
+    text = " ".join(f"w{k}" for k in range(60))
+    texts = {1: text, 2: text + " x", 9: "y " + text, 30: " ".join(f"v{k}" for k in range(60))}
+    sets = near_dedup.shingle_sets([*texts.values()])
+    brief = {c: x.astype(np.uint8).tobytes() for c, x in zip(texts, near_dedup.minwise(sets), strict=True)}
+    rows = [(node, c, c, 2, len(s), brief[c]) for node in range(7) for c, s in zip(texts, sets, strict=True)]
+    found = near_dedup.compare(spark.createDataFrame(rows, "node long, c long, comp long, side int, n long, brief binary"))
+    assert found.count() == 21 and {r.c for r in found.collect()} == {1, 2, 9}
+    kept = []
+    whole = near_dedup.materialise
+    monkeypatch.setattr(near_dedup, "materialise", lambda df, name, *a: (kept.append(out) if name == "rows" else None, out)[1] if (out := whole(df, name, *a)) is not None else None)
+    docs = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    links = near_dedup.confirm_nodes(found, docs).collect()
+    assert kept[0].count() == 3 and len(links) == 2
