@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.config import Config, Step
 from ..plans.tables import materialise
+from ..plans.together import gathering, places
 from .components import components, labelled
 from .similarity import dense_links, dense_pairs, similar_links, sparse_pairs
 
@@ -45,49 +46,131 @@ def _gaps(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def affinity(vectors: DataFrame, preference: float | None, cosine: bool, id_: str = "id", by: str | None = None, damping: float = 0.5, rounds: int = 200) -> DataFrame:
-    """(by, id_, cluster) by affinity propagation of all vectors together, or within each value of a column `by` of the data;
-    what is clustered together must be of a size that a task can square.
+def _middle(gaps: np.ndarray, loops: int, count: int, gather) -> float:
+    """The median of `count` (an even number) values of at least 0 that tasks hold parts of, `loops` zeros in each aside: the
+    mean of the middle two, each found by histograms of 16 bits of it at a time."""
+
+    def at(place: int) -> float:
+        prefix = 0
+        for shift in (48, 32, 16, 0):
+            found = np.zeros(1 << 16, np.int64)
+            for row in gaps:
+                bits = row.view(np.uint64) >> np.uint64(shift)
+                bits = bits[bits >> np.uint64(16) == prefix]
+                if len(bits):
+                    found += np.bincount((bits & np.uint64(0xFFFF)).astype(np.int64), minlength=1 << 16)
+            found[0] -= 0 if prefix else loops
+            upto = np.cumsum(sum(gather(found)))
+            digit = int(np.searchsorted(upto, place, side="right"))
+            place -= int(upto[digit - 1]) if digit else 0
+            prefix = prefix << 16 | digit
+        return float(np.array([prefix], np.uint64).view(np.float64)[0])
+
+    return (at(count // 2 - 1) + at(count // 2)) / 2
+
+
+def _affinity_rows(x: np.ndarray, lo: int, hi: int, preference: float | None, cosine: bool, damping: float, rounds: int, gather) -> np.ndarray:
+    """The exemplar (a place) of each of the points x. This task holds the rows lo to hi of the three matrices; `gather` hands
+    its array to all tasks and gives back the arrays of all."""
+    n, m = len(x), hi - lo
+    if cosine:
+        norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+        x = x / np.where(norm > 0, norm, 1)
+    points = (lambda at: x[at] @ x.T) if cosine else (lambda at: x[at])
+    own, s = points(slice(lo, hi)), np.empty((m, n))
+    step = max(1, (1 << 18) // max(1, own.shape[1]))
+    for c in range(0, n, step):
+        s[:, c : c + step] = _gaps(own, points(slice(c, min(n, c + step))))
+    middle = -_middle(s, m, n * (n - 1), gather) if preference is None and n > 1 else preference or 0.0
+    np.negative(s, out=s)
+    s[np.arange(m), np.arange(lo, hi)] = middle
+    few = max(1, (1 << 17) // max(1, n))  # rows that are worked on together, so that they stay near the processor
+    random = np.random.default_rng(0)
+    for at in range(0, hi, few):
+        noise = 1e-12 * random.standard_normal((min(few, hi - at), n))
+        if at + len(noise) > lo:
+            noise = noise[max(0, lo - at) :]
+            at = max(at, lo) - lo
+            s[at : at + len(noise)] += noise * (1 + abs(s[at : at + len(noise)]))
+    r, a = np.zeros((m, n)), np.zeros((m, n))
+    parts = [(slice(at, min(m, at + few)), np.arange(min(m, at + few) - at), np.arange(lo + at, lo + min(m, at + few))) for at in range(0, m, few)]
+
+    def positive(q: slice, i: np.ndarray, me: np.ndarray) -> np.ndarray:
+        p = np.maximum(r[q], 0)
+        p[i, me] = r[q][i, me]
+        return p
+
+    for _ in range(rounds):
+        total = np.zeros(n)
+        for q, i, me in parts:
+            t = a[q] + s[q]
+            k = t.argmax(axis=1)
+            first = t[i, k]
+            t[i, k] = -np.inf
+            best = s[q][i, k] - t.max(axis=1) if n > 1 else s[q][i, k]
+            np.subtract(s[q], first[:, None], out=t)
+            t[i, k] = best
+            t *= 1 - damping
+            r[q] *= damping
+            r[q] += t
+            total += positive(q, i, me).sum(axis=0)
+        total = sum(gather(total))
+        for q, i, me in parts:
+            t = total[None] - positive(q, i, me)
+            diagonal = t[i, me]
+            np.minimum(t, 0, out=t)
+            t[i, me] = diagonal
+            t *= 1 - damping
+            a[q] *= damping
+            a[q] += t
+    score = np.concatenate(gather(np.concatenate([np.zeros(0), *((a[q] + r[q])[i, me] for q, i, me in parts)])))
+    exemplars = np.flatnonzero(score > 0) if (score > 0).any() else np.array([score.argmax()])
+    of = np.concatenate(gather(exemplars[s[:, exemplars].argmax(axis=1)]))
+    of[exemplars] = exemplars
+    return of
+
+
+def _by_exemplar(ids: np.ndarray, of: np.ndarray) -> list:
+    """The least id of those that share an exemplar, ids being in ascending order."""
+    _, first, at = np.unique(of, return_index=True, return_inverse=True)
+    return list(ids[first][at])
 
-    Similarity is the negative squared distance; with `cosine` the rows of the cosine matrix are the points.
-    """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(id_)
-        ids, x = pdf[id_].to_numpy(), np.stack(pdf["vec"].to_numpy()).astype(float)
-        n = len(ids)
-        if cosine:
-            norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
-            x = x / np.where(norm > 0, norm, 1)
-            x = x @ x.T
-        s = -_gaps(x, x)
-        np.fill_diagonal(s, np.median(s[~np.eye(n, dtype=bool)]) if preference is None and n > 1 else preference or 0.0)
-        s += 1e-12 * np.random.default_rng(0).standard_normal((n, n)) * (1 + abs(s))
-        r, a = np.zeros((n, n)), np.zeros((n, n))
-        for _ in range(rounds):
-            t = a + s
-            k = t.argmax(axis=1)
-            first = t[np.arange(n), k]
-            t[np.arange(n), k] = -np.inf
-            new = s - first[:, None]
-            new[np.arange(n), k] = s[np.arange(n), k] - t.max(axis=1) if n > 1 else s[np.arange(n), k]
-            r = damping * r + (1 - damping) * new
-            p = np.maximum(r, 0)
-            np.fill_diagonal(p, r.diagonal())
-            new = p.sum(axis=0)[None] - p
-            diagonal = new.diagonal().copy()
-            new = np.minimum(new, 0)
-            np.fill_diagonal(new, diagonal)
-            a = damping * a + (1 - damping) * new
-        exemplars = np.flatnonzero((a + r).diagonal() > 0)
-        if not len(exemplars):
-            exemplars = np.array([(a + r).diagonal().argmax()])
-        of = exemplars[s[:, exemplars].argmax(axis=1)]
-        of[exemplars] = exemplars
-        least = {e: ids[of == e].min() for e in exemplars}
-        return pd.DataFrame({"_by": pdf["_by"].to_numpy(), id_: ids, "cluster": [least[e] for e in of]})
+def affinity(vectors: DataFrame, preference: float | None, cosine: bool, id_: str = "id", by: str | None = None, damping: float = 0.5, rounds: int = 200) -> DataFrame:
+    """(by, id_, cluster) by affinity propagation of all vectors together, or within each value of a column `by` of the data.
 
-    return _per_group(vectors, run, id_, by)
+    Similarity is the negative squared distance; with `cosine` the rows of the cosine matrix are the points. Three square
+    matrices are held: by one task for each value of `by`, else by rows, dealt to one task for each place of the cluster. These run at
+    the same time and tell one another column sums in each round; the vectors, few beside their square, go to all.
+    """
+    if by:
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(id_)
+            ids, x = pdf[id_].to_numpy(), np.stack(pdf["vec"].to_numpy()).astype(float)
+            of = _affinity_rows(x, 0, len(x), preference, cosine, damping, rounds, lambda v: [v])
+            return pd.DataFrame({"_by": pdf["_by"].to_numpy(), id_: ids, "cluster": _by_exemplar(ids, of)})
+
+        return _per_group(vectors, run, id_, by)
+    spark = vectors.sparkSession
+    sc, kind = spark.sparkContext, dict(vectors.dtypes)[id_]
+    all_ = vectors.select(id_, F.col("vec").cast("array<double>").alias("vec")).where("vec IS NOT NULL").toPandas().sort_values(id_)
+    schema = f"{id_} {kind}, cluster {kind}"
+    if all_.empty:
+        return spark.createDataFrame([], schema)
+    ids, x = all_[id_].tolist(), np.stack(all_["vec"].to_numpy()).astype(float)
+    tasks = min(len(x), places(sc))
+    given = sc.broadcast((ids, x))
+
+    def rows(numbers):
+        ids, x = given.value
+        (k,) = numbers
+        lo, hi = len(x) * k // tasks, len(x) * (k + 1) // tasks
+        with gathering() as gather:
+            least = _by_exemplar(np.arange(len(x)), _affinity_rows(x, lo, hi, preference, cosine, damping, rounds, gather))
+        return [(ids[i], ids[least[i]]) for i in range(lo, hi)]
+
+    return materialise(spark.createDataFrame(sc.parallelize(range(tasks), tasks).barrier().mapPartitions(rows), schema), "affinity")
 
 
 def mean_shift(vectors: DataFrame, bandwidth: float, id_: str = "id", by: str | None = None, rounds: int = 300) -> DataFrame:

@@ -1,6 +1,12 @@
+import threading
+from concurrent.futures import ThreadPoolExecutor
+
+import numpy as np
 import pytest
 
 from siftwork import queries
+from siftwork.operators import cluster
+from siftwork.plans.together import gathering
 
 
 @pytest.mark.parametrize("name", ["affinity", "mean_shift"])
@@ -10,3 +16,40 @@ def test_all_vectors_are_clustered_together(spark, monkeypatch, name):
     monkeypatch.setattr(queries, "vectors", lambda spark, d: v)
     got = {r.id: r.cluster for r in queries.QUERIES[name](spark, "").collect()}
     assert got == {i: i % 3 for i, _ in rows}
+
+
+@pytest.mark.parametrize("cosine", [False, True])
+def test_affinity_holds_the_matrices_by_rows(cosine):
+    x = np.random.default_rng(5).standard_normal((41, 6))
+    whole = cluster._affinity_rows(x, 0, 41, None, cosine, 0.5, 60, lambda v: [v])
+    square = lambda v: -((v[:, None] - v[None]) ** 2).sum(axis=2)
+    unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    s = square(unit @ unit.T if cosine else x)
+    assert cluster._middle(np.abs(s), 41, 41 * 40, lambda v: [v]) == pytest.approx(-np.median(s[~np.eye(41, dtype=bool)]), rel=1e-12)
+    meet, told = threading.Barrier(3), [None] * 3
+
+    def part(k):
+        def gather(v):
+            told[k] = v
+            meet.wait(30)
+            out = list(told)
+            meet.wait(30)
+            return out
+
+        return cluster._affinity_rows(x, 41 * k // 3, 41 * (k + 1) // 3, None, cosine, 0.5, 60, gather)
+
+    with ThreadPoolExecutor(3) as pool:
+        for of in pool.map(part, range(3)):
+            assert (of == whole).all() and 1 < len(set(of)) < 41
+
+
+def test_tasks_of_a_barrier_gather(spark):
+    def run(numbers):
+        with gathering() as gather:
+            (k,) = numbers
+            for i in range(50):
+                got = gather(np.full(3 + k, k * 100.0 + i))
+            return [[float(v[0]) for v in got] + [len(v) for v in got]]
+
+    got = spark.sparkContext.parallelize(range(3), 3).barrier().mapPartitions(run).collect()
+    assert got == [[49.0, 149.0, 249.0, 3, 4, 5]] * 3
