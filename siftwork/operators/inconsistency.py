@@ -146,10 +146,17 @@ def facts(docs: DataFrame) -> DataFrame:
     )
 
 
-def recall(docs: DataFrame, truth: DataFrame, kind: str, benchmark: str) -> DataFrame:
-    """(id, found_by): the benchmark's bugs of the type, with the documents that hold all their files, functions and lines; an
-    empty array if missed. A bug that names a file meets only documents with that file; others meet all."""
-    items = truth.where((F.col("type") == kind) & (F.col("benchmark") == benchmark))
+def demands(truth: DataFrame, kind: str, benchmark: str) -> DataFrame:
+    """(id, demand), an id once, of the benchmark's bugs of the type: what a bug asks of a document, equal where bugs ask the
+    same; an id that stands in several rows asks any one of them."""
+    asked = F.struct(*(F.array_sort(F.array_distinct(c)).alias(c) for c in ("files", "functions", "lines_no_diff", "line_diffs")))
+    return truth.where((F.col("type") == kind) & (F.col("benchmark") == benchmark)).groupBy("id").agg(F.array_sort(F.collect_set(asked)).alias("demand"))
+
+
+def found(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(demand, found_by): each distinct demand that documents meet, with those that hold all its files, functions and lines. A
+    demand that names a file meets only documents with that file; others meet all."""
+    items = asked.select("demand").distinct().select("demand", F.inline("demand"))
     known = facts(docs)
     named = items.where(F.size("files") > 0).withColumn("file", F.get("files", F.lit(0)))
     met = named.join(known.withColumnRenamed("files", "_files").withColumnRenamed("functions", "_functions").withColumn("file", F.explode("_files")), "file")
@@ -162,8 +169,15 @@ def recall(docs: DataFrame, truth: DataFrame, kind: str, benchmark: str) -> Data
     spread = F.explode(F.array_distinct(F.concat(F.array(F.lit("")), tagged("function ", "_functions"), tagged("line ", "lines"), tagged("diff ", "diff_lines"))))
     met = met.unionByName(named.withColumn("at", spread).join(rest.withColumn("at", at), "at").select(*met.columns))
     hit = contains_all(F.col("diff_lines"), F.col("line_diffs")) & contains_all(F.col("_files"), F.col("files")) & contains_all(F.col("_functions"), F.col("functions")) & contains_all(F.col("lines"), F.col("lines_no_diff"))
-    found = met.where(hit).groupBy("id").agg(F.array_sort(F.collect_set("_id")).alias("found_by"))
-    return items.select("id").join(found, "id", "left").withColumn("found_by", F.coalesce("found_by", F.slice(F.array(F.lit(None).cast(dict(docs.dtypes)["_id"])), 1, 0)))
+    return met.where(hit).groupBy("demand").agg(F.array_sort(F.collect_set("_id")).alias("found_by"))
+
+
+def recall(docs: DataFrame, truth: DataFrame, kind: str, benchmark: str) -> DataFrame:
+    """(id, found_by): the benchmark's bugs of the type, with the documents that hold all their files, functions and lines; an
+    empty array if missed. Bugs that ask the same are sought once."""
+    asked = demands(truth, kind, benchmark)
+    none = F.slice(F.array(F.lit(None).cast(dict(docs.dtypes)["_id"])), 1, 0)
+    return asked.join(found(docs, asked), "demand", "left").select("id", F.coalesce("found_by", none).alias("found_by"))
 
 
 def page(docs: DataFrame, starting_item: int, n: int | None = None) -> DataFrame:

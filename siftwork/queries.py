@@ -406,8 +406,11 @@ def gt_recall(spark, d):
     n = F.length("text")
     none = F.expr("cast(array() as array<int>)")
     truth = c.select(F.col("conv_id").alias("id"), F.lit("check").alias("type"), F.lit("b").alias("benchmark"), none.alias("line_diffs"), F.array(F.concat(F.lit("file"), (n % 3).cast("string"))).alias("files"), F.array(F.concat(F.lit("fun"), (n % 2).cast("string"))).alias("functions"), F.array((n % 7).cast("int")).alias("lines_no_diff"))
-    found = inconsistency.recall(conversation_documents(spark, d), truth, "check", "b")
-    return found.withColumn("found_by", F.array_join(F.transform("found_by", lambda x: x.cast("string")), ","))
+    asked = inconsistency.demands(truth, "check", "b")
+    found = inconsistency.found(conversation_documents(spark, d), asked)
+    # the text once for each demand, not for each bug
+    texts = found.select("demand", F.array_join(F.transform("found_by", lambda x: x.cast("string")), ",").alias("found_by"))
+    return asked.join(texts, "demand", "left").select("id", F.coalesce("found_by", F.lit("")).alias("found_by"))
 
 
 @query("report_page", f"WITH {_T} SELECT conv_id AS _id FROM ok ORDER BY 1 LIMIT 10 OFFSET 4")

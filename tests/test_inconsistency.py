@@ -114,3 +114,12 @@ def test_config():
             Config(**bad)
     with pytest.raises(ValueError):
         Step("NN", "nope", 1)
+
+
+def test_bugs_that_ask_the_same_are_sought_once(spark):
+    docs = spark.createDataFrame([doc(x, [construct(("icmp", ["3"]), lines=[3, 9])]) for x in "de"], DOC)
+    truth = spark.createDataFrame([(i, "check", "p", [], ["f.c"], [], [9 if i % 2 else 8]) for i in [*range(40), 6]] + [(6, "check", "p", [], ["f.c"], [], [3])], "id int, type string, benchmark string, line_diffs array<int>, files array<string>, functions array<string>, lines_no_diff array<int>")
+    asked = q.demands(truth, "check", "p")
+    assert q.found(docs, asked).count() == 2 and asked.select("demand").distinct().count() == 3
+    got = q.recall(docs, truth, "check", "p").collect()
+    assert len(got) == 40 and {r.id: r.found_by for r in got} == {i: ["d", "e"] if i % 2 or i == 6 else [] for i in range(40)}
