@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,6 +15,8 @@ from ..plans.tables import materialise
 
 #: Rows a block of the dense search, about; tasks that the pairs of blocks are dealt to, at most.
 BLOCK, TASKS = 2048, 20_000
+#: Items and feature rows a block where all pairs are wanted, about; blocks that fewer items are dealt to; pairs worked on together.
+WIDE, LONG, SOME, TILE = 8192, 2_000_000, 8, 1 << 20
 
 
 def _packed(vectors: DataFrame, id_: str, vec: str, blocks: int) -> DataFrame:
@@ -89,12 +94,111 @@ def _block_products(vectors: DataFrame, threshold: float, id_: str, vec: str, me
     return left.join(right, "j").select("i", "j", "dims", "ids", "x", "ids2", "x2").repartition(max(1, min(TASKS, blocks * (blocks + 1) // 2)), "i", "j").mapInPandas(multiply, f"a {kind}, b {kind}, sim double")
 
 
+def shrink(x: np.ndarray) -> bytes:
+    return zlib.compress(np.ascontiguousarray(x).tobytes(), 1)
+
+
+def grow(x: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(x), kind)
+
+
+def pairs_of_blocks(items: DataFrame, n: int, rows: int, pack: Callable, packed: str, multiply: Callable[..., Iterator[pd.DataFrame]], out: str, name: str) -> DataFrame:
+    """What multiply(x, y, same) gives for each unordered pair of blocks of the items (id, ...), each in one task.
+
+    pack makes one row (`packed`, which holds block) of a block's items; n items and `rows` of theirs decide how many blocks
+    there are. Only blocks travel, never pairs of items.
+    """
+    blocks = max(-(-n // WIDE), -(-rows // LONG), min(SOME, -(-n // 512)), 1)
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    whole = materialise(dealt.groupBy("block").applyInPandas(pack, packed), name)
+    columns = [c for c in whole.columns if c != "block"]
+    left = whole.withColumnRenamed("block", "i").withColumn("j", F.explode(F.sequence(F.col("i"), F.lit(blocks - 1))))
+    right = whole.select(F.col("block").alias("j"), *(F.col(c).alias(f"{c}_2") for c in columns))
+
+    def run(batches):
+        for pdf in batches:
+            for r in pdf.to_dict("records"):
+                yield from multiply({c: r[c] for c in columns}, {c: r[f"{c}_2"] for c in columns}, r["i"] == r["j"])
+
+    tasks = min(TASKS, blocks * (blocks + 1))
+    return left.join(right, "j").repartition(tasks, "i", "j").mapInPandas(run, out)
+
+
+def ordered(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which of the places (i, j) of ids x and y to keep, so that no pair stands twice, and the lesser and greater ids of those."""
+    a, b = x[i], y[j]
+    keep = np.flatnonzero((a < b) if same else (a != b))
+    a, b = a[keep], b[keep]
+    low = a < b
+    return keep, np.where(low, a, b), np.where(low, b, a)
+
+
+def count_products(counts: DataFrame, least: float | None, name: str = "sim") -> DataFrame:
+    """(a, b, name), a < b, of all items of long-form counts (id, feature, value) that share a feature: the dot product over both
+    norms, where it is at least `least`, if given. Features may be of any number; a null one counts in the norm only."""
+    counts = materialise(counts.where("id IS NOT NULL").select("id", F.col("feature").cast("string").alias("feature"), F.col("value").cast("double").alias("value")), "counts")
+    kind = dict(counts.dtypes)["id"]
+    size = counts.agg(F.count_distinct("id").alias("n"), F.count("*").alias("rows")).first()
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, at = np.unique(pdf["id"].to_numpy(), return_inverse=True)
+        norms = np.sqrt(np.bincount(at, pdf["value"].to_numpy() ** 2, len(ids)))
+        some = pdf["feature"].notna().to_numpy()
+        words, word = np.unique(pdf["feature"].to_numpy()[some].astype(object), return_inverse=True)
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "ids": [ids.tolist()], "norms": [shrink(norms)], "words": [words.tolist()], "at": [shrink(at[some].astype(np.int32))], "word": [shrink(word.astype(np.int32))], "value": [shrink(pdf["value"].to_numpy()[some])]})
+
+    def multiply(x, y, same):
+        place = {w: k for k, w in enumerate(set(x["words"]) & set(y["words"]))}
+        if not place:
+            return
+
+        def read(z):
+            to = np.array([place.get(w, -1) for w in z["words"]], np.int64)[grow(z["word"], np.int32)]
+            by = np.flatnonzero(to >= 0)
+            by = by[np.argsort(to[by], kind="stable")]
+            return np.asarray(z["ids"]), grow(z["norms"], np.float64), grow(z["at"], np.int32)[by], to[by], grow(z["value"], np.float64)[by]
+
+        (a, na, ra, wa, va), (b, nb, rb, wb, vb) = read(x), read(y)
+        width = 512
+        step = max(1, (TILE if len(place) <= width else 4 * TILE) // len(b))
+
+        def spread(r, w, v, n, lo):
+            p = slice(*np.searchsorted(w, [lo, lo + width]))
+            held = np.zeros((n, min(width, len(place) - lo)))
+            held[r[p], w[p] - lo] = v[p]
+            return held
+
+        other = spread(rb, wb, vb, len(b), 0)
+        for top in range(0, len(a), step):
+            n = min(step, len(a) - top)
+            own = (ra >= top) & (ra < top + n)
+            r, w, v = ra[own] - top, wa[own], va[own]
+            dots = spread(r, w, v, n, 0) @ other.T
+            for lo in range(width, len(place), width):
+                dots += spread(r, w, v, n, lo) @ spread(rb, wb, vb, len(b), lo).T
+            if least is None:
+                i, j = np.nonzero(dots)
+                sim = dots[i, j] / (na[top + i] * nb[j])
+            else:
+                # a little less at first, as the quotient is taken another way below
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    i, j = np.nonzero(dots / na[top : top + n, None] / nb[None] >= least - 1e-9)
+                sim = dots[i, j] / (na[top + i] * nb[j])
+                i, j, sim = i[sim >= least], j[sim >= least], sim[sim >= least]
+            keep, low, high = ordered(a, b, top + i, j, same)
+            yield pd.DataFrame({"a": low, "b": high, name: sim[keep]})
+
+    packed = f"block int, ids array<{kind}>, norms binary, words array<string>, at binary, word binary, value binary"
+    return pairs_of_blocks(counts, size["n"], size["rows"], pack, packed, multiply, f"a {kind}, b {kind}, {name} double", "counts")
+
+
 def sparse_pairs(features: DataFrame, threshold: float, id_: str = "construct_id") -> DataFrame:
     """(a, b, sim), a < b, of long-form counts with a cosine of at least `threshold` (above 0).
 
     Equal vectors are joined once, through the least id of each (`classes` tells them apart). Features are ordered from
     rare to frequent; a vector offers only its prefix up to where the rest's norm falls below the threshold, which two
-    similar vectors must share a feature of. Candidates are then scored exactly.
+    similar vectors must share a feature of. Candidates are then scored exactly. Where features are so few or frequent that
+    prefixes would meet in about as many rows as there are pairs, all pairs are scored in blocks, and none travels.
     """
     norms = features.groupBy(id_).agg(F.sqrt(F.sum(F.col("value") * F.col("value").cast("double"))).alias("norm"))
     scaled = features.where("value <> 0").join(norms, id_).select(F.col(id_).alias("id"), "feature", (F.col("value") / F.col("norm")).alias("x"))
@@ -103,6 +207,11 @@ def sparse_pairs(features: DataFrame, threshold: float, id_: str = "construct_id
     rare = W.partitionBy("id").orderBy("df", "feature")
     rest = scaled.join(df, "feature").withColumn("before", F.coalesce(F.sum(F.col("x") * F.col("x")).over(rare.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
     prefix = rest.where(1 - F.col("before") >= threshold * threshold - 1e-9).select("id", "feature")
+    prefix = materialise(prefix, "prefix")
+    met = prefix.groupBy("feature").agg(F.count("*").cast("double").alias("k")).agg(F.sum(F.col("k") * (F.col("k") - 1)).alias("rows")).first()["rows"] or 0
+    n = scaled.select("id").distinct().count()
+    if 4 * met >= n * (n - 1):
+        return count_products(features.where("value <> 0").select(F.col(id_).alias("id"), "feature", "value"), threshold - 1e-12)
     candidates = prefix.withColumnRenamed("id", "a").join(prefix.withColumnRenamed("id", "b"), "feature").where("a < b").select("a", "b").distinct()
     x, y = scaled.withColumnsRenamed({"id": "a"}), scaled.withColumnsRenamed({"id": "b", "x": "y"})
     return candidates.join(x, "a").join(y, ["b", "feature"]).groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("sim")).where(F.col("sim") >= threshold - 1e-12)
