@@ -173,38 +173,116 @@ def affinity(vectors: DataFrame, preference: float | None, cosine: bool, id_: st
     return materialise(spark.createDataFrame(sc.parallelize(range(tasks), tasks).barrier().mapPartitions(rows), schema), "affinity")
 
 
-def mean_shift(vectors: DataFrame, bandwidth: float, id_: str = "id", by: str | None = None, rounds: int = 300) -> DataFrame:
-    """(by, id_, cluster) by mean shift with a flat kernel of all vectors together, or within each value of `by` (see
-    affinity); a task holds them, but not their square. A mode rests once it moves less than a thousandth of the bandwidth."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(id_)
-        ids, x = pdf[id_].to_numpy(), np.stack(pdf["vec"].to_numpy()).astype(float)
-        modes, weight, step = x.copy(), np.zeros(len(x), np.int64), max(1, (1 << 22) // max(1, len(x)))
-        parts = [slice(lo, lo + step) for lo in range(0, len(x), step)]
-        moving = np.arange(len(x))
+def _within(y: np.ndarray, x: np.ndarray, bandwidth: float) -> np.ndarray:
+    """Which rows of x are within the bandwidth of rows of y: by matrix products, and where these are too close to tell, exactly."""
+    yy, xx = (y * y).sum(axis=1), (x * x).sum(axis=1)
+    gaps = yy[:, None] + xx[None] - 2 * (y @ x.T)
+    near = gaps <= bandwidth**2
+    gaps -= bandwidth**2
+    i, j = np.nonzero(np.abs(gaps, out=gaps) <= 1e-9 * (yy.max(initial=0) + xx.max(initial=0) + bandwidth**2))
+    for lo in range(0, len(i), 1 << 14):
+        some = slice(lo, lo + (1 << 14))
+        near[i[some], j[some]] = ((y[i[some]] - x[j[some]]) ** 2).sum(axis=1) <= bandwidth**2
+    return near
+
+
+def _climb(seeds: np.ndarray, x: np.ndarray, bandwidth: float, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the seeds come to rest among x, and how many of x are near there."""
+    modes, weight, step = seeds.copy(), np.zeros(len(seeds), np.int64), max(1, (1 << 21) // max(1, len(x)))
+    for lo in range(0, len(seeds), step):
+        moving = np.arange(lo, min(len(seeds), lo + step))
         for _ in range(rounds):
-            still = []
-            for at in (moving[p] for p in parts):
-                near = (_gaps(modes[at], x) <= bandwidth**2).astype(float)
-                new = near @ x / np.maximum(near.sum(axis=1, keepdims=True), 1)
-                still.append(at[np.sqrt(((new - modes[at]) ** 2).sum(axis=1)) >= 1e-3 * bandwidth])
-                modes[at] = new
-            moving = np.concatenate(still) if still else moving
+            near = _within(modes[moving], x, bandwidth).astype(float)
+            new = near @ x / np.maximum(near.sum(axis=1, keepdims=True), 1)
+            far = np.sqrt(((new - modes[moving]) ** 2).sum(axis=1)) >= 1e-3 * bandwidth
+            modes[moving] = new
+            moving = moving[far]
             if not len(moving):
                 break
-        for p in parts:
-            weight[p] = (_gaps(modes[p], x) <= bandwidth**2).sum(axis=1)
-        centres, free = [], np.ones(len(x), bool)
-        for i in np.lexsort((np.arange(len(ids)), -weight)):
-            if free[i]:
-                centres.append(i)
-                free &= _gaps(modes[i : i + 1], modes)[0] > bandwidth**2
-        of = np.concatenate([_gaps(x[p], modes[centres]).argmin(axis=1) for p in parts])
-        least = [ids[of == k].min() if (of == k).any() else None for k in range(len(centres))]
-        return pd.DataFrame({"_by": pdf["_by"].to_numpy(), id_: ids, "cluster": [least[k] for k in of]})
-
-    return _per_group(vectors, run, id_, by)
+        weight[lo : lo + step] = _within(modes[lo : lo + step], x, bandwidth).sum(axis=1)
+    return modes, weight
+
+
+def _centres(modes: np.ndarray, weight: np.ndarray, bandwidth: float) -> np.ndarray:
+    """The places of the modes that no weightier centre is near, the weightiest first."""
+    left, out = np.lexsort((np.arange(len(modes)), -weight)), []
+    while len(left):
+        some = left[:256]
+        near, free, chosen = _within(modes[some], modes[some], bandwidth), np.ones(len(some), bool), []
+        for k in range(len(some)):
+            if free[k]:
+                chosen.append(some[k])
+                free &= ~near[k]
+        out += chosen
+        left = left[len(some) :]
+        step = max(1, (1 << 21) // len(chosen))
+        parts = [left[lo : lo + step] for lo in range(0, len(left), step)]
+        left = np.concatenate([p[~_within(modes[p], modes[chosen], bandwidth).any(axis=1)] for p in parts]) if parts else left
+    return np.array(out, np.int64)
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    step = max(1, (1 << 21) // max(1, len(centres)))
+    return np.concatenate([_gaps(x[lo : lo + step], centres).argmin(axis=1) for lo in range(0, len(x), step)])
+
+
+def mean_shift(vectors: DataFrame, bandwidth: float, id_: str = "id", by: str | None = None, rounds: int = 300) -> DataFrame:
+    """(by, id_, cluster) by mean shift with a flat kernel of all vectors together, or within each value of `by`, in a task each.
+    A mode rests once it moves less than a thousandth of the bandwidth.
+
+    All together, blocks of the vectors climb in tasks of their own, each of which meets all vectors; one task chooses the
+    centres among the modes.
+    """
+    if by:
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(id_)
+            ids, x = pdf[id_].to_numpy(), np.stack(pdf["vec"].to_numpy()).astype(float)
+            modes, weight = _climb(x, x, bandwidth, rounds)
+            return pd.DataFrame({"_by": pdf["_by"].to_numpy(), id_: ids, "cluster": _by_exemplar(ids, _nearest(x, modes[_centres(modes, weight, bandwidth)]))})
+
+        return _per_group(vectors, run, id_, by)
+    spark, kind = vectors.sparkSession, dict(vectors.dtypes)[id_]
+    rows = materialise(vectors.select(F.col(id_).alias("id"), F.col("vec").cast("array<double>").alias("vec")).where("vec IS NOT NULL AND id IS NOT NULL"), "vectors")
+    blocks = max(1, min(4 * places(spark.sparkContext), rows.count() // 64))
+    packed = f"block int, ids array<{kind}>, dims int, x binary"
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(pdf["vec"].to_numpy()).astype(float)
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "ids": [pdf["id"].tolist()], "dims": [x.shape[1]], "x": [x.tobytes()]})
+
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    whole = materialise(dealt.groupBy("block").applyInPandas(pack, packed), "blocks")
+
+    def join(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, vectors and blocks of packed rows, by id."""
+        ids = np.concatenate([np.asarray(v) for v in pdf["ids"]])
+        order = np.argsort(ids, kind="stable")
+        x = np.concatenate([np.frombuffer(v, np.float64).reshape(-1, d) for v, d in zip(pdf["x"], pdf["dims"], strict=True)])
+        return ids[order], x[order], np.repeat(pdf["block"].to_numpy(), [len(v) for v in pdf["ids"]])[order]
+
+    def climb(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, x, block = join(pdf)
+        own = block == pdf["i"].iloc[0]
+        modes, weight = _climb(x[own], x, bandwidth, rounds)
+        return pd.DataFrame({"block": [pdf["i"].iloc[0]], "ids": [ids[own].tolist()], "dims": [x.shape[1]], "x": [modes.tobytes()], "weight": [weight.tolist()]})
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        weight = np.concatenate(pdf["weight"].to_list())[np.argsort(np.concatenate([np.asarray(v) for v in pdf["ids"]]), kind="stable")]
+        modes = join(pdf)[1]
+        return pd.DataFrame({"dims": [modes.shape[1]], "centres": [modes[_centres(modes, weight, bandwidth)].tobytes()]})
+
+    def place(batches):
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                x, centres = (np.frombuffer(v, np.float64).reshape(-1, r.dims) for v in (r.x, r.centres))
+                yield pd.DataFrame({"id": r.ids, "k": _nearest(x, centres)})
+
+    climbed = materialise(whole.select(F.col("block").alias("i")).crossJoin(whole).repartition(2 * blocks, "i").groupBy("i").applyInPandas(climb, packed + ", weight array<long>"), "modes")
+    chosen = materialise(climbed.groupBy().applyInPandas(choose, "dims int, centres binary"), "centres")
+    placed = materialise(whole.repartition(blocks, "block").crossJoin(chosen.select("centres")).mapInPandas(place, f"id {kind}, k long"), "placed")
+    least = placed.groupBy("k").agg(F.min("id").alias("cluster"))
+    return placed.join(least, "k").select(F.col("id").alias(id_), "cluster")
 
 
 def _per_group(vectors: DataFrame, run, id_: str, by: str | None) -> DataFrame:

@@ -53,3 +53,16 @@ def test_tasks_of_a_barrier_gather(spark):
 
     got = spark.sparkContext.parallelize(range(3), 3).barrier().mapPartitions(run).collect()
     assert got == [[49.0, 149.0, 249.0, 3, 4, 5]] * 3
+
+
+def test_mean_shift_climbs_in_several_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    x = (rng.standard_normal((300, 3)) + rng.integers(0, 3, (300, 1)) * 6).round(3)
+    modes, weight = cluster._climb(x, x, 2.0, 300)
+    of = ((x[:, None] - modes[cluster._centres(modes, weight, 2.0)][None]) ** 2).sum(axis=2).argmin(axis=1)
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, vec array<double>").repartition(3)
+    written, whole = {}, cluster.materialise
+    monkeypatch.setattr(cluster, "materialise", lambda df, name, *a: written.setdefault(name, whole(df, name, *a)))
+    got = {r.id: r.cluster for r in cluster.mean_shift(v, 2.0).collect()}
+    assert written["modes"].count() == 4 and len(got) == 300
+    assert got == {i: int(np.flatnonzero(of == of[i])[0]) for i in range(300)} and 1 < len(set(got.values())) < 300
