@@ -43,6 +43,8 @@ TREES, FIRST, DEPTH, SMALL = 10, 2, 6, 1024
 ALIKE, STREAK, WIDEST, BLOCK = 65, 2, 4, 4096
 #: Pairs of classes that are looked at together.
 PAIRS = 200_000
+#: Classes that are confirmed with one class together, about.
+STAR = 64
 #: Classes among which a central one is sought by comparing all.
 CENTRE = 48
 _SEED = 20240229
@@ -155,14 +157,6 @@ def _class_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([x.tobytes() for x in signatures[:, :BRANCHING]], pa.binary()), pa.array([x.tobytes() for x in brief], pa.binary())], ["doc_id", "n", "digest", "signature", "brief"])
 
 
-def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    worker_memory("near_dedup", _words.clear)
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 256):
-            part = batch.slice(lo, 256)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part.column(1).to_pylist())], pa.binary())], ["c", "tokens"])
-
-
 def _root_rows(count: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = np.arange(count)
@@ -381,12 +375,13 @@ def _links_of_node(c: np.ndarray, comp: np.ndarray, sets: list[np.ndarray]) -> l
 
 
 def _confirm_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (node, c, comp, tokens) ordered by node to the links between the components of each node."""
+    """Rows (node, c, comp, text) ordered by node to the links between the components of each node."""
+    worker_memory("near_dedup", _words.clear)
     held: list = []
 
     def links() -> pa.RecordBatch:
         c, comp = (np.array([r[k] for r in held]) for k in (1, 2))
-        found = _links_of_node(c, comp, [np.frombuffer(r[3], np.uint64) for r in held])
+        found = _links_of_node(c, comp, shingle_sets([r[3] for r in held]))
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     for batch in batches:
@@ -400,14 +395,26 @@ def _confirm_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def confirm_nodes(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links on full sets between the components of each node of rows (node, c, comp); a row that stands twice counts once."""
-    rows = materialise(rows.distinct(), "rows")
-    ids = materialise(rows.select(F.col("c").alias("doc_id")).distinct(), "rows-of")
-    sets = by_id(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids).mapInArrow(_token_rows, "c long, tokens binary")
-    full = rows.join(sets, "c").select("node", "c", "comp", "tokens")
+    """Links on full sets between the components of each node of rows (node, c, comp); a row that stands twice counts once.
+
+    A text meets the nodes of its class in one join and goes to each as it is, as sets of hashes are longer than texts. A
+    class stands in few nodes, but for a star's centre, which stands in one for each STAR of its pairs.
+    """
+    placed = materialise(rows.groupBy("c").agg(F.collect_set("node").alias("nodes"), F.first("comp").alias("comp")), "rows")
+    near = near_ids(docs.select(F.col("doc_id").cast("long").alias("c"), "text"), placed, "c")
+    full = near.join(placed, "c").select(F.explode("nodes").alias("node"), "c", "comp", "text")
     return materialise(full.repartition("node").sortWithinPartitions("node").mapInArrow(_confirm_nodes, "a long, b long"), "links")
 
 
+def stars(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) as nodes (node, c, comp) of one a and about STAR of its b at most, each class a component of its own."""
+    # only what has more than one block is joined, as a table of its own, so that a centre's pairs are split where they are dealt
+    large = materialise(pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).alias("blocks")).where("blocks > 1"), "large-stars")
+    block = F.coalesce(F.pmod(F.xxhash64("b"), "blocks"), F.lit(0))
+    dealt = pairs.join(large, "a", "left").select(F.xxhash64("a", block).alias("node"), F.explode(F.array("a", "b")).alias("c"))
+    return dealt.withColumn("comp", F.col("c"))
+
+
 def nodes(classes: DataFrame, trees: int) -> tuple[DataFrame, DataFrame]:
     """Of the first `trees` trees over classes (c, signature, comp): (node, c, comp) of the small nodes, and (node, c, comp, m) of
     those to be compared in blocks, m being their classes. Nodes of one component are left out."""
@@ -425,7 +432,7 @@ def nodes(classes: DataFrame, trees: int) -> tuple[DataFrame, DataFrame]:
         large = shared.where((F.col("m") > SMALL) & ~ends)
         if depth == DEPTH or large.isEmpty():
             break
-        branching = large.join(classes.select("c", "signature"), "c").select("node", "c", "comp", "signature", "tree", F.col("m").alias("parent"), "streak")
+        branching = large.join(near_ids(classes.select("c", "signature"), large, "c"), "c").select("node", "c", "comp", "signature", "tree", F.col("m").alias("parent"), "streak")
         rows = branching.mapInArrow(_child_rows(depth + 1), "node long, c long, comp long, tree int, parent long, streak int")
     return functools.reduce(DataFrame.unionByName, small), functools.reduce(DataFrame.unionByName, alike)
 
@@ -455,40 +462,23 @@ def _bucket(c: str) -> Column:
     return F.pmod(F.xxhash64(c), F.lit(BUCKETS))
 
 
-def by_id(docs: DataFrame, ids: DataFrame, inside: bool = True) -> DataFrame:
-    """The rows of docs whose doc_id is among the distinct ids (doc_id), or the rows whose is not.
+def near_ids(rows: DataFrame, ids: DataFrame, key: str, near: bool = True) -> DataFrame:
+    """The rows whose key is in a hash bucket of one of the ids' keys, or the rows whose is not.
 
-    The ids' hash buckets, of which there are BUCKETS at most, are broadcast first, so that few rows need the join by
-    id, and texts that it does not concern are not shuffled.
+    The buckets, of which there are BUCKETS at most, are broadcast, so that few rows need the join by key, and those that
+    it does not concern are not shuffled.
     """
-    key = max(docs.columns, key=len) + "_"  # a name that no column has
-    some = F.broadcast(ids.select(_bucket("doc_id").alias(key)).distinct())
-    dealt = docs.withColumn(key, _bucket("doc_id"))
-    near = dealt.join(some, key, "left_semi").drop(key)
-    if inside:
-        return near.join(ids, "doc_id", "left_semi").select(*docs.columns)
-    return dealt.join(some, key, "left_anti").drop(key).unionByName(near.join(ids, "doc_id", "left_anti").select(*docs.columns))
-
-
-def _confirm_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            common = len(np.intersect1d(s, t, assume_unique=True))
-            keep.append(SIMILARITY[1] * common >= SIMILARITY[0] * (len(s) + len(t) - common))
-        mask = pa.array(keep, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+    name = max(rows.columns, key=len) + "_"  # a name that no column has
+    some = F.broadcast(ids.select(_bucket(key).alias(name)).distinct())
+    return rows.withColumn(name, _bucket(key)).join(some, name, "left_semi" if near else "left_anti").drop(name)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The distinct pairs whose full sets are similar enough. Only documents of pairs are read and hashed once more."""
-    pairs = materialise(pairs.distinct(), "pairs")
-    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "paired")
-    sets = by_id(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids).mapInArrow(_token_rows, "c long, tokens binary")
-    sets = materialise(sets, "tokens")
-    rows = pairs.join(sets.withColumnsRenamed({"c": "a", "tokens": "x"}), "a").join(sets.withColumnsRenamed({"c": "b", "tokens": "y"}), "b")
-    return materialise(rows.select("a", "b", "x", "y").mapInArrow(_confirm_batches, "a long, b long"), "links")
+def by_id(docs: DataFrame, ids: DataFrame, inside: bool = True) -> DataFrame:
+    """The rows of docs whose doc_id is among the distinct ids (doc_id), or the rows whose is not."""
+    near = near_ids(docs, ids, "doc_id")
+    if inside:
+        return near.join(ids, "doc_id", "left_semi").select(*docs.columns)
+    return near_ids(docs, ids, "doc_id", near=False).unionByName(near.join(ids, "doc_id", "left_anti").select(*docs.columns))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -522,9 +512,9 @@ def _dedup(docs: DataFrame) -> DataFrame:
         # and each class with the central one of its largest node: copies may differ more from one another than from it
         central = medoids(large.select("node", "c", F.ceil(F.col("m") / CENTRE).cast("int").alias("blocks")), brief).withColumnRenamed("c", "to")
         widest = large.groupBy("c").agg(F.max_by("node", F.struct("m", "node")).alias("node"))
-        star = widest.join(central, "node").where("c <> to").select(F.least("c", "to").alias("a"), F.greatest("c", "to").alias("b"))
+        star = widest.join(central, "node").where("c <> to").select(F.col("to").alias("a"), F.col("c").alias("b"))
         pairs = pairs.unionByName(star)
-    links = confirm(pairs, docs)
+    links = confirm_nodes(stars(materialise(pairs, "pairs")), docs)
     comps = components(links)
     # second round: all trees, and only what lies between the components
     labelled = materialise(classes.select("c", "signature").join(comps, "c", "left").select("c", "signature", F.coalesce("comp", "c").alias("comp")), "labelled")
@@ -534,7 +524,8 @@ def _dedup(docs: DataFrame) -> DataFrame:
         rest = rest.unionByName(block_pairs(large))
     more = confirm_nodes(compare(rest.join(brief, "c")), docs)
     if not more.isEmpty():
-        comps = components(links.unionByName(more))
+        # what is joined already goes on as stars, which take few rounds more
+        comps = components(comps.select(F.col("c").alias("a"), F.col("comp").alias("b")).unionByName(more))
     # rows without a set or an id have no class; apart, as their null keys would meet in one task
     bare = F.col("digest").isNull() | F.col("doc_id").isNull()
     named = hashed.where(~bare).select("doc_id", "n", "digest").join(classes.select("digest", "c"), "digest").select("doc_id", "n", "c").join(comps, "c", "left")

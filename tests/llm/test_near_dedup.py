@@ -153,3 +153,27 @@ def test_a_group_that_several_nodes_hold_is_confirmed_once(spark, monkeypatch):
     docs = spark.createDataFrame([*texts.items()], "doc_id long, text string")
     links = near_dedup.confirm_nodes(found, docs).collect()
     assert kept[0].count() == 3 and len(links) == 2
+
+
+def test_pairs_meet_once_in_stars_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "STAR", 8)
+    pairs = [(0, b) for b in range(100, 300)] + [(k, k + 50) for k in range(1, 40)]
+    met = {}
+    for r in near_dedup.stars(spark.createDataFrame(pairs, "a long, b long")).collect():
+        assert r.comp == r.c
+        met.setdefault(r.node, set()).add(r.c)
+    assert max(map(len, met.values())) < 4 * 8
+    assert sorted((min(t), b) for t in met.values() for b in t - {min(t)}) == sorted(pairs)
+
+
+def test_no_table_holds_sets_and_joined_components_are_not_sought_again(spark, monkeypatch):
+    """Near copies are confirmed from texts that meet in nodes; the second round's labels start from the first's."""
+    monkeypatch.setattr(near_dedup, "SMALL", 32)
+    tables, sought = [], []
+    whole, labels = near_dedup.materialise, near_dedup.components
+    monkeypatch.setattr(near_dedup, "materialise", lambda df, *a, **k: (tables.append(df.columns), whole(df, *a, **k))[1])
+    monkeypatch.setattr(near_dedup, "components", lambda links: (sought.append((links.count(), labels(links))), sought[-1][1])[1])
+    check(spark, corpus(7, 60, 8, edits=12))
+    assert not any("tokens" in columns for columns in tables)
+    if len(sought) > 1:  # the first's members, one link each, and the links between components
+        assert sought[1][0] <= 2 * sought[1][1].count()
