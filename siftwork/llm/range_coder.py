@@ -59,11 +59,13 @@ class _Model:
         self.pb, self.pd = (np.full(n * 32, ONE // 4, np.int32) for _ in range(2))
         self.w = np.full(n, ONE // 2, np.int32)
         self.prev1, self.prev2 = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
-        #: Where each class starts among order 0's ONE_C (unused ones at the end), and what that moves towards after each class.
-        at, c = np.arange(CLASSES + 1), np.arange(classes)[:, None]
+        #: Where each class ends among order 0's ONE_C (unused ones at the end), and what that moves towards after each class.
+        at, c = np.arange(1, CLASSES + 1), np.arange(classes)[:, None]
         self.cdf = np.tile(np.minimum(at * ONE_C // classes, ONE_C).astype(np.int16), (n, 1))
-        self.by9 = np.arange(n, dtype=np.int64) * (CLASSES + 1)
-        self.towards = np.where(at <= c, at * LEAST, ONE_C - np.maximum(classes - at, 0) * LEAST).astype(np.int16)
+        self.by8 = np.arange(n, dtype=np.int64) * CLASSES
+        towards = np.where(at <= c, at * LEAST, ONE_C - np.maximum(classes - at, 0) * LEAST).astype(np.int16)
+        # a row of 16 bytes as one element, which is taken at once
+        self.towards = towards.view(np.complex128)[:, 0]
 
     def predict(self, n: int) -> tuple[np.ndarray, ...]:
         """For the first n lanes: the ids that order 2 and order 1 predict, and where their shares end."""
@@ -99,18 +101,20 @@ class _Model:
 
     def starts(self, n: int, c: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where class c starts and ends in order 0's shares of the first n lanes."""
-        at, flat = self.by9[:n] + c, self.cdf.reshape(-1)
-        return rest * flat[at] >> BITS_C, rest * flat[at + 1] >> BITS_C
+        at, flat = self.by8[:n] + c, self.cdf.reshape(-1)
+        return rest * (flat[at - 1] * (c > 0)) >> BITS_C, rest * flat[at] >> BITS_C
 
     def learn_class(self, n: int, c: np.ndarray, miss: np.ndarray) -> None:
         rows = self.cdf[:n]
-        change = self.towards[c]
+        change = self.towards.take(c).view(np.int16).reshape(n, CLASSES)
         change -= rows
         change >>= 5
-        change *= miss[:, None]
+        change &= _MASKS.take(miss).view(np.int16).reshape(n, CLASSES)
         rows += change
 
 
+#: No bits or all of a row of classes.
+_MASKS = np.repeat(np.array([0, -1], np.int16), CLASSES).view(np.complex128)
 _H1, _H2, _SHIFT, _FULL = np.uint32(2654435761), np.uint32(2246822519), np.uint32(32 - (ENTRIES.bit_length() - 1)), np.int32(ONE - 1)
 #: Ranges are kept above 2^40 and below 2^56; `low` has a carry above them, which stays in the digit put out.
 _TOTAL, _TOP, _STEP = _U(BITS + BITS0), _U(40), _U(16)
@@ -250,7 +254,7 @@ def decode(which: np.ndarray, freq: np.ndarray, payloads: list[bytes], crcs: lis
             rest = ONE - end1
             value = np.minimum(gap // whole, _U(ONE - 1)).astype(np.int32) - end1
             upto = (((np.maximum(value, 0) + 1 << BITS_C) - 1) // rest).astype(np.int16)
-            c = np.bitwise_count((model.cdf[:live, 1:] <= upto[:, None]).view(np.uint64)[:, 0])
+            c = np.bitwise_count((model.cdf[:live] <= np.repeat(upto, CLASSES).reshape(live, CLASSES)).view(np.uint64)[:, 0])
             c = np.minimum(c, classes - 1).astype(np.int64)  # past the end only where damaged
             lo, hi = model.starts(live, c, rest)
             begin = np.where(hit2, 0, end2)

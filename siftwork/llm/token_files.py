@@ -24,6 +24,9 @@ from .tokens import ByteBpe, loaded
 
 #: A chunk is closed by the document that brings it to so many ids; a longer document makes a larger chunk of its own.
 CHUNK = 2048 * 4096
+#: Bytes of texts that are cut and looked up together, about, and of a batch that brings them: no other table of this
+#: size is held meanwhile, and each distinct piece of them is looked up once.
+TEXTS, BATCH = 16_000_000, 16 << 20
 _FIELDS = "part int, chunk int, n_ids long, doc_ids array<long>, doc_lengths array<long>, ids binary, freqs binary, block_bytes array<int>, block_crcs array<long>, payload binary"
 
 
@@ -34,7 +37,7 @@ def write_documents(docs: DataFrame, path: str, location: str, end: int = 0) ->
     makes a file without chunks; other columns are ignored.
     """
     last = int(end).to_bytes(4, "little")
-    text_batches(docs.sparkSession)
+    text_batches(docs.sparkSession, BATCH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = loaded(ByteBpe, path), TaskContext.get().partitionId()
@@ -48,7 +51,7 @@ def write_documents(docs: DataFrame, path: str, location: str, end: int = 0) ->
             return pa.RecordBatch.from_pylist([row], schema=_ARROW)
 
         for batch in batches:
-            for i, data in zip(batch.column(0).to_pylist(), encoder.encode_all(batch.column(1)), strict=True):
+            for i, data in zip(batch.column(0).to_pylist(), encoder.encode_all(batch.column(1), TEXTS), strict=True):
                 doc_ids.append(i), texts_ids.append(data + last)
                 held += len(data) // 4 + 1
                 if held >= CHUNK:

@@ -24,7 +24,8 @@ TEXT_BYTES = 5_000_000
 
 
 #: Letters on which all libraries agree, and what may follow them as one pre-token of its own.
-_FORM = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?#*$%&|<>()\"]*)")
+_TAIL = '.,;:!?#*$%&|<>()"'
+_FORM = re.compile(f"([A-Za-zÀ-ÖØ-öø-ɏ]+)([{_TAIL}]*)")
 
 
 class ByteBpe:
@@ -86,12 +87,16 @@ class ByteBpe:
         """The ids of a piece with a space in front, or of a line end and what follows it; None for irregular white space."""
         ids = self.known.get(piece)
         if ids is None:
-            if self._irregular(piece):
-                return None
-            if piece[0] == "\n":
-                return self.line_end + self._piece(piece[1:], "")
-            form = _FORM.fullmatch(piece)
-            letters, tail = form.groups() if form else (piece, "")
+            letters = piece.rstrip(_TAIL)
+            if form := letters.isascii() and letters.isalpha():  # the form, without its expression
+                tail = piece[len(letters) :]
+            else:
+                if self._irregular(piece):
+                    return None
+                if piece[0] == "\n":
+                    return self.line_end + self._piece(piece[1:], "")
+                form = _FORM.fullmatch(piece)
+                letters, tail = form.groups() if form else (piece, "")
             ids = self.known.get(letters) if tail else None
             if ids is None:
                 if len(self.known) > TABLE_ENTRIES:
@@ -115,13 +120,13 @@ class ByteBpe:
             others[p] = self._encode(" " + p)
         return (self._encode(pieces[0]) if pieces[0] else b"") + b"".join([others[p] for p in pieces[1:]])
 
-    def encode_all(self, texts: pa.Array | list[str | None]) -> Iterator[bytes]:
-        """The ids of each text; of none for null."""
+    def encode_all(self, texts: pa.Array | list[str | None], at_once: int = TEXT_BYTES) -> Iterator[bytes]:
+        """The ids of each text; of none for null. About at_once bytes of texts are cut and looked up together."""
         texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
         sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
         lo = 0
         while lo < len(texts):  # some texts at a time, or one of any length
-            hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + TEXT_BYTES)))
+            hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + at_once)))
             yield from self._encode_some(texts.slice(lo, hi - lo))
             lo = hi
 
@@ -132,7 +137,8 @@ class ByteBpe:
         cut = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " \n"), " ")
         coded = cut.flatten().dictionary_encode()
         pieces, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        ids = list(map(self._known, pieces))
+        known = self._known
+        ids = [x or known(p) for x, p in zip(map(self.known.get, pieces), pieces)]
         bad = np.fromiter([x is None for x in ids], bool, len(ids))
         data = np.frombuffer(b"".join([x or b"" for x in ids]), "<u4")
         lengths = np.fromiter([len(x) // 4 if x else 0 for x in ids], np.int64, len(ids))
@@ -143,7 +149,12 @@ class ByteBpe:
         lengths_at = lengths[which]
         lengths_at[head] = 0
         ends = np.cumsum(lengths_at)
-        joined = data[np.repeat(starts[which] - (ends - lengths_at), lengths_at) + np.arange(ends[-1])].tobytes() if len(ends) else b""
+        joined = b""
+        if len(ends):  # the place in data of each id; 32 bits take half the memory
+            kind = np.int32 if max(ends[-1], len(data)) < 1 << 31 else np.int64
+            at = np.repeat((starts[which] - (ends - lengths_at)).astype(kind), lengths_at)
+            at += np.arange(len(at), dtype=kind)
+            joined = data.take(at).tobytes()
         upto = np.append(0, ends)[edges] * 4
         odd = np.logical_or.reduceat(bad[which], head) if len(head) else whole
         empty = pc.equal(pc.fill_null(pc.binary_length(texts), 0), 0).to_numpy(zero_copy_only=False)

@@ -1,3 +1,4 @@
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -66,3 +67,11 @@ def test_real_texts(name):
     some = pq.read_table(f"/root/testdata/sf0.001/{name}.parquet")["text"].to_pylist()
     assert list(fast.encode_all(some)) == [ids(t) for t in some]
     assert counts.count_all(some) == [len(model.encode(t)) for t in some]
+
+
+@pytest.mark.parametrize("at_once", [1, 40, 10_000_000])
+def test_ids_do_not_depend_on_how_many_texts_are_looked_up_together(at_once):
+    texts = ["a1, b1,", "привет, мир", "x \n\n y,", "", None, "\n,a", "élan, ÉLAN.", "a,b c,d", ",", "  lead", "trail  ", "word, word. word", "\ta, b\t"] * 3
+    encoder = tokens.ByteBpe(public_tokenizers.path("byte_bpe_50k.json"))
+    got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode_all(texts, at_once)]
+    assert got == [encoder.library.encode(t or "", add_special_tokens=False).ids for t in texts]
