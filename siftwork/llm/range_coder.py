@@ -8,6 +8,9 @@ together, under a weight that learns which of the two is better; order 1 gets an
 what then remains. Order 0 has the ids in CLASSES classes of about equal mass: the classes' shares adapt within the
 block, and within a class the ids are as frequent as in the chunk that the blocks belong to. An id takes one coding step.
 All arithmetic is on integers, so that coder and decoder agree on any machine.
+
+The files of token_files are coded and read by the same model in RangeCoder.java, to the same bytes. What is here states
+the format, and reads a chunk without Spark.
 """
 
 from __future__ import annotations

@@ -1,15 +1,16 @@
 """Token-id files: the ids of whole texts, in ascending doc_id order, as range-coded blocks with checksums.
 
 A file is a Parquet table of chunks. A chunk holds whole documents: their doc_ids and lengths, the order-0 frequencies
-of its ids, and blocks of ids, each coded from a fresh model and with its own crc32 (see range_coder). Chunks are
-ordered by (part, chunk): part is the range partition of doc_id that wrote it. Spark's writer commits the files, so a
-lost executor leaves none half-written, and any store that Spark writes to can hold them.
+of its ids, and blocks of ids, each coded from a fresh model and with its own crc32 (see range_coder, whose coder runs in
+the JVM here, from RangeCoder.java). Chunks are ordered by (part, chunk): part is the range partition of doc_id that
+wrote it. Spark's writer commits the files, so a lost executor leaves none half-written, and any store that Spark writes
+to can hold them.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans import jvm
 from . import range_coder
 from .common import table, table_path, text_batches
 from .tokens import ByteBpe, loaded
@@ -27,7 +29,8 @@ CHUNK = 2048 * 4096
 #: Bytes of texts that are cut and looked up together, about, and of a batch that brings them: no other table of this
 #: size is held meanwhile, and each distinct piece of them is looked up once.
 TEXTS, BATCH = 16_000_000, 16 << 20
-_FIELDS = "part int, chunk int, n_ids long, doc_ids array<long>, doc_lengths array<long>, ids binary, freqs binary, block_bytes array<int>, block_crcs array<long>, payload binary"
+_DOCUMENTS = "part int, chunk int, n_ids long, doc_ids array<long>, doc_lengths array<long>"
+_FIELDS = f"{_DOCUMENTS}, ids binary, freqs binary, block_bytes array<int>, block_crcs array<long>, payload binary"
 
 
 def write_documents(docs: DataFrame, path: str, location: str, end: int = 0) -> None:
@@ -45,8 +48,7 @@ def write_documents(docs: DataFrame, path: str, location: str, end: int = 0) ->
 
         def close() -> pa.RecordBatch:
             nonlocal doc_ids, texts_ids, held, chunk
-            got = range_coder.encode(np.frombuffer(b"".join(texts_ids), "<u4"))
-            row = {"part": part, "chunk": chunk, "n_ids": got["n_ids"], "doc_ids": doc_ids, "doc_lengths": [len(x) // 4 for x in texts_ids], "ids": got["ids"].astype("<u4").tobytes(), "freqs": got["freqs"].astype("<u4").tobytes(), "block_bytes": [len(p) for p in got["payloads"]], "block_crcs": got["crcs"], "payload": b"".join(got["payloads"])}
+            row = {"part": part, "chunk": chunk, "n_ids": held, "doc_ids": doc_ids, "doc_lengths": [len(x) // 4 for x in texts_ids], "data": b"".join(texts_ids)}
             doc_ids, texts_ids, held, chunk = [], [], 0, chunk + 1
             return pa.RecordBatch.from_pylist([row], schema=_ARROW)
 
@@ -60,14 +62,22 @@ def write_documents(docs: DataFrame, path: str, location: str, end: int = 0) ->
             yield close()
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    rows.mapInArrow(run, _FIELDS).write.parquet(location)
+    chunks = rows.mapInArrow(run, f"{_DOCUMENTS}, data binary")
+    coder_functions(docs.sparkSession)
+    coded = chunks.withColumn("coded", F.call_function("siftwork_range_encode", "data"))
+    coded.select(*chunks.columns[:-1], "coded.*").write.parquet(location)
 
 
-_ARROW = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_lengths", pa.list_(pa.int64())), ("ids", pa.binary()), ("freqs", pa.binary()), ("block_bytes", pa.list_(pa.int32())), ("block_crcs", pa.list_(pa.int64())), ("payload", pa.binary())])
+_ARROW = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_lengths", pa.list_(pa.int64())), ("data", pa.binary())])
+
+
+def coder_functions(spark: SparkSession) -> None:
+    """The range coder and the documents' digests as functions of this session, in the JVM."""
+    jvm.register(spark, resources.files(__package__).joinpath("RangeCoder.java").read_text(), "siftwork.RangeCoder")
 
 
 def read_ids(chunk: dict) -> np.ndarray:
-    """The ids of one chunk; ValueError where a block does not match its checksum."""
+    """The ids of one chunk, without Spark; ValueError where a block does not match its checksum."""
     edges = np.cumsum([0, *chunk["block_bytes"]]).tolist()
     payloads = [chunk["payload"][a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
     return range_coder.decode(np.frombuffer(chunk["ids"], "<u4").astype(np.int64), np.frombuffer(chunk["freqs"], "<u4").astype(np.int64), payloads, chunk["block_crcs"], chunk["n_ids"])
@@ -82,19 +92,10 @@ def read_digests(spark: SparkSession, location: str) -> DataFrame:
     parts = parts.select("part", F.coalesce(F.sum("n").over(whole), F.lit(0)).alias("part_start"))
     within = W.partitionBy("part").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
     starts = files.select("part", "chunk", F.coalesce(F.sum("n_ids").over(within), F.lit(0)).alias("in_part")).join(parts, "part").select("part", "chunk", (F.col("in_part") + F.col("part_start")).alias("chunk_start"))
-    rows = files.join(starts, ["part", "chunk"])
-    names = rows.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                chunk = {n: batch.column(i)[k].as_py() for i, n in enumerate(names)}
-                data, lengths = read_ids(chunk).astype("<u4").tobytes(), np.array(chunk["doc_lengths"])
-                ends = np.cumsum(lengths)
-                crcs = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(chunk["doc_ids"], pa.int64()), pa.array(chunk["chunk_start"] + ends - lengths), pa.array(lengths), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    coder_functions(spark)
+    ids = F.call_function("siftwork_range_decode", "ids", "freqs", "block_bytes", "block_crcs", "n_ids", "payload")
+    digests = F.call_function("siftwork_digests", ids, "doc_ids", "doc_lengths", "chunk_start")
+    return files.join(starts, ["part", "chunk"]).select(F.inline(digests))
 
 
 def op1_range_coded_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
