@@ -14,6 +14,10 @@ from .components import components, labelled
 from .similarity import dense_links, dense_pairs, similar_links, sparse_pairs
 
 
+#: Numbers of a block that affinity works on at once, about; entries that it begins with in each row.
+AREA, LIVE = 1 << 21, 128
+
+
 def threshold_clusters(items: DataFrame, links: DataFrame, id_: str = "id") -> DataFrame:
     """cc: (id_, cluster) by connected components of links (a, b)."""
     return labelled(items.select(id_).distinct(), links, id_).select(id_, F.col("comp").alias("cluster"))
@@ -46,86 +50,220 @@ def _gaps(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def _middle(gaps: np.ndarray, loops: int, count: int, gather) -> float:
+def _middle(gaps, loops: int, count: int, gather) -> float:
     """The median of `count` (an even number) values of at least 0 that tasks hold parts of, `loops` zeros in each aside: the
-    mean of the middle two, each found by histograms of 16 bits of it at a time."""
-
-    def at(place: int) -> float:
-        prefix = 0
-        for shift in (48, 32, 16, 0):
-            found = np.zeros(1 << 16, np.int64)
-            for row in gaps:
-                bits = row.view(np.uint64) >> np.uint64(shift)
-                bits = bits[bits >> np.uint64(16) == prefix]
-                if len(bits):
-                    found += np.bincount((bits & np.uint64(0xFFFF)).astype(np.int64), minlength=1 << 16)
-            found[0] -= 0 if prefix else loops
-            upto = np.cumsum(sum(gather(found)))
-            digit = int(np.searchsorted(upto, place, side="right"))
-            place -= int(upto[digit - 1]) if digit else 0
-            prefix = prefix << 16 | digit
-        return float(np.array([prefix], np.uint64).view(np.float64)[0])
-
-    return (at(count // 2 - 1) + at(count // 2)) / 2
+    mean of the middle two. `gaps` gives arrays of them, again and again: histograms of 16 bits at a time, until so few are left
+    that they are told."""
+    place = count // 2 - 1 + int(sum(gather(np.array([loops]))).sum())
+    prefix, shift, left = 0, 64, count
+    while shift == 64 or (shift and left > 1 << 16):
+        shift -= 16
+        found = np.zeros(1 << 16, np.int64)
+        for row in gaps:
+            bits = row.ravel().view(np.uint64) >> np.uint64(shift)
+            if shift < 48:
+                bits = bits[bits >> np.uint64(16) == prefix] & np.uint64(0xFFFF)
+            found += np.bincount(bits.view(np.int64), minlength=1 << 16)
+        found = sum(gather(found))
+        upto = np.cumsum(found)
+        digit = int(np.searchsorted(upto, place, side="right"))
+        place -= int(upto[digit - 1]) if digit else 0
+        prefix, left = prefix << 16 | digit, int(found[digit])
+    held, above = [np.zeros(0)], np.inf
+    for row in gaps:
+        row = row.ravel()
+        bits = row.view(np.uint64) >> np.uint64(shift)
+        if shift:
+            held.append(row[bits == prefix])
+        above = row.min(where=bits > prefix, initial=above)
+    above = min(float(v[0]) for v in gather(np.array([above])))
+    if shift:
+        told = np.sort(np.concatenate(gather(np.concatenate(held))))
+        return float(told[place] + (told[place + 1] if place + 1 < left else above)) / 2
+    value = float(np.array([prefix], np.uint64).view(np.float64)[0])
+    return (value + (value if place + 1 < left else above)) / 2
+
+
+class _Points:
+    """Similarities of points, made where they are wanted: none of all pairs is held. `at` are places of points."""
+
+    def __init__(self, x: np.ndarray, preference: float):
+        self.x, self.preference = x - x.mean(axis=0), preference
+        self.xx = (self.x * self.x).sum(axis=1)
+
+    def gaps(self, at: np.ndarray, to: np.ndarray | None = None) -> np.ndarray:
+        """Squared distances by a matrix product, so rounded."""
+        y, yy = (self.x, self.xx) if to is None else (self.x[to], self.xx[to])
+        out = self.x[at] @ y.T
+        out *= -2
+        out += self.xx[at][:, None]
+        out += yy
+        return np.maximum(out, 0, out=out)
+
+    def slack(self, at: np.ndarray, gap: np.ndarray) -> np.ndarray:
+        """More than rounding and noise change of a squared distance of about `gap`."""
+        return 4e-12 * (1 + gap) + 1e-15 * (self.x.shape[1] + 8) * (self.xx[at] + self.xx.max())
+
+    def similarities(self, i: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Of the pairs (i, k), each with a little noise by a hash of its places, so that ties break."""
+        s = np.empty(len(i))
+        step = max(1, (1 << 19) // max(1, self.x.shape[1]))
+        for lo in range(0, len(i), step):
+            d = self.x[i[lo : lo + step]] - self.x[k[lo : lo + step]]
+            s[lo : lo + step] = -(d * d).sum(axis=1)
+        s[i == k] = self.preference
+        z = (i.astype(np.uint64) * np.uint64(len(self.x)) + k.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            z = (z ^ (z >> np.uint64(shift))) * np.uint64(by)
+        noise = ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53) - 0.5
+        return s + 1e-12 * noise * (1 + np.abs(s))
+
+
+class _Live:
+    """The entries of rows lo to hi that count in affinity propagation, by row and column: s, r and a of each.
+
+    An entry off the diagonal never has more than s as the sum of a and s, since its a is never above 0. So long as its s is
+    below the second greatest sum of its row, it is neither of the two greatest, its r is not above 0, and no row or column
+    notices it. Each row holds its diagonal and all entries of at least its floor. Where a row's second greatest sum falls below
+    the floor, the row takes in more, and what these were in all rounds before follows from what the rounds told.
+    """
+
+    def __init__(self, points: _Points, lo: int, hi: int, damping: float):
+        self.points, self.lo, self.n, self.damping = points, lo, len(points.x), damping
+        self.floor = np.full(hi - lo, np.inf)
+        self.start = np.zeros(hi - lo + 1, np.int64)
+        self.col = np.zeros(0, np.int32)
+        self.s, self.r, self.a = np.zeros(0), np.zeros(0), np.zeros(0)
+        self.firsts: list[np.ndarray] = []  # by round, the greatest sum of each row, and of each column all positive r
+        self.totals: list[np.ndarray] = []
+        self.take(np.arange(hi - lo), np.full(hi - lo, np.inf), np.full(hi - lo, LIVE))
+
+    def take(self, rows: np.ndarray, least: np.ndarray, count: np.ndarray) -> None:
+        """Let the rows hold all entries of at least `least`, and the `count` greatest."""
+        got = []
+        order = np.argsort(count, kind="stable")
+        step = max(1, AREA // self.n)
+        for at in range(0, len(rows), step):
+            some = order[at : at + step]
+            own, k = rows[some], int(count[some].max())
+            gaps = self.points.gaps(own + self.lo)
+            cut = np.partition(gaps, k - 1, axis=1)[:, k - 1] if k < self.n else np.full(len(own), np.inf)
+            cut = np.maximum(cut, -least[some])
+            with np.errstate(invalid="ignore"):
+                wide = cut + self.points.slack(own + self.lo, cut)
+            gaps[np.arange(len(own)), own + self.lo] = 0
+            i, col = np.nonzero(gaps <= wide[:, None])
+            i = own[i]
+            held = [self.col[self.start[q] : self.start[q + 1]].astype(np.int64) + q * self.n for q in own]
+            new = ~np.isin(i * self.n + col, np.concatenate(held))
+            i, col = i[new], col[new]
+            s = self.points.similarities(i + self.lo, col)
+            r, a, d = np.zeros(len(i)), np.zeros(len(i)), self.damping
+            for first, total in zip(self.firsts, self.totals, strict=True):
+                r = d * r + (1 - d) * (s - first[i])
+                a = d * a + (1 - d) * np.minimum(total[col] - np.maximum(r, 0), 0)
+            got.append((i, col.astype(np.int32), s, r, a))
+            self.floor[own] = -cut
+        i, col, *rest = (np.concatenate(v) for v in zip(*got, strict=True))
+        own = np.repeat(np.arange(len(self.floor)), np.diff(self.start))
+        order = np.argsort(np.concatenate([own, i]) * self.n + np.concatenate([self.col, col]), kind="stable")
+        self.start += np.concatenate([[0], np.cumsum(np.bincount(i, minlength=len(self.floor)))])
+        self.col = np.concatenate([self.col, col])[order]
+        self.s, self.r, self.a = (np.concatenate([v, w])[order] for v, w in zip((self.s, self.r, self.a), rest, strict=True))
+        of = np.repeat(np.arange(len(self.floor)), np.diff(self.start))
+        self.diagonal = np.flatnonzero(self.col == of + self.lo)
+
+    def parts(self):
+        """Rows of about AREA / 8 entries in all, their entries, where each row begins in these, and where the diagonal is."""
+        p = 0
+        while p < len(self.floor):
+            q = max(p + 1, int(np.searchsorted(self.start, self.start[p] + AREA // 8, side="right")) - 1)
+            e = slice(self.start[p], self.start[q])
+            yield slice(p, q), e, self.start[p:q] - e.start, self.diagonal[p:q] - e.start
+            p = q
+
+    def greatest(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each row the greatest sum of a and s, the next one, and where the greatest is."""
+        first, second, at = np.empty(len(self.floor)), np.empty(len(self.floor)), np.empty(len(self.floor), np.int64)
+        for p, e, start, _ in self.parts():
+            t = self.a[e] + self.s[e]
+            first[p] = np.maximum.reduceat(t, start)
+            hit = np.flatnonzero(t == np.repeat(first[p], np.diff([*start, len(t)])))
+            hit = hit[np.searchsorted(hit, start)]
+            t[hit] = -np.inf
+            second[p] = np.maximum.reduceat(t, start)
+            at[p] = hit + e.start
+        return first, second, at
+
+    def round(self, gather) -> None:
+        while True:
+            first, second, at = self.greatest()
+            short = np.flatnonzero(second < self.floor) if self.n > 1 else []
+            if not len(short):
+                break
+            self.take(short, second[short], 2 * np.diff(self.start)[short])
+        best = self.s[at] - (second if self.n > 1 else 0)
+        d, total = self.damping, np.zeros(self.n)
+        for p, e, start, diagonal in self.parts():
+            t = self.s[e] - np.repeat(first[p], np.diff([*start, e.stop - e.start]))
+            t[at[p] - e.start] = best[p]
+            self.r[e] = d * self.r[e] + (1 - d) * t
+            total += np.bincount(self.col[e], self._positive(e, diagonal), self.n)
+        total = sum(gather(total))
+        for _, e, _, diagonal in self.parts():
+            t = total[self.col[e]] - self._positive(e, diagonal)
+            kept = t[diagonal]
+            np.minimum(t, 0, out=t)
+            t[diagonal] = kept
+            self.a[e] = d * self.a[e] + (1 - d) * t
+        self.firsts.append(first)
+        self.totals.append(total)
+
+    def _positive(self, e: slice, diagonal: np.ndarray) -> np.ndarray:
+        p = np.maximum(self.r[e], 0)
+        p[diagonal] = self.r[e][diagonal]
+        return p
 
 
 def _affinity_rows(x: np.ndarray, lo: int, hi: int, preference: float | None, cosine: bool, damping: float, rounds: int, gather) -> np.ndarray:
-    """The exemplar (a place) of each of the points x. This task holds the rows lo to hi of the three matrices; `gather` hands
-    its array to all tasks and gives back the arrays of all."""
-    n, m = len(x), hi - lo
+    """The exemplar (a place) of each of the points x. This task works on the rows lo to hi of the three matrices, of which it
+    holds the entries that count; `gather` hands its array to all tasks and gives back the arrays of all."""
+    n = len(x)
     if cosine:
         norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
         x = x / np.where(norm > 0, norm, 1)
-    points = (lambda at: x[at] @ x.T) if cosine else (lambda at: x[at])
-    own, s = points(slice(lo, hi)), np.empty((m, n))
-    step = max(1, (1 << 18) // max(1, own.shape[1]))
-    for c in range(0, n, step):
-        s[:, c : c + step] = _gaps(own, points(slice(c, min(n, c + step))))
-    middle = -_middle(s, m, n * (n - 1), gather) if preference is None and n > 1 else preference or 0.0
-    np.negative(s, out=s)
-    s[np.arange(m), np.arange(lo, hi)] = middle
-    few = max(1, (1 << 17) // max(1, n))  # rows that are worked on together, so that they stay near the processor
-    random = np.random.default_rng(0)
-    for at in range(0, hi, few):
-        noise = 1e-12 * random.standard_normal((min(few, hi - at), n))
-        if at + len(noise) > lo:
-            noise = noise[max(0, lo - at) :]
-            at = max(at, lo) - lo
-            s[at : at + len(noise)] += noise * (1 + abs(s[at : at + len(noise)]))
-    r, a = np.zeros((m, n)), np.zeros((m, n))
-    parts = [(slice(at, min(m, at + few)), np.arange(min(m, at + few) - at), np.arange(lo + at, lo + min(m, at + few))) for at in range(0, m, few)]
-
-    def positive(q: slice, i: np.ndarray, me: np.ndarray) -> np.ndarray:
-        p = np.maximum(r[q], 0)
-        p[i, me] = r[q][i, me]
-        return p
-
+        if x.shape[1] < n:  # points as far from one another as the rows of the cosine matrix, in as few dimensions as x has
+            w, v = np.linalg.eigh(x.T @ x)
+            x = x @ v * np.sqrt(np.maximum(w, 0))
+        else:
+            x = x @ x.T
+    points, step = _Points(x, preference or 0.0), max(1, AREA // n)
+    rows = [np.arange(at, min(hi, at + step)) for at in range(lo, hi, step)]
+
+    class Gaps:
+        def __iter__(self):
+            for at in rows:
+                gaps = points.gaps(at)
+                gaps[np.arange(len(at)), at] = 0
+                yield gaps
+
+    if preference is None and n > 1:
+        points.preference = -_middle(Gaps(), hi - lo, n * (n - 1), gather)
+    live = _Live(points, lo, hi, damping)
     for _ in range(rounds):
-        total = np.zeros(n)
-        for q, i, me in parts:
-            t = a[q] + s[q]
-            k = t.argmax(axis=1)
-            first = t[i, k]
-            t[i, k] = -np.inf
-            best = s[q][i, k] - t.max(axis=1) if n > 1 else s[q][i, k]
-            np.subtract(s[q], first[:, None], out=t)
-            t[i, k] = best
-            t *= 1 - damping
-            r[q] *= damping
-            r[q] += t
-            total += positive(q, i, me).sum(axis=0)
-        total = sum(gather(total))
-        for q, i, me in parts:
-            t = total[None] - positive(q, i, me)
-            diagonal = t[i, me]
-            np.minimum(t, 0, out=t)
-            t[i, me] = diagonal
-            t *= 1 - damping
-            a[q] *= damping
-            a[q] += t
-    score = np.concatenate(gather(np.concatenate([np.zeros(0), *((a[q] + r[q])[i, me] for q, i, me in parts)])))
+        live.round(gather)
+    score = np.concatenate(gather((live.a + live.r)[live.diagonal]))
     exemplars = np.flatnonzero(score > 0) if (score > 0).any() else np.array([score.argmax()])
-    of = np.concatenate(gather(exemplars[s[:, exemplars].argmax(axis=1)]))
+    of = [np.zeros(0, np.int64)]
+    for at in rows:
+        gaps = points.gaps(at, exemplars)
+        gaps[at[:, None] == exemplars] = 0
+        least = gaps.min(axis=1)
+        i, k = np.nonzero(gaps <= (least + points.slack(at, least))[:, None])
+        s = points.similarities(at[i], exemplars[k])
+        order = np.lexsort((k, -s, i))
+        of.append(exemplars[k[order[np.unique(i[order], return_index=True)[1]]]])
+    of = np.concatenate(gather(np.concatenate(of)))
     of[exemplars] = exemplars
     return of
 
@@ -139,9 +277,10 @@ def _by_exemplar(ids: np.ndarray, of: np.ndarray) -> list:
 def affinity(vectors: DataFrame, preference: float | None, cosine: bool, id_: str = "id", by: str | None = None, damping: float = 0.5, rounds: int = 200) -> DataFrame:
     """(by, id_, cluster) by affinity propagation of all vectors together, or within each value of a column `by` of the data.
 
-    Similarity is the negative squared distance; with `cosine` the rows of the cosine matrix are the points. Three square
-    matrices are held: by one task for each value of `by`, else by rows, dealt to one task for each place of the cluster. These run at
-    the same time and tell one another column sums in each round; the vectors, few beside their square, go to all.
+    Similarity is the negative squared distance; with `cosine` the rows of the cosine matrix are the points. Of the three square
+    matrices only entries that count are held (`_Live`): by one task for each value of `by`, else by rows, dealt to one task for each
+    place of the cluster. These run at the same time and tell one another column sums in each round; the vectors, few beside
+    their square, go to all.
     """
     if by:
 
